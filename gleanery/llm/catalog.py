@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gleanery.llm.contributor_cap import dominant_sources_dropped
+from gleanery.llm.lookalikes import lookalike_pairs
 from gleanery.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike_pairs(table(spark, sf_dir, "deals"), ["title", "summary"], "log_seq")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dominant_sources_dropped(table(spark, sf_dir, "deals"))
 
 
-QUERIES = {"p2_found": p2_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found}
 
 ORACLES = {
     "p2_found": r"""
