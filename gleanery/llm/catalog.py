@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gleanery.llm.contributor_cap import dominant_sources_dropped
 from gleanery.llm.lookalikes import lookalike_pairs
+from gleanery.llm.main_content import boilerplate
+from gleanery.llm.truncation import truncated_records, truncation_by_source
 from gleanery.session import table
 
 
@@ -17,7 +19,19 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dominant_sources_dropped(table(spark, sf_dir, "deals"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate(table(spark, sf_dir, "html_segments"), table(spark, sf_dir, "deals"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncated_records(table(spark, sf_dir, "deals"), table(spark, sf_dir, "hn_hits")).select("rec", "rec_id")
+
+
+def p7_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation_by_source(table(spark, sf_dir, "deals"), table(spark, sf_dir, "hn_hits"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p7_found": p7_found, "p7_by_source": p7_by_source}
 
 ORACLES = {
     "p2_found": r"""
