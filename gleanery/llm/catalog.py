@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gleanery.llm.contributor_cap import dominant_sources_dropped
+from gleanery.llm.encoding_repair import repaired
+from gleanery.llm.eval_leaks import leaks
+from gleanery.llm.history_dedup import announcements
 from gleanery.llm.lookalikes import lookalike_pairs
 from gleanery.llm.main_content import boilerplate
+from gleanery.llm.packing import fill_report, pack
 from gleanery.llm.truncation import truncated_records, truncation_by_source
 from gleanery.session import table
 
@@ -31,7 +35,33 @@ def p7_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation_by_source(table(spark, sf_dir, "deals"), table(spark, sf_dir, "hn_hits"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p7_found": p7_found, "p7_by_source": p7_by_source}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return announcements(table(spark, sf_dir, "deals"))
+
+
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_sizes"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    containers = table(spark, sf_dir, "container_sizes")
+    return fill_report(pack(table(spark, sf_dir, "documents"), containers), containers)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired(table(spark, sf_dir, "documents"))
+
+
+_ALL = (p1_found, p2_found, p3_found, p5_found, p7_found, p7_by_source, p8_pack, p8_fill, p9_found, p10_found, p10_restored)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLES = {
     "p2_found": r"""
