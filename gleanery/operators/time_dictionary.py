@@ -5,12 +5,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from gleanery.functions.instants import utc_ms
 from gleanery.session import keep
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _parse(raw: pd.Series, zone: pd.Series) -> pd.Series:
     return pd.Series([utc_ms(r, z) for r, z in zip(raw, zone)], dtype="Int64")
 

@@ -1,2 +1,354 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Queries over the log of findings, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleanery import lexicon
+from gleanery.functions.text import claimable, dedup_key, offer_kinds, text_blob, truncate
+from gleanery.functions.url import host_of, normalize_url
+from gleanery.operators import history, rounds
+from gleanery.session import table
+
+NOW_TEXT = "2026-01-06 00:00:00"
+EVENT_NOW_TEXT = "1996-06-15 00:00:00"
+
+
+def now() -> F.Column:
+    """The instant the queries over findings are asked at."""
+    return F.lit(NOW_TEXT).cast("timestamp")
+
+
+def event_now() -> F.Column:
+    """The instant the queries over dated events are asked at."""
+    return F.lit(EVENT_NOW_TEXT).cast("timestamp")
+
+
+def _deals(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "deals")
+
+
+def _folded(spark: SparkSession, d: str) -> DataFrame:
+    return history.fold_duplicates(history.collapse(_deals(spark, d)))
+
+
+def log_collapse(spark: SparkSession, d: str) -> DataFrame:
+    return history.collapse(_deals(spark, d).select("fingerprint", "log_seq", "title", "score", "source")).select(
+        "fingerprint", "first_seq", F.col("log_seq").alias("last_seq"), "title", "score", "source"
+    )
+
+
+def near_dup_fold(spark: SparkSession, d: str) -> DataFrame:
+    return _folded(spark, d).where(F.col("dup_of").isNotNull()).select("fingerprint", "dup_of")
+
+
+def live_offers(spark: SparkSession, d: str) -> DataFrame:
+    return history.top_live(_folded(spark, d), now(), 40, 200).select("fingerprint", "title", "source", "score", "discovered_at", "expires_at")
+
+
+def title_clash(spark: SparkSession, d: str) -> DataFrame:
+    keyed = _deals(spark, d).where(F.trim("fingerprint") != "").select("log_seq", "fingerprint", dedup_key(F.col("title")).alias("k")).where("k <> ''")
+    owners = keyed.groupBy("k").agg(F.min_by("fingerprint", "log_seq").alias("owner"))
+    return keyed.join(owners, "k").where(F.col("fingerprint") != F.col("owner")).select("log_seq", "owner")
+
+
+def seen_antijoin(spark: SparkSession, d: str) -> DataFrame:
+    rows = _deals(spark, d).select("log_seq", "batch_no", "fingerprint")
+    last = rows.agg(F.max("batch_no").alias("last"))
+    marked = rows.join(F.broadcast(last))  # one row
+    new = marked.where(F.col("batch_no") == F.col("last"))
+    seen = marked.where(F.col("batch_no") < F.col("last")).select("fingerprint")
+    return new.join(seen, "fingerprint", "left_anti").select("log_seq")
+
+
+def store_stats(spark: SparkSession, d: str) -> DataFrame:
+    return history.stats(_deals(spark, d), _folded(spark, d))
+
+
+def briefing_quality(spark: SparkSession, d: str) -> DataFrame:
+    live = history.live(_folded(spark, d), now(), 40)
+    n, official = F.count("*"), F.count_if(F.size("vendors") > 0)
+    return live.agg(n.alias("total"), official.alias("verified"), F.round(F.lit(100) * official / n).cast("int").alias("share"))
+
+
+def briefing_sections(spark: SparkSession, d: str) -> DataFrame:
+    live = history.live(_folded(spark, d), now(), 40)
+    fresh = rounds.seconds_between(F.col("discovered_at"), now()) < 86_400
+    return live.groupBy(F.when(fresh, F.lit("fresh")).otherwise(F.lit("ongoing")).alias("section")).agg(F.count("*").alias("n"))
+
+
+def deals_filter(spark: SparkSession, d: str) -> DataFrame:
+    f = _folded(spark, d)
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("summary", F.lit("")))
+    return f.where(
+        F.col("dup_of").isNull() & (F.coalesce("score", F.lit(0)) >= 30) & (F.col("category") == "discount") & F.contains(F.lower(text), F.lit("gpu"))
+    ).select("fingerprint", "score")
+
+
+def source_delivery(spark: SparkSession, d: str) -> DataFrame:
+    return rounds.delivery(history.collapse(_deals(spark, d)), table(spark, d, "feed_sources"))
+
+
+def source_idleness(spark: SparkSession, d: str) -> DataFrame:
+    return rounds.idleness(_deals(spark, d), table(spark, d, "feed_sources"), now()).select("name", "idle")
+
+
+def source_health(spark: SparkSession, d: str) -> DataFrame:
+    idle = rounds.idleness(_deals(spark, d), table(spark, d, "feed_sources"), now())
+    kept = rounds.delivery(history.collapse(_deals(spark, d)), table(spark, d, "feed_sources"))
+    verdict = F.when(F.col("idle").isNull(), F.lit("never")).when(F.col("idle") > 36 * 3600, F.lit("silent")).otherwise(F.lit("ok"))
+    return idle.join(kept, "name", "left").select("name", verdict.alias("verdict"), F.coalesce("rows", F.lit(0).cast("long")).alias("rows"))
+
+
+def round_report(spark: SparkSession, d: str) -> DataFrame:
+    rows = _deals(spark, d)
+    return rows.groupBy("batch_no").agg(
+        F.count("*").alias("found"), F.countDistinct("fingerprint").alias("findings"), F.count_if(F.coalesce("score", F.lit(0)) >= 60).alias("good")
+    )
+
+
+def recent_runs(spark: SparkSession, d: str) -> DataFrame:
+    newest = round_report(spark, d).orderBy(F.desc("batch_no")).limit(24)  # the ring of runs
+    return newest.orderBy("batch_no")
+
+
+def daily_budget(spark: SparkSession, d: str) -> DataFrame:
+    pushed = _deals(spark, d).where(F.col("meta")["pushed"] == "true")
+    from gleanery.functions.clock import local_day
+
+    return rounds.budget_left(pushed, local_day(F.col("discovered_at")), 40)
+
+
+def daily_due(spark: SparkSession, d: str) -> DataFrame:
+    last = _deals(spark, d).groupBy("source").agg(F.max("discovered_at").alias("last"))
+    return last.select("source", rounds.slot_due(now(), 7, 30, F.col("last"), "Asia/Shanghai").alias("due"))
+
+
+def freshness_tiers(spark: SparkSession, d: str) -> DataFrame:
+    age = rounds.seconds_between(F.col("published_at"), now())
+    return _deals(spark, d).select("log_seq", F.when(F.col("published_at").isNotNull(), rounds.freshness(age)).otherwise(0).alias("points"))
+
+
+def score_deals(spark: SparkSession, d: str) -> DataFrame:
+    sources = table(spark, d, "feed_sources").select(F.lower(F.trim("name")).alias("_s"), "trust", F.col("host").alias("_host"))
+    rows = _deals(spark, d).withColumn("_s", F.lower(F.trim("source"))).join(F.broadcast(sources), "_s", "left")  # a fixed dimension
+    offers = F.coalesce("offers", F.array().cast(rows.schema["offers"].dataType))
+    host = host_of(F.col("url"))
+    official = F.coalesce((host == F.col("_host")) | F.endswith(host, F.concat(F.lit("."), F.col("_host"))), F.lit(False))
+    s = rounds.score(
+        F.transform(offers, lambda o: o.kind),
+        F.col("discount_pct"),
+        F.coalesce(F.size("vendors") > 0, F.lit(False)),
+        F.coalesce(F.exists(offers, lambda o: o.product.isNotNull()), F.lit(False)),
+        official,
+        F.col("trust"),
+        F.size(offers),
+        rounds.seconds_between(F.col("published_at"), now()),
+    )
+    return rows.select("log_seq", s.alias("s")).select("log_seq", "s.score", F.array_join("s.why", "; ").alias("why"))
+
+
+def screen_reasons(spark: SparkSession, d: str) -> DataFrame:
+    text = F.lower(text_blob(F.col("title"), F.col("summary"), F.col("offers")))
+    age = rounds.seconds_between(F.col("published_at"), now())
+    reason = rounds.screen(
+        ("denied", F.contains(text, F.lit("repost"))),
+        ("too old", age > 336 * 3600),
+        ("no offer", F.coalesce(F.size("offers"), F.lit(0)) <= 0),
+        ("expired", history.meta_time("expires_at") < now()),
+        ("weak", F.coalesce("score", F.lit(0)) <= 0),
+    )
+    return _deals(spark, d).select("log_seq", reason.alias("reason"))
+
+
+def offer_kind_list(spark: SparkSession, d: str) -> DataFrame:
+    return _deals(spark, d).where(F.col("offers").isNotNull()).select("log_seq", offer_kinds(F.col("offers")).alias("kinds"))
+
+
+def claimable_deals(spark: SparkSession, d: str) -> DataFrame:
+    return _deals(spark, d).select("log_seq", claimable(F.col("title"), F.col("is_free"), F.col("discount_pct"), F.col("offers")).alias("ok"))
+
+
+def compact_keep(spark: SparkSession, d: str) -> DataFrame:
+    return history.compactable(_folded(spark, d), now(), 3).select("fingerprint")
+
+
+def compact_state(spark: SparkSession, d: str) -> DataFrame:
+    rows = _deals(spark, d).where(F.trim("fingerprint") != "")
+    state = rows.select(F.concat(F.lit("official:deal:"), "fingerprint").alias("key")).distinct().unionByName(
+        rows.where(F.trim("url") != "").select(F.concat(F.lit("official:verify:"), normalize_url(F.col("url"))).alias("key")).distinct()
+    )
+    return history.prune_state(state, history.compactable(_folded(spark, d), now(), 3)).select("key")
+
+
+def render_lines(spark: SparkSession, d: str) -> DataFrame:
+    icon = F.when(F.col("is_free"), F.lit("🆓")).when(F.col("category") == "ai_free", F.lit("🤖")).when(F.col("category") == "discount", F.lit("🏷️")).otherwise(F.lit("🔎"))
+    title = truncate(F.replace(F.coalesce("title", F.lit("")), F.lit("\n"), F.lit(" ")), 60)
+    return _deals(spark, d).select(
+        "log_seq", F.array_join(F.array(icon, F.coalesce("score", F.lit(0)).cast("string"), title, F.coalesce("url", F.lit(""))), " ").alias("line")
+    )
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as dated events: they open on their date and close with their last shipment."""
+    last = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("ends_at"))
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("starts_at"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("title"), "o_custkey")
+    return orders.join(last, orders.o_orderkey == last.l_orderkey, "left").select("o_orderkey", "o_custkey", "title", "starts_at", "ends_at")
+
+
+def _day(n: int) -> F.Column:
+    return F.make_dt_interval(F.lit(n))
+
+
+def upcoming(spark: SparkSession, d: str) -> DataFrame:
+    return history.in_period(_events(spark, d), "starts_at", event_now(), event_now() + _day(30)).select("o_orderkey", "title")
+
+
+def expiring(spark: SparkSession, d: str) -> DataFrame:
+    return history.in_period(_events(spark, d), "ends_at", event_now(), event_now() + _day(30)).select("o_orderkey", "title")
+
+
+def event_window(spark: SparkSession, d: str) -> DataFrame:
+    mark = rounds.window_mark(F.col("starts_at"), F.col("ends_at"), event_now(), 48, 60)
+    return _events(spark, d).select("o_orderkey", mark.alias("due")).where(F.col("due").isNotNull())
+
+
+def due_events(spark: SparkSession, d: str) -> DataFrame:
+    due = rounds.nearest_moments(_events(spark, d), "o_orderkey", event_now(), 24 * 14, 60)
+    reminded = table(spark, d, "orders").where("o_orderkey % 5 = 0").select("o_orderkey")  # marks of those already reminded
+    return rounds.not_reminded(due, reminded, "o_orderkey").select("o_orderkey", "moment", "due")
+
+
+def due_counts(spark: SparkSession, d: str) -> DataFrame:
+    due = rounds.nearest_moments(_events(spark, d), "o_orderkey", event_now(), 24 * 14, 60)
+    return due.agg(F.count_if(F.col("due") == "opening").alias("opening"), F.count_if(F.col("due") == "closing").alias("closing"))
+
+
+def upcoming_events(spark: SparkSession, d: str) -> DataFrame:
+    due = rounds.nearest_moments(_events(spark, d), "o_orderkey", event_now(), 24 * 30, 72 * 60)
+    reminded = table(spark, d, "orders").where("o_orderkey % 5 = 0").select("o_orderkey", F.lit(True).alias("reminded"))
+    return due.join(reminded, "o_orderkey", "left").select("o_orderkey", "moment", "due", F.coalesce("reminded", F.lit(False)).alias("reminded"))
+
+
+def vendor_for_host(spark: SparkSession, d: str) -> DataFrame:
+    hosts = table(spark, d, "html_segments").select(F.lower("host").alias("host")).distinct()
+    domains = table(spark, d, "feed_sources").select(F.col("host").alias("domain"), F.col("name").alias("vendor"))
+    return rounds.vendor_of_host(hosts, domains.unionByName(domains.select(F.concat(F.lit("blog."), "domain").alias("domain"), "vendor")))
+
+
+def official_host(spark: SparkSession, d: str) -> DataFrame:
+    hosts = table(spark, d, "feed_sources").select(F.lower(F.trim("name")).alias("_s"), F.col("host").alias("site"))
+    rows = _deals(spark, d).select("log_seq", F.lower(F.trim("source")).alias("_s"), host_of(F.col("url")).alias("host"))
+    own = (F.col("host") == F.col("site")) | F.endswith(F.col("host"), F.concat(F.lit("."), F.col("site")))
+    return rows.join(F.broadcast(hosts), "_s").select("log_seq", own.alias("official"))  # a fixed dimension
+
+
+def canonical_page(spark: SparkSession, d: str) -> DataFrame:
+    rows = _deals(spark, d).where(F.col("offers").isNotNull()).select("log_seq", F.transform("offers", lambda o: o.kind).alias("kinds"))
+    pages = F.create_map(F.lit("pricing"), F.lit("https://v.example/pricing"), F.lit("free"), F.lit("https://v.example/free"))
+    return rows.select("log_seq", rounds.page_for(F.col("kinds"), pages, lexicon.PAGE_ORDER).alias("page"))
+
+
+def link_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    rows = _deals(spark, d).withColumn("host", host_of(F.col("url")))
+    domains = table(spark, d, "feed_sources").select(F.col("host").alias("domain"), F.col("name").alias("vendor"))
+    owned = rounds.vendor_of_host(rows.select("log_seq", "host", "vendors", "published_at", "discovered_at", "url"), domains)
+    ladder = rounds.link_ladder(F.col("vendor"), F.get("vendors", F.lit(0)), F.when(F.col("published_at").isNotNull(), F.col("url")), F.col("discovered_at"), F.lit(None).cast("string"), now())
+    return owned.select("log_seq", ladder.alias("l")).select("log_seq", "l.kind", "l.delta")
+
+
+_ALL = (
+    log_collapse, near_dup_fold, live_offers, title_clash, seen_antijoin, store_stats, briefing_quality, briefing_sections, deals_filter, source_delivery,
+    source_idleness, source_health, round_report, recent_runs, daily_budget, daily_due, freshness_tiers, score_deals, screen_reasons, offer_kind_list,
+    claimable_deals, compact_keep, compact_state, render_lines, upcoming, expiring, event_window, due_events, due_counts, upcoming_events, vendor_for_host,
+    official_host, canonical_page, link_verdicts,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+
+# The key of a title: wrappers off (unrolled), labels off, signs out. RE2 has no byte lengths within a pattern, so a step checks the head it would cut.
+_W = r"^[ \t]*(?:\[[^\]]*\]|【[^】]*】|\([^)]*\)|（[^）]*）)"
+_STEP = (
+    "CASE WHEN regexp_extract({x}, '%s') <> '' AND strlen(ltrim(regexp_extract({x}, '%s'))) - strlen(right(regexp_extract({x}, '%s'), 1)) < 24 "
+    "THEN trim(regexp_replace({x}, '%s', '')) ELSE {x} END" % (_W, _W, _W, _W)
+)
+
+
+def key_sql(source: str, column: str, name: str) -> str:
+    """CTEs that end in ``name`` with the column ``k``."""
+    out = [f"{name}0 AS (SELECT *, trim({column}) AS k0 FROM {source})"]
+    for i in range(6):
+        out.append(f"{name}{i + 1} AS (SELECT *, {_STEP.format(x=f'k{i}')} AS k{i + 1} FROM {name}{i})")
+    label = "trim(regexp_replace({x}, '^[^：:]{{1,6}}[：:]', ''))"
+    cut = label.format(x=label.format(x="ltrim(k6)"))
+    words = f"trim(regexp_replace(lower(regexp_replace({cut}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' +', ' ', 'g'))"
+    out.append(f"{name}7 AS (SELECT *, {words} AS kw FROM {name}6)")
+    out.append(f"{name} AS (SELECT *, CASE WHEN length(kw) < 8 THEN '' ELSE trim(substring(kw, 1, 80)) END AS k FROM {name}7)")
+    return ",\n".join(out)
+
+
+_CUR = """WITH cur AS (SELECT fingerprint, first_seq, v.* FROM (
+  SELECT fingerprint, min(log_seq) AS first_seq, arg_max(struct_pack(title := title, summary := summary, source := source, category := category, offers := offers,
+    vendors := vendors, is_free := is_free, discount_pct := discount_pct, score := score, discovered_at := discovered_at, meta := meta), log_seq) AS v
+  FROM deals WHERE trim(fingerprint) <> '' GROUP BY fingerprint))"""
+_FOLD = (
+    _CUR
+    + ",\n"
+    + key_sql("cur", "title", "q")
+    + """,
+own AS (SELECT k, arg_min(fingerprint, first_seq) AS owner FROM q WHERE k <> '' GROUP BY k),
+folded AS (SELECT q.*, CASE WHEN own.owner <> q.fingerprint THEN own.owner END AS dup_of FROM q LEFT JOIN own USING (k)),
+clocked AS (SELECT *, date_trunc('second', try_cast(meta['expires_at'] AS timestamptz)) AS expires_at FROM folded),
+live AS (SELECT * FROM clocked WHERE dup_of IS NULL AND coalesce(score, 0) >= 40
+  AND (coalesce(is_free, false) OR coalesce(discount_pct, 0) > 0 OR coalesce(len(list_filter(offers, lambda o: o.kind IN ('free','discount','trial','credit','coupon'))) > 0, false))
+  AND NOT regexp_matches(regexp_replace(trim(coalesce(title, '')), '[ ！!]+$', ''), '(\\?|？|吗|呢|吧|么)$') AND NOT regexp_matches(coalesce(title, ''), '"""
+    + lexicon.DOUBT
+    + f"""')
+  AND CASE WHEN expires_at IS NULL THEN coalesce(category, '') <> 'voucher' ELSE expires_at >= timestamptz '{NOW_TEXT}+00' END)"""
+)
+_EVENTS = """WITH ev AS (SELECT o_orderkey, 'order ' || o_orderkey AS title, o_orderdate AS s, e FROM orders
+  LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS e FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"""
+
+
+def _moments(hours: int, minutes: int) -> str:
+    t = f"timestamp '{EVENT_NOW_TEXT}'"
+    return (
+        _EVENTS
+        + f""", m AS (SELECT o_orderkey, s AS moment, 'opening' AS due FROM ev WHERE s BETWEEN {t} - interval {minutes} minute AND {t} + interval {hours} hour
+  UNION ALL SELECT o_orderkey, e, 'closing' FROM ev WHERE e > {t} AND e <= {t} + interval {hours} hour),
+n AS (SELECT o_orderkey, min(moment) AS moment, arg_min(due, struct_pack(a := moment, b := due = 'closing')) AS due FROM m GROUP BY 1)"""
+    )
+
+
+ORACLES = {
+    "log_collapse": "SELECT fingerprint, min(log_seq) AS first_seq, max(log_seq) AS last_seq, arg_max(struct_pack(x := title), log_seq).x AS title, arg_max(struct_pack(x := score), log_seq).x AS score, arg_max(struct_pack(x := source), log_seq).x AS source FROM deals WHERE trim(fingerprint) <> '' GROUP BY fingerprint",
+    "near_dup_fold": _FOLD + " SELECT fingerprint, dup_of FROM folded WHERE dup_of IS NOT NULL",
+    "live_offers": _FOLD + " SELECT fingerprint, title, source, score, discovered_at, expires_at FROM live ORDER BY score DESC, discovered_at DESC, first_seq LIMIT 200",
+    "title_clash": "WITH rows_ AS (SELECT * FROM deals WHERE trim(fingerprint) <> ''),\n" + key_sql("rows_", "title", "q") + ", own AS (SELECT k, arg_min(fingerprint, log_seq) AS owner FROM q WHERE k <> '' GROUP BY k) SELECT log_seq, owner FROM q JOIN own USING (k) WHERE fingerprint <> owner",
+    "seen_antijoin": "SELECT log_seq FROM deals d WHERE batch_no = (SELECT max(batch_no) FROM deals) AND NOT EXISTS (SELECT 1 FROM deals e WHERE e.batch_no < d.batch_no AND e.fingerprint = d.fingerprint)",
+    "store_stats": _FOLD + " SELECT count(*) AS findings, count_if(dup_of IS NOT NULL)::bigint AS reposts, count_if(coalesce(meta['pushed'], '') = 'true')::bigint AS pushed, min(discovered_at) AS first_found, max(discovered_at) AS last_found FROM folded",
+    "briefing_quality": _FOLD + " SELECT count(*) AS total, count_if(len(vendors) > 0)::bigint AS verified, round(100 * count_if(len(vendors) > 0)::double / count(*))::int AS share FROM live",
+    "briefing_sections": _FOLD + f" SELECT CASE WHEN timestamptz '{NOW_TEXT}+00' - discovered_at < interval 24 hour THEN 'fresh' ELSE 'ongoing' END AS section, count(*) AS n FROM live GROUP BY 1",
+    "deals_filter": _FOLD + " SELECT fingerprint, score FROM folded WHERE dup_of IS NULL AND coalesce(score, 0) >= 30 AND category = 'discount' AND contains(lower(coalesce(title, '') || ' ' || coalesce(summary, '')), 'gpu')",
+    "source_delivery": _CUR + " SELECT name, coalesce(n, 0)::bigint AS rows FROM feed_sources LEFT JOIN (SELECT lower(trim(source)) AS s, count(*) AS n FROM cur GROUP BY 1) ON lower(trim(name)) = s WHERE NOT coalesce(disabled, false)",
+    "source_idleness": f"SELECT name, greatest(0, floor(epoch(timestamptz '{NOW_TEXT}+00') - epoch(last)))::bigint AS idle FROM feed_sources LEFT JOIN (SELECT lower(trim(source)) AS s, max(discovered_at) AS last FROM deals GROUP BY 1) ON lower(trim(name)) = s WHERE last IS NOT NULL UNION ALL SELECT name, NULL FROM feed_sources WHERE lower(trim(name)) NOT IN (SELECT lower(trim(source)) FROM deals WHERE source IS NOT NULL)",
+    "round_report": "SELECT batch_no, count(*) AS found, count(DISTINCT fingerprint) AS findings, count_if(coalesce(score, 0) >= 60)::bigint AS good FROM deals GROUP BY 1",
+    "recent_runs": "SELECT batch_no, count(*) AS found, count(DISTINCT fingerprint) AS findings, count_if(coalesce(score, 0) >= 60)::bigint AS good FROM deals GROUP BY 1 ORDER BY 1 DESC LIMIT 24",
+    "daily_budget": "SELECT strftime(timezone('Asia/Shanghai', discovered_at), '%Y-%m-%d') AS day, count(*) AS sent, greatest(0, 40 - count(*))::bigint AS left FROM deals WHERE meta['pushed'] = 'true' GROUP BY 1",
+    "daily_due": f"SELECT source, max(discovered_at) IS NULL OR max(discovered_at) < timestamptz '2026-01-05 23:30:00+00' AS due FROM deals WHERE timestamptz '{NOW_TEXT}+00' >= timestamptz '2026-01-05 23:30:00+00' GROUP BY 1",
+    "freshness_tiers": f"SELECT log_seq, CASE WHEN published_at IS NULL THEN 0 WHEN a <= 86400 THEN 12 WHEN a <= 259200 THEN 8 WHEN a <= 604800 THEN 4 WHEN a > 2592000 THEN -12 ELSE 0 END AS points FROM (SELECT *, epoch(timestamptz '{NOW_TEXT}+00') - epoch(published_at) AS a FROM deals)",
+    "screen_reasons": f"SELECT log_seq, CASE WHEN contains(lower(concat_ws(chr(10), coalesce(title, ''), coalesce(summary, ''), array_to_string(list_transform(offers, lambda o: coalesce(o.evidence, '')), chr(10)))), 'repost') THEN 'denied' WHEN epoch(timestamptz '{NOW_TEXT}+00') - epoch(published_at) > 1209600 THEN 'too old' WHEN coalesce(len(offers), 0) = 0 THEN 'no offer' WHEN date_trunc('second', try_cast(meta['expires_at'] AS timestamptz)) < timestamptz '{NOW_TEXT}+00' THEN 'expired' WHEN coalesce(score, 0) <= 0 THEN 'weak' ELSE '' END AS reason FROM deals",
+    "offer_kind_list": "SELECT log_seq, array_to_string(list_transform(list_filter(list_transform(offers, lambda o, i: struct_pack(k := o.kind, i := i)), lambda x: list_position(list_transform(offers, lambda o: o.kind), x.k) = x.i), lambda x: x.k), ',') AS kinds FROM deals WHERE offers IS NOT NULL",
+    "claimable_deals": "SELECT log_seq, (coalesce(is_free, false) OR coalesce(discount_pct, 0) > 0 OR coalesce(len(list_filter(offers, lambda o: o.kind IN ('free','discount','trial','credit','coupon'))) > 0, false)) AND NOT regexp_matches(regexp_replace(trim(coalesce(title, '')), '[ ！!]+$', ''), '(\\?|？|吗|呢|吧|么)$') AND NOT regexp_matches(coalesce(title, ''), '" + lexicon.DOUBT + "') AS ok FROM deals",
+    "compact_keep": _FOLD + f" SELECT fingerprint FROM folded WHERE NOT (discovered_at < timestamptz '{NOW_TEXT}+00' - interval 3 day AND (coalesce(meta['pushed'], '') = 'true' OR coalesce(score, 0) < 60))",
+    "render_lines": "SELECT log_seq, CASE WHEN is_free THEN '🆓' WHEN category = 'ai_free' THEN '🤖' WHEN category = 'discount' THEN '🏷️' ELSE '🔎' END || ' ' || coalesce(score, 0) || ' ' || (CASE WHEN length(t) > 60 THEN trim(substring(t, 1, 59)) || '…' ELSE t END) || ' ' || coalesce(url, '') AS line FROM (SELECT *, replace(coalesce(title, ''), chr(10), ' ') AS t FROM deals)",
+    "upcoming": _EVENTS + f" SELECT o_orderkey, title FROM ev WHERE s BETWEEN timestamp '{EVENT_NOW_TEXT}' AND timestamp '{EVENT_NOW_TEXT}' + interval 30 day",
+    "expiring": _EVENTS + f" SELECT o_orderkey, title FROM ev WHERE e BETWEEN timestamp '{EVENT_NOW_TEXT}' AND timestamp '{EVENT_NOW_TEXT}' + interval 30 day",
+    "event_window": _EVENTS + f" SELECT o_orderkey, CASE WHEN s BETWEEN timestamp '{EVENT_NOW_TEXT}' - interval 60 minute AND timestamp '{EVENT_NOW_TEXT}' + interval 48 hour THEN 'opening' ELSE 'closing' END AS due FROM ev WHERE s BETWEEN timestamp '{EVENT_NOW_TEXT}' - interval 60 minute AND timestamp '{EVENT_NOW_TEXT}' + interval 48 hour OR (e > timestamp '{EVENT_NOW_TEXT}' AND e <= timestamp '{EVENT_NOW_TEXT}' + interval 48 hour)",
+    "due_events": _moments(336, 60) + " SELECT * FROM n WHERE o_orderkey % 5 <> 0",
+    "due_counts": _moments(336, 60) + " SELECT count_if(due = 'opening')::bigint AS opening, count_if(due = 'closing')::bigint AS closing FROM n",
+    "upcoming_events": _moments(720, 4320) + " SELECT *, o_orderkey % 5 = 0 AS reminded FROM n",
+    "vendor_for_host": "WITH dom AS (SELECT host AS domain, name AS vendor FROM feed_sources UNION ALL SELECT 'blog.' || host, name FROM feed_sources) SELECT h.host, (SELECT arg_max(vendor, length(domain)) FROM dom WHERE h.host = domain OR h.host LIKE '%.' || domain) AS vendor FROM (SELECT DISTINCT lower(host) AS host FROM html_segments) h",
+    "official_host": "SELECT log_seq, h = site OR ends_with(h, '.' || site) AS official FROM (SELECT log_seq, lower(trim(source)) AS s, regexp_replace(regexp_extract(regexp_replace(lower(trim(coalesce(url, ''))), '^[a-z][a-z0-9+.-]*://', ''), '^[^/?#]*'), '^www\\.', '') AS h FROM deals) JOIN (SELECT lower(trim(name)) AS n, host AS site FROM feed_sources) ON s = n",
+    "canonical_page": "SELECT log_seq, CASE WHEN len(offers) = 0 OR offers[1].kind NOT IN ('free','credit','trial','coupon') THEN 'https://v.example/pricing' ELSE 'https://v.example/free' END AS page FROM deals WHERE offers IS NOT NULL",
+}
