@@ -16,57 +16,60 @@ _CLOCK = r"^(?:日|号)?\s*(凌晨|上午|中午|下午|晚上)?\s*(\d{1,2})\s*[
 _NUMERALS = "一二三四五六七八九十"
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once; it also keeps the generated code of long rules small."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _group(text: Column, pattern: str, i: int) -> Column:
     """A group of the first match; null if it took no part."""
-    got = F.regexp_extract(text, pattern, i)
-    return F.when(got != "", got)
+    return F.nullif(F.regexp_extract(text, pattern, i), F.lit(""))
 
 
 def _int(text: Column, pattern: str, i: int) -> Column:
-    return _group(text, pattern, i).try_cast("int")
+    return F.regexp_extract(text, pattern, i).try_cast("int")
 
 
 def _instant(y: Column, m: Column, d: Column, clock: Column, zone: str) -> Column:
     """An instant of the zone, null for an impossible date."""
     ok = y.between(2000, 2100) & m.between(1, 12) & d.between(1, 31)
-    made = F.try_make_timestamp(y, m, d, clock.h, clock.mi, clock.s.cast("decimal(8,6)"), F.lit(zone))
-    return F.when(ok, made)
+    return F.when(ok, F.try_make_timestamp(y, m, d, clock.h, clock.mi, clock.s.cast("decimal(8,6)"), F.lit(zone)))
 
 
 def _hour(word: Column, hour: Column) -> Column:
     return F.when(word.isin("下午", "晚上") & (hour < 12), hour + 12).when((word == "中午") & (hour < 11), hour + 12).otherwise(hour)
 
 
-def _clock_after(rest: Column) -> Column:
-    """The clock that hugs a date; 24 is the end of that day; without one the last second of the day."""
-    stated = _int(rest, _CLOCK, 2)
-    hour = F.when(stated <= 24, _hour(F.coalesce(_group(rest, _CLOCK, 1), F.lit("")), stated))
-    minute = F.coalesce(_int(rest, _CLOCK, 3), F.lit(0))
-    return (
-        F.when(hour == 24, _time(23, 59, 0))
-        .when(hour.isNotNull() & (minute <= 59), F.struct(hour.alias("h"), minute.alias("mi"), F.lit(0).alias("s")))
-        .otherwise(_time(23, 59, 59))
-    )
+def _time(h: int | Column, mi: int | Column, s: int) -> Column:
+    h, mi = (F.lit(x) if isinstance(x, int) else x for x in (h, mi))
+    return F.struct(h.alias("h"), mi.alias("mi"), F.lit(s).alias("s"))
 
 
-def _time(h: int, mi: int, s: int) -> Column:
-    return F.struct(F.lit(h).alias("h"), F.lit(mi).alias("mi"), F.lit(s).alias("s"))
+def _clock_after(rest: Column) -> Column:
+    """The clock that hugs a date; 24 is the end of that day; without one the last second of the day."""
+    stated = F.struct(F.regexp_extract(rest, _CLOCK, 1).alias("word"), _int(rest, _CLOCK, 2).alias("h"), F.coalesce(_int(rest, _CLOCK, 3), F.lit(0)).alias("mi"))
+    read = let(stated, lambda c: F.when(c.h <= 24, F.struct(_hour(c.word, c.h).alias("h"), c.mi.alias("mi"))))
+    return let(read, lambda c: F.when(c.h == 24, _time(23, 59, 0)).when(c.h.isNotNull() & (c.mi <= 59), _time(c.h, c.mi, 0)).otherwise(_time(23, 59, 59)))
 
 
 def _english_month(text: Column) -> Column:
     names = F.array(*[F.lit(m) for m in "jan feb mar apr may jun jul aug sep oct nov dec".split()])
-    at = F.array_position(names, F.lower(F.substring(text, 1, 3)))
-    return F.when(at > 0, at).cast("int")
+    return F.nullif(F.array_position(names, F.lower(F.substring(text, 1, 3))).cast("int"), F.lit(0))
 
 
-def _yearless(m: Column, d: Column, rest: Column, anchor: Column, zone: str) -> Column:
-    """Month and day in the anchor's year, or the next if that is past; refused when impossible or too far ahead."""
-    year = F.year(F.from_utc_timestamp(anchor, zone))
-    clock = _clock_after(rest)
-    this, following = _instant(year, m, d, clock, zone), _instant(year + 1, m, d, clock, zone)
-    last = anchor + F.expr(f"interval {YEARLESS_DAYS} days")
-    near = lambda t: F.when((t >= anchor) & (t <= last), t)
-    return F.when(this >= anchor, near(this)).when(this < anchor, near(following))
+def _yearless(parts: Column, anchor: Column, zone: str) -> Column:
+    """Month ``m`` and day ``d`` in the anchor's year, or the next if that is past; refused when impossible or too far ahead."""
+
+    def choose(x: Column) -> Column:
+        year = F.year(F.from_utc_timestamp(anchor, zone))
+        last = anchor + F.make_dt_interval(F.lit(YEARLESS_DAYS))
+        both = F.struct(_instant(year, x.m, x.d, x.c, zone).alias("this"), _instant(year + 1, x.m, x.d, x.c, zone).alias("next"))
+        return let(
+            both,
+            lambda t: F.when(t.this >= anchor, F.when(t.this <= last, t.this)).when((t.this < anchor) & (t.next >= anchor) & (t.next <= last), t.next),
+        )
+
+    return let(let(parts, lambda p: F.struct(p.m.alias("m"), p.d.alias("d"), _clock_after(p.r).alias("c"))), choose)
 
 
 def expires_at(text: Column, anchor: Column, zone: str = ZONE) -> Column:
@@ -77,52 +80,70 @@ def expires_at(text: Column, anchor: Column, zone: str = ZONE) -> Column:
     three need an ``anchor``, the text's own time.
     """
 
+    def dated(y: Column, m: Column, d: Column, rest: Column) -> Column:
+        parts = F.struct(y.alias("y"), m.alias("m"), d.alias("d"), _clock_after(rest).alias("c"))
+        return let(parts, lambda p: _instant(p.y, p.m, p.d, p.c, zone))
+
     def ymd(pattern: str) -> Column:
         p = pattern + _TAIL
-        return _instant(_int(text, p, 1), _int(text, p, 2), _int(text, p, 3), _clock_after(F.regexp_extract(text, p, 4)), zone)
+        return dated(_int(text, p, 1), _int(text, p, 2), _int(text, p, 3), F.regexp_extract(text, p, 4))
 
     lead = ymd(rf"{_LEAD}[^0-9\n]{{0,6}}?(20\d{{2}})[ \t\n\f\r]*[-/.年][ \t\n\f\r]*(\d{{1,2}})[ \t\n\f\r]*[-/.月][ \t\n\f\r]*(\d{{1,2}})")
     en = r"(?i)(?:until|ends?\s+(?:on|by)|deadline|valid\s+(?:thru|through|until))\s+([a-z]{3,9})\.?\s+(\d{1,2})[, ]+(\d{4})" + _TAIL
-    english = _instant(_int(text, en, 3), _english_month(F.regexp_extract(text, en, 1)), _int(text, en, 2), _clock_after(F.regexp_extract(text, en, 4)), zone)
+    english = dated(_int(text, en, 3), _english_month(F.regexp_extract(text, en, 1)), _int(text, en, 2), F.regexp_extract(text, en, 4))
     suffix = ymd(r"(20\d{2})-(\d{1,2})-(\d{1,2})\s*(?:前结束|截止|到期|失效|过期)")
     before = ymd(r"(20\d{2})\s*[-/.年]\s*(\d{1,2})\s*[-/.月]\s*(\d{1,2})\s*日?\s*(?:之?前)")
 
-    tail = r"^([\s\S]*?)(?:至|到|~|—|–)\s*(20\d{2})[-/.年]\s*(\d{1,2})[-/.月]\s*(\d{1,2})" + _TAIL
-    hugging = r"^\s*(\d{1,2})\s*[:时点]\s*(\d{1,2})?"
-    rest = F.regexp_extract(text, tail, 5)
-    hour, minute = _int(rest, hugging, 1), F.coalesce(_int(rest, hugging, 2), F.lit(0))
-    range_clock = F.when(hour.isNull(), _time(23, 59, 59)).when((hour <= 23) & (minute <= 59), F.struct(hour.alias("h"), minute.alias("mi"), F.lit(0).alias("s")))
-    ranged = F.when(
-        F.regexp_extract(text, tail, 1).rlike(r"20\d{2}[-/.年]\s*\d{1,2}[-/.月]\s*\d{1,2}"),
-        _instant(_int(text, tail, 2), _int(text, tail, 3), _int(text, tail, 4), range_clock, zone),
-    )
-
     def md(pattern: str) -> Column:
         p = pattern + _TAIL
-        return _yearless(_int(text, p, 1), _int(text, p, 2), F.regexp_extract(text, p, 3), anchor, zone)
+        return _yearless(F.struct(_int(text, p, 1).alias("m"), _int(text, p, 2).alias("d"), F.regexp_extract(text, p, 3).alias("r")), anchor, zone)
 
     yearless = F.coalesce(md(rf"{_LEAD}[^0-9\n]{{0,6}}?(\d{{1,2}})月(\d{{1,2}})日"), md(r"(\d{1,2})月(\d{1,2})日\s*(?:之?前)"))
 
     sr = r"(\d{1,2})月(\d{1,2})[日号]?[^\d\n]{0,3}?(?:至|到|~|—|–|-)\s*(\d{1,2})\s*[日号]" + _TAIL
-    short = F.when(_int(text, sr, 3) > _int(text, sr, 2), _yearless(_int(text, sr, 1), _int(text, sr, 3), F.regexp_extract(text, sr, 4), anchor, zone))
-    return F.coalesce(lead, english, suffix, before, ranged, yearless, short, _duration_end(text, anchor, zone))
+    tail = F.struct(_int(text, sr, 1).alias("m"), _int(text, sr, 3).alias("d"), F.regexp_extract(text, sr, 4).alias("r"))
+    short = _yearless(F.when(_int(text, sr, 3) > _int(text, sr, 2), tail), anchor, zone)
+    return F.coalesce(lead, english, suffix, before, _range_end(text, zone), yearless, short, _duration_end(text, anchor, zone))
+
+
+def _range_end(text: Column, zone: str) -> Column:
+    """The second of two joined full dates; a clock right after it must be a possible one."""
+    p = r"^([\s\S]*?)(?:至|到|~|—|–)\s*(20\d{2})[-/.年]\s*(\d{1,2})[-/.月]\s*(\d{1,2})" + _TAIL
+    hugging = r"^\s*(\d{1,2})\s*[:时点]\s*(\d{1,2})?"
+    parts = F.struct(
+        F.regexp_extract(text, p, 1).alias("head"), _int(text, p, 2).alias("y"), _int(text, p, 3).alias("m"), _int(text, p, 4).alias("d"), F.regexp_extract(text, p, 5).alias("r")
+    )
+
+    def read(x: Column) -> Column:
+        clock = let(
+            F.struct(_int(x.r, hugging, 1).alias("h"), F.coalesce(_int(x.r, hugging, 2), F.lit(0)).alias("mi")),
+            lambda c: F.when(c.h.isNull(), _time(23, 59, 59)).when((c.h <= 23) & (c.mi <= 59), _time(c.h, c.mi, 0)),
+        )
+        return F.when(x.head.rlike(r"20\d{2}[-/.年]\s*\d{1,2}[-/.月]\s*\d{1,2}"), let(clock, lambda c: _instant(x.y, x.m, x.d, c, zone)))
+
+    return let(parts, read)
 
 
 def _duration_end(text: Column, anchor: Column, zone: str) -> Column:
     """The end of a window stated as a duration; any date written in the text outranks it. Months overflow into the next."""
     p = rf"(?:限时|限免|为期)[^0-9\n{_NUMERALS}两]{{0,4}}?([{_NUMERALS}两]|\d{{1,2}})\s*(小时|天|日|周|个月|月)"
-    said, unit = F.regexp_extract(text, p, 1), F.regexp_extract(text, p, 2)
-    word = F.when(said == "两", F.lit(2)).when(said != "", F.array_position(F.array(*map(F.lit, _NUMERALS)), said))
-    n = F.coalesce(said.try_cast("int"), F.when(word > 0, word)).cast("int")
     dated = text.rlike(r"\d{1,2}\s*月\s*\d{1,2}\s*[日号]|20\d{2}\s*[-/.年]\s*\d{1,2}")
-    local = F.to_date(F.from_utc_timestamp(anchor, zone))
-    days = F.date_add(local, F.when(unit == "周", n * 7).otherwise(n))
-    months = F.date_add(F.trunc(F.add_months(F.trunc(local, "month"), n), "month"), F.dayofmonth(local) - 1)
-    day = F.when(unit.isin("个月", "月"), months).otherwise(days)
-    end = _instant(F.year(day), F.month(day), F.dayofmonth(day), _time(23, 59, 59), zone)
-    hours = F.when(n <= 72, anchor + F.make_dt_interval(F.lit(0), n))
-    short = F.when(unit == "周", n * 7).otherwise(n) <= 366
-    return F.when(dated | n.isNull() | (n < 1), F.lit(None).cast("timestamp")).when(unit == "小时", hours).when(short, end)
+    said = F.when(~dated, F.struct(F.regexp_extract(text, p, 1).alias("n"), F.regexp_extract(text, p, 2).alias("unit")))
+
+    def number(x: Column) -> Column:
+        word = F.nullif(F.array_position(F.array(*map(F.lit, _NUMERALS)), F.when(x.n == "两", F.lit("二")).otherwise(x.n)).cast("int"), F.lit(0))
+        return F.struct(F.coalesce(x.n.try_cast("int"), word).alias("n"), x.unit.alias("unit"))
+
+    def end(x: Column) -> Column:
+        local = F.to_date(F.from_utc_timestamp(anchor, zone))
+        n = F.when(x.unit == "周", x.n * 7).otherwise(x.n)
+        months = F.date_add(F.add_months(F.trunc(local, "month"), x.n), F.dayofmonth(local) - 1)
+        day = F.when(x.unit.isin("个月", "月"), months).otherwise(F.date_add(local, n))
+        last = let(day, lambda t: F.try_make_timestamp(F.year(t), F.month(t), F.dayofmonth(t), F.lit(23), F.lit(59), F.lit(59).cast("decimal(8,6)"), F.lit(zone)))
+        hours = F.when(x.n <= 72, anchor + F.make_dt_interval(F.lit(0), x.n))
+        return F.when(x.n >= 1, F.when(x.unit == "小时", hours).when(n <= 366, last))
+
+    return let(let(said, number), end)
 
 
 def starts_at(text: Column, anchor: Column, zone: str = ZONE) -> Column:
@@ -137,10 +158,12 @@ def starts_at(text: Column, anchor: Column, zone: str = ZONE) -> Column:
     year = F.year(F.from_utc_timestamp(anchor, zone))
 
     def one(m: Column) -> Column:
-        hour = _hour(F.coalesce(_group(m, core, 4), F.lit("")), _int(m, core, 5))
-        minute = F.coalesce(_int(m, core, 6), F.lit(0))
-        clock = F.when((hour <= 23) & (minute <= 59), F.struct(hour.alias("h"), minute.alias("mi"), F.lit(0).alias("s")))
-        return F.when(~m.rlike("^" + _LEAD), _instant(F.coalesce(_int(m, core, 1), year), _int(m, core, 2), _int(m, core, 3), clock, zone))
+        parts = F.struct(
+            F.coalesce(_int(m, core, 1), year).alias("y"), _int(m, core, 2).alias("m"), _int(m, core, 3).alias("d"),
+            _hour(F.regexp_extract(m, core, 4), _int(m, core, 5)).alias("h"), F.coalesce(_int(m, core, 6), F.lit(0)).alias("mi"),
+        )
+        opening = F.when(~m.rlike("^" + _LEAD), parts)
+        return let(opening, lambda x: F.when((x.h <= 23) & (x.mi <= 59), _instant(x.y, x.m, x.d, _time(x.h, x.mi, 0), zone)))
 
     return F.get(F.filter(F.transform(found, one), lambda t: t.isNotNull()), F.lit(0))
 

@@ -102,7 +102,7 @@ def scan_offers(text: Column, words: dict[str, list[str]] | None = None, vendor_
             n.word.alias("matched"),
             vendor.alias("vendor"),
             named.alias("product"),
-            evidence_window(text, F.char_length(F.regexp_extract(low, n.until, 1))).alias("evidence"),
+            evidence_window(text, F.char_length(F.call_function("regexp_extract", low, n.until, F.lit(1)))).alias("evidence"),
         ),
     )
 

@@ -281,7 +281,7 @@ def key_sql(source: str, column: str, name: str) -> str:
         out.append(f"{name}{i + 1} AS (SELECT *, {_STEP.format(x=f'k{i}')} AS k{i + 1} FROM {name}{i})")
     label = "trim(regexp_replace({x}, '^[^：:]{{1,6}}[：:]', ''))"
     cut = label.format(x=label.format(x="ltrim(k6)"))
-    words = f"trim(regexp_replace(lower(regexp_replace({cut}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' +', ' ', 'g'))"
+    words = f"trim(regexp_replace(lower(regexp_replace({cut}, '[^\\p{{Han}}\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' +', ' ', 'g'))"
     out.append(f"{name}7 AS (SELECT *, {words} AS kw FROM {name}6)")
     out.append(f"{name} AS (SELECT *, CASE WHEN length(kw) < 8 THEN '' ELSE trim(substring(kw, 1, 80)) END AS k FROM {name}7)")
     return ",\n".join(out)

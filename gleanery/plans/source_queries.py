@@ -1,2 +1,174 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Queries of the source parsers and catalogue operators, and of the platform itself, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleanery.functions import documents as doc
+from gleanery.functions.text import keyword_gate
+from gleanery.plans.text_queries import _literal
+from gleanery.session import table
+
+_RSS = """<rss><channel><item><title>Free tier</title><link>https://a.example/1</link><pubDate>Fri, 04 Sep 2026 10:00:00 GMT</pubDate><description><![CDATA[<b>x</b> y]]></description><guid>g1</guid></item>
+<item><title></title><link>/rel</link><dc:date>2026-09-01</dc:date><content:encoded>body</content:encoded></item></channel></rss>"""
+_ATOM = """<feed><entry><title>Trial</title><id>e1</id><link rel="self" href="https://a.example/self"/><link href="https://a.example/alt"/><updated>2026-09-02</updated><summary>s</summary></entry></feed>"""
+_TORN = """<rss><channel><item><title>A & B</title><link>https://a.example/t</link></item><item><title>cut"""
+_FEED_ROWS = [
+    ("rss", "Free tier", "https://a.example/1", "Fri, 04 Sep 2026 10:00:00 GMT", "<b>x</b> y", "g1"),
+    ("rss", "", "/rel", "2026-09-01", "body", ""),
+    ("atom", "Trial", "https://a.example/alt", "2026-09-02", "s", "e1"),
+    ("torn", "A & B", "https://a.example/t", "", "", ""),
+]
+_HTML = """<html><script>var a='<p>no</p>'</script><style>p{}</style><ul class="Promo"><li><a href="/x">Offer one free</a></li><li>2026-09-01</li><li>plain offer</li></ul><p>Offer one free</p></html>"""
+_BLOCKS = [(0, "Offer one free", "/x"), (1, "2026-09-01", ""), (2, "plain offer", ""), (3, "Offer one free", "")]
+_JSON = '{"data":{"items":[{"id":1,"name":"a","meta":{"home":"h1"}},{"id":2,"name":null,"meta":{"home":"h2"}}]},"n":1.5,"ok":true}'
+_SEARCH = """<a class="result__a" href="//d.example/l/?uddg=https%3A%2F%2Fa.example%2Fp%3Fq%3D1&amp;rut=1">Deal <b>one</b></a><td>first snippet</td><a class="result__a" href="https://b.example/">Two</a><td>second</td>"""
+
+
+def _one(spark: SparkSession, **texts: str) -> DataFrame:
+    return spark.createDataFrame([tuple(texts.items())[i] for i in range(len(texts))], "kind string, raw string")
+
+
+def rss_items(spark: SparkSession, d: str) -> DataFrame:
+    rows = _one(spark, rss=_RSS, atom=_ATOM, torn=_TORN)
+    blocks = rows.select("kind", F.explode(doc.feed_blocks(F.col("raw"))).alias("b"))
+    return blocks.select("kind", doc.feed_item(F.col("b")).alias("i")).select("kind", "i.title", "i.link", "i.stated", "i.summary", "i.guid")
+
+
+def html_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _one(spark, html=_HTML).select(F.explode(doc.html_blocks(F.col("raw"))).alias("b")).select("b.pos", "b.text", "b.href")
+
+
+def html_row_date(spark: SparkSession, d: str) -> DataFrame:
+    """Each linked or long segment with the date of the bare date segment that follows it on its page."""
+    seg = table(spark, d, "html_segments").select("page_id", "pos", "text")
+    dates = seg.select("page_id", (F.col("pos") - 1).alias("pos"), doc.row_date(F.col("text")).alias("stated")).where(F.col("stated") != "")
+    return seg.join(dates, ["page_id", "pos"]).select("page_id", "pos", "stated")
+
+
+def class_windows(spark: SparkSession, d: str) -> DataFrame:
+    return _one(spark, html="aaPROMObbpromocc", none="zzz").select("kind", F.explode(doc.class_windows(F.col("raw"), "promo", 7)).alias("piece"))
+
+
+def keep_first(spark: SparkSession, d: str) -> DataFrame:
+    """The first place of every text on a page, whatever its case."""
+    seg = table(spark, d, "html_segments").where(F.trim("text") != "")
+    return seg.groupBy("page_id", F.lower("text").alias("_t")).agg(F.min("pos").alias("pos")).select("page_id", "pos")
+
+
+def json_paths(spark: SparkSession, d: str) -> DataFrame:
+    rows = _one(spark, j=_JSON).select(F.explode(doc.json_rows(F.col("raw"), "data.items", {"id": "id", "name": "name", "home": "meta.home"})).alias("m"))
+    return rows.select(F.col("m")["id"].alias("id"), F.col("m")["name"].alias("name"), F.col("m")["home"].alias("home"))
+
+
+def json_flatten(spark: SparkSession, d: str) -> DataFrame:
+    return _one(spark, j=_JSON).select(F.explode(doc.flatten_json(F.col("raw"))).alias("fact"))
+
+
+def event_props(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+
+
+def hn_rows(spark: SparkSession, d: str) -> DataFrame:
+    h = table(spark, d, "hn_hits")
+    link = F.when(F.trim("url") != "", F.col("url")).otherwise(F.concat(F.lit("https://hn.example/item?id="), "object_id"))
+    head = F.format_string("%d points, %d comments", F.coalesce("points", F.lit(0)), F.coalesce("num_comments", F.lit(0)))
+    return h.select("hit_id", link.alias("link"), head.alias("head"))
+
+
+def search_results(spark: SparkSession, d: str) -> DataFrame:
+    rows = _one(spark, s=_SEARCH).where(~doc.is_challenge(F.col("raw"))).select(F.explode(doc.search_hits(F.col("raw"))).alias("h"))
+    return rows.select("h.title", "h.url", "h.snippet")
+
+
+def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Facts of the later pages of each host that its earlier pages did not have."""
+    seg = table(spark, d, "html_segments").where(F.col("text").rlike(r"[€£$]\s*\d|\d+\s*(?:%|GB|元)"))
+    key = F.substring(F.sha2(F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))), 256), 1, 16)
+    facts = seg.select("host", "page_id", key.alias("fact"))
+    old, new = facts.where("page_id % 2 = 0").select("host", "fact").distinct(), facts.where("page_id % 2 = 1").select("host", "fact").distinct()
+    return new.join(old, ["host", "fact"], "left_anti")
+
+
+def catalog_free_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Models that cost nothing in the last snapshot and did in the one before, or were not there."""
+    c = table(spark, d, "catalog_snapshots")
+    last = c.agg(F.max("snap_no").alias("n"))  # one row
+    zero = (F.trim(F.col("pricing.prompt")).try_cast("double") == 0) & (F.trim(F.col("pricing.completion")).try_cast("double") == 0)
+    free = c.where(zero).select("snap_no", F.lower(F.trim("id")).alias("model_id")).join(F.broadcast(last))
+    new = free.where(F.col("snap_no") == F.col("n")).select("model_id").distinct()
+    return new.join(free.where(F.col("snap_no") == F.col("n") - 1).select("model_id"), "model_id", "left_anti")
+
+
+def source_dim(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "feed_sources").where(~F.coalesce("disabled", F.lit(False))).select("name", "kind", F.coalesce("max_items", F.lit(40)).alias("max_items"))
+
+
+def normalize_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Per source, what was seen and what passes the gate."""
+    r = table(spark, d, "rss_items").where(F.trim("title") != "")
+    ok = keyword_gate(F.concat_ws(" ", "title", "description"), ["free", "免费", "%"], ["repost"])
+    return r.groupBy("source").agg(F.count("*").alias("seen"), F.count_if(ok).alias("kept"))
+
+
+def per_source_limit(spark: SparkSession, d: str) -> DataFrame:
+    """The first items of each source, as many as it allows: the identifiers up to its cutoff."""
+    r = table(spark, d, "rss_items").select("source", "item_id")
+    return r.selectExpr("item_id", "row_number() OVER (PARTITION BY source ORDER BY item_id) AS k").where("k <= 20").select("item_id")
+
+
+def detail_enrich(spark: SparkSession, d: str) -> DataFrame:
+    """Items with the text of their page where it says enough, cut to a bounded length."""
+    items = table(spark, d, "deals").select("log_seq", F.lower("url").alias("u"), "summary")
+    pages = table(spark, d, "html_segments").where(F.length("text") >= 20).groupBy(F.lower("url").alias("u")).agg(F.max("text").alias("detail"))
+    return items.join(pages, "u", "left").select("log_seq", F.when(F.length("detail") >= 100, F.substring("detail", 1, 2000)).otherwise(F.col("summary")).alias("body"))
+
+
+def events_tumbling(spark: SparkSession, d: str) -> DataFrame:
+    w = table(spark, d, "events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return w.select(F.col("w.start").alias("day"), "event_type", "n")
+
+
+def events_session(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "events").groupBy("user_id", F.session_window("ts", "6 hours").alias("s")).agg(F.count("*").alias("n"))
+    return s.select("user_id", F.col("s.start").alias("since"), "n")
+
+
+def region_rollup(spark: SparkSession, d: str) -> DataFrame:
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    return n.join(r, n.n_regionkey == r.r_regionkey).rollup("r_name", "n_name").agg(F.count("*").alias("n"))
+
+
+def orders_topk(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25).select("o_orderkey", "o_totalprice")
+
+
+_ALL = (
+    rss_items, html_segments, html_row_date, class_windows, keep_first, json_paths, json_flatten, event_props, hn_rows, search_results, snapshot_diff,
+    catalog_free_diff, source_dim, normalize_rows, per_source_limit, detail_enrich, events_tumbling, events_session, region_rollup, orders_topk,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+
+ORACLES = {
+    "rss_items": _literal(_FEED_ROWS, "kind, title, link, stated, summary, guid"),
+    "html_segments": _literal(_BLOCKS, "pos, text, href", "pos::int AS pos, text, href"),
+    "html_row_date": r"SELECT a.page_id, a.pos, regexp_extract(b.text, '(20\d{2}[-/.]\d{1,2}[-/.]\d{1,2})', 1) AS stated FROM html_segments a JOIN html_segments b ON a.page_id = b.page_id AND b.pos = a.pos + 1 WHERE length(b.text) <= 24 AND regexp_matches(b.text, '20\d{2}[-/.]\d{1,2}[-/.]\d{1,2}')",
+    "class_windows": _literal([("html", "PROMObb"), ("html", "promocc"), ("none", "zzz")], "kind, piece"),
+    "keep_first": "SELECT page_id, min(pos) AS pos FROM html_segments WHERE trim(text) <> '' GROUP BY page_id, lower(text)",
+    "json_paths": _literal([("1", "a", "h1"), ("2", None, "h2")], "id, name, home"),
+    "json_flatten": _literal([(x,) for x in ("data.items.0.id=1", "data.items.0.meta.home=h1", "data.items.0.name=a", "data.items.1.id=2", "data.items.1.meta.home=h2", "n=1.5", "ok=true")], "fact"),
+    "event_props": "SELECT event_id, (props->>'$.k')::int AS k FROM events",
+    "hn_rows": "SELECT hit_id, CASE WHEN trim(url) <> '' THEN url ELSE 'https://hn.example/item?id=' || object_id END AS link, coalesce(points, 0) || ' points, ' || coalesce(num_comments, 0) || ' comments' AS head FROM hn_hits",
+    "search_results": _literal([("Deal one", "https://a.example/p?q=1", "first snippet"), ("Two", "https://b.example/", "second")], "title, url, snippet"),
+    "snapshot_diff": r"WITH f AS (SELECT host, page_id, substring(sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))), 1, 16) AS fact FROM html_segments WHERE regexp_matches(text, '[€£$]\s*\d|\d+\s*(?:%|GB|元)')) SELECT DISTINCT host, fact FROM f WHERE page_id % 2 = 1 EXCEPT SELECT host, fact FROM f WHERE page_id % 2 = 0",
+    "catalog_free_diff": "WITH f AS (SELECT snap_no, lower(trim(id)) AS model_id FROM catalog_snapshots WHERE try_cast(trim(pricing.prompt) AS double) = 0 AND try_cast(trim(pricing.completion) AS double) = 0), l AS (SELECT max(snap_no) AS n FROM catalog_snapshots) SELECT model_id FROM f, l WHERE snap_no = n EXCEPT SELECT model_id FROM f, l WHERE snap_no = n - 1",
+    "source_dim": "SELECT name, kind, coalesce(max_items, 40) AS max_items FROM feed_sources WHERE NOT coalesce(disabled, false)",
+    "normalize_rows": "SELECT source, count(*) AS seen, count_if(NOT contains(b, 'repost') AND (contains(b, 'free') OR contains(b, '免费') OR contains(b, '%')))::bigint AS kept FROM (SELECT source, lower(concat_ws(' ', title, description)) AS b FROM rss_items WHERE trim(title) <> '') GROUP BY 1",
+    "per_source_limit": "SELECT item_id FROM rss_items QUALIFY row_number() OVER (PARTITION BY source ORDER BY item_id) <= 20",
+    "detail_enrich": "WITH p AS (SELECT lower(url) AS u, max(text) AS detail FROM html_segments WHERE length(text) >= 20 GROUP BY 1) SELECT log_seq, CASE WHEN length(detail) >= 100 THEN substring(detail, 1, 2000) ELSE summary END AS body FROM deals LEFT JOIN p ON lower(deals.url) = p.u",
+    "events_tumbling": "SELECT date_trunc('day', ts)::timestamp AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "events_session": "WITH m AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + interval 6 hour OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM m) SELECT user_id, min(ts) AS since, count(*) AS n FROM s GROUP BY user_id, g",
+    "region_rollup": "SELECT r_name, n_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)",
+    "orders_topk": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
+}

@@ -1,2 +1,231 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Queries of the text, URL and clock functions, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleanery import lexicon
+from gleanery.functions import clock, text, url
+from gleanery.functions.documents import resolve_url as resolve
+from gleanery.functions.instants import utc_ms
+from gleanery.plans.deal_queries import key_sql
+from gleanery.session import table
+
+#: A small lexicon with words that the test texts hold both alone and within other words.
+TEST_WORDS = {"free": ["free", "免费"], "discount": ["off", "折扣"], "credit": ["credits", "代金券"], "trial": ["trial", "公测"], "coupon": ["coupon", "优惠券"]}
+TEST_VENDORS = [("ai", "AI"), ("cloud", "Cloud"), ("labs", "Labs"), ("数据", "数据")]
+
+
+def _deals(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "deals")
+
+
+def title_key(spark: SparkSession, d: str) -> DataFrame:
+    return _deals(spark, d).select("log_seq", text.dedup_key(F.col("title")).alias("key"))
+
+
+def url_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return _deals(spark, d).select("log_seq", url.normalize_url(F.col("url")).alias("page"))
+
+
+def fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    return _deals(spark, d).select("log_seq", url.fingerprint(F.col("url"), F.col("source"), F.col("title")).alias("fp"))
+
+
+def hosts(spark: SparkSession, d: str) -> DataFrame:
+    return _deals(spark, d).select("log_seq", url.host_of(F.col("url")).alias("host"))
+
+
+def clean_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "rss_items").select("item_id", text.clean_text(text.decode_entities(F.col("content_encoded"))).alias("body"))
+
+
+def gated(spark: SparkSession, d: str) -> DataFrame:
+    blob = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("summary", F.lit("")))
+    return _deals(spark, d).select("log_seq", text.keyword_gate(blob, ["GPU", "tokens", "免费"], ["waiting list"]).alias("ok"))
+
+
+def noise(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.is_noise(F.col("text"), ["waiting list", "排队"]).alias("noise"))
+
+
+def bounded_words(spark: SparkSession, d: str) -> DataFrame:
+    low = F.col("text")
+    return table(spark, d, "documents").select("doc_id", *[F.coalesce(text.bounded(low, w), F.lit(False)).alias(f"has_{i}") for i, w in enumerate(("off", "free", "gb", "for everyone", "免费"))])
+
+
+def offer_scan(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select("doc_id", "text")
+    found = rows.select("doc_id", F.explode(text.scan_offers(F.col("text"), TEST_WORDS, TEST_VENDORS)).alias("o"))
+    return found.select("doc_id", "o.kind", "o.matched", "o.vendor", "o.evidence")
+
+
+def vendor_extract(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.array_join(text.vendors(F.col("text"), TEST_VENDORS), ",").alias("vendors"))
+
+
+def product_extract(spark: SparkSession, d: str) -> DataFrame:
+    return _deals(spark, d).select("log_seq", text.product(F.col("title"), r"[A-Z][a-z]{5,}-\d+\.\d+").alias("product"))
+
+
+def discount_stated(spark: SparkSession, d: str) -> DataFrame:
+    return _deals(spark, d).select("log_seq", text.discount_pct(F.concat_ws("\n", "title", "summary")).alias("pct"))
+
+
+def title_words(spark: SparkSession, d: str) -> DataFrame:
+    return _deals(spark, d).select("log_seq", text.title_keywords(F.col("title"), 4).alias("words"))
+
+
+def text_blobs(spark: SparkSession, d: str) -> DataFrame:
+    return _deals(spark, d).select("log_seq", F.md5(text.text_blob(F.col("title"), F.col("summary"), F.col("offers"))).alias("blob"))
+
+
+def first_stated(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "rss_items").select("item_id", text.coalesce_blank(F.col("content_encoded"), F.col("description"), F.col("title")).alias("body"))
+
+
+def truncations(spark: SparkSession, d: str) -> DataFrame:
+    s = F.col("summary")
+    return _deals(spark, d).select("log_seq", text.truncate(s, 40).alias("a"), text.truncate(s, 40, keep_all=True).alias("b"), text.truncate(s, 40, strip=False).alias("c"))
+
+
+_STARTS = [
+    ("消费券将于2026年9月18日上午10点开抢", "2026-09-18 02:00:00"),
+    ("9月21日晚上8:30开放领取", "2026-09-21 12:30:00"),
+    ("截止9月20日 10:00，9月22日 9:00开抢", "2026-09-22 01:00:00"),
+    ("9月31日 10:00 开抢", None),
+    ("9月25日 24:00 开放", None),
+    ("下周开放", None),
+]
+_ENDS = [
+    ("截止日期：2026年9月30日", "2026-09-30 15:59:59"),
+    ("限时免费开放至2026年8月31日 18:00", "2026-08-31 10:00:00"),
+    ("Free until September 30, 2026", "2026-09-30 15:59:59"),
+    ("2026-09-18 前结束", "2026-09-18 15:59:59"),
+    ("需在 2026 年 12 月 31 日前注册", "2026-12-31 15:59:59"),
+    ("2026年9月18日10:00至2026年9月25日", "2026-09-25 15:59:59"),
+    ("限时免费至9月20日", "2026-09-20 15:59:59"),
+    ("8月28日前领取", None),
+    ("活动时间9月20日至27日", "2026-09-27 15:59:59"),
+    ("限时免费一周", "2026-09-17 15:59:59"),
+    ("限时三十天", None),
+    ("限免 48 小时", "2026-09-12 08:00:00"),
+    ("截止到2026年9月31日", None),
+    ("截止9月20日24:00", "2026-09-20 15:59:00"),
+    ("限时一个月", "2026-10-10 15:59:59"),
+    ("长期有效", None),
+]
+_TIMES = ["2026-09-01T10:00:00+08:00", "Fri, 04 Sep 2026 10:00:00 GMT", "1788000000", "1788000000000", "2026/09/01", "09-01-2026", "0", "just now", "2026-02-30"]
+_SECRETS = [
+    ("token = abcdefgh1234", "token = abcd…****34"),
+    ("Authorization: Bearer sk-123456789", "Authorization: Bearer sk-1…****89"),
+    ("password: 'abc4567'", "password: '*******'"),
+    ("nothing here", "nothing here"),
+]
+_ENTITIES = [("a &amp;lt; b", "a &lt; b"), ("&#65;&#x42;&hellip;", "AB…"), ("&unknown; &NBSP;x", "&unknown;  x"), ("plain", "plain")]
+_REFS = [
+    ("https://a.example/x/y", "../z?q=1", "https://a.example/z?q=1"),
+    ("https://a.example/x/", "/abs", "https://a.example/abs"),
+    ("https://a.example/", "//b.example/c", "https://b.example/c"),
+    ("https://a.example/", "javascript:void(0)", None),
+    ("https://a.example/", "", ""),
+]
+
+
+def starts_at(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([(t,) for t, _ in _STARTS], "text string")
+    return rows.select("text", clock.starts_at(F.col("text"), F.lit("2026-09-10 08:00:00").cast("timestamp")).alias("moment"))
+
+
+def expires_at(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([(t,) for t, _ in _ENDS], "text string")
+    return rows.select("text", clock.expires_at(F.col("text"), F.lit("2026-09-10 08:00:00").cast("timestamp")).alias("moment"))
+
+
+def reparse_drift(spark: SparkSession, d: str) -> DataFrame:
+    blob = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("summary", F.lit("")))
+    rows = _deals(spark, d).select(blob.alias("blob"), F.coalesce("published_at", "discovered_at").alias("anchor"), F.try_to_timestamp(F.col("meta")["expires_at"]).alias("kept"))
+    read = rows.select("kept", clock.expires_at(F.col("blob"), F.col("anchor")).alias("read"))
+    return read.agg(F.count_if(F.col("read").isNotNull()).alias("read"), F.count_if((F.col("read") != F.col("kept")) | (F.col("read").isNotNull() & F.col("kept").isNull())).alias("drifted"))
+
+
+def parse_any_time(spark: SparkSession, d: str) -> DataFrame:
+    udf = F.pandas_udf(lambda s: s.map(lambda t: utc_ms(t, "UTC")).astype("Int64"), "long")
+    rows = spark.createDataFrame([(t,) for t in _TIMES], "raw string")
+    return rows.select("raw", udf("raw").alias("ms"))
+
+
+def redact_text(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([(t,) for t, _ in _SECRETS], "text string")
+    return rows.select("text", text.redact("text").alias("safe"))
+
+
+def decode_entities(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([(t,) for t, _ in _ENTITIES], "text string")
+    return rows.select("text", text.decode_entities(F.col("text")).alias("plain"))
+
+
+def resolve_url(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([r[:2] for r in _REFS], "base string, ref string")
+    return rows.select("base", "ref", resolve(F.col("base"), F.col("ref")).alias("url"))
+
+
+def _literal(rows: list[tuple], names: str, casts: str = "") -> str:
+    cell = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT {casts or '*'} FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS t({names})"
+
+
+_ALL = (
+    title_key, url_normalize, fingerprint, hosts, clean_bodies, gated, noise, bounded_words, offer_scan, vendor_extract, product_extract, discount_stated,
+    title_words, text_blobs, first_stated, truncations, starts_at, expires_at, reparse_drift, parse_any_time, redact_text, decode_entities, resolve_url,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+
+_PAGE = r"""lower(regexp_replace(regexp_replace(CASE WHEN NOT contains(b, '?') THEN b ELSE split_part(b, '?', 1) || CASE WHEN len(kept) = 0 THEN '' ELSE '?' || array_to_string(kept, '&') END END, '/$', ''), '#[\s\S]*', ''))"""
+_PAGES = (
+    r"""WITH bare AS (SELECT *, replace(regexp_replace(regexp_replace(trim(url, chr(32) || chr(9) || chr(10) || chr(13) || chr(160) || chr(12288)), '^https://', ''), '^http://', ''), 'www.', '') AS b FROM deals),
+q AS (SELECT *, list_filter(string_split(substring(b, strpos(b, '?') + 1), '&'), lambda p: split_part(p, '=', 1) <> '' AND NOT regexp_matches(lower(split_part(p, '=', 1)), '^("""
+    + "|".join(url.TRACKING)
+    + r""")')) AS kept FROM bare), pages AS (SELECT log_seq, source, title, """
+    + _PAGE
+    + " AS page FROM q)"
+)
+
+
+def _has(column: str, word: str) -> str:
+    if not word.isascii():
+        return f"contains(lower({column}), '{word}')"
+    return f"regexp_matches(lower({column}), '(^|[^a-z0-9]){word}([^a-z0-9]|$)')"
+
+
+_SCAN = " UNION ALL ".join(
+    f"SELECT doc_id, '{kind}' AS kind, '{w}' AS matched, text, length(regexp_extract(lower(text), '(?s)^(.*?)" + (f"(^|[^a-z0-9]){w}([^a-z0-9]|$)', 1)) + length(regexp_extract(lower(text), '(?s)^(.*?)(^|[^a-z0-9]){w}([^a-z0-9]|$)', 2))" if w.isascii() else f"{w}', 1))") + f" AS p FROM documents WHERE {_has('text', w)}"
+    for kind, ws in TEST_WORDS.items()
+    for w in ws
+)
+_FIRST_VENDOR = "CASE " + " ".join(f"WHEN contains(lower(text), '{w}') THEN '{v}'" for w, v in TEST_VENDORS) + " ELSE '' END"
+ORACLES = {
+    "title_key": "WITH " + key_sql("deals", "title", "q") + " SELECT log_seq, k AS key FROM q WHERE title IS NOT NULL UNION ALL SELECT log_seq, NULL FROM deals WHERE title IS NULL",
+    "url_normalize": _PAGES + " SELECT log_seq, page FROM pages",
+    "fingerprint": _PAGES + " SELECT log_seq, substring(sha256(CASE WHEN coalesce(page, '') <> '' THEN page ELSE coalesce(source, '') || '|' || lower(trim(coalesce(title, ''))) END), 1, 32) AS fp FROM pages",
+    "hosts": r"SELECT log_seq, regexp_replace(regexp_extract(regexp_replace(lower(trim(coalesce(url, ''))), '^[a-z][a-z0-9+.-]*://', ''), '^[^/?#]*'), '^www\.', '') AS host FROM deals",
+    "clean_bodies": r"SELECT item_id, trim(regexp_replace(translate(regexp_replace(replace(replace(content_encoded, '&lt;', '<'), '&amp;', '&'), '<[^>]*>', ' ', 'g'), chr(10) || chr(9), '  '), '[ \t\r\f\v]+', ' ', 'g')) AS body FROM rss_items",
+    "gated": "SELECT log_seq, NOT contains(b, 'waiting list') AND (contains(b, 'gpu') OR contains(b, 'tokens') OR contains(b, '免费')) AS ok FROM (SELECT log_seq, lower(coalesce(title, '') || ' ' || coalesce(summary, '')) AS b FROM deals)",
+    "noise": "SELECT doc_id, contains(lower(text), 'waiting list') OR contains(lower(text), '排队') AS noise FROM documents",
+    "bounded_words": "SELECT doc_id, " + ", ".join(f"{_has('text', w)} AS has_{i}" for i, w in enumerate(("off", "free", "gb", "for everyone", "免费"))) + " FROM documents",
+    "offer_scan": f"WITH s AS ({_SCAN}), w AS (SELECT *, least(greatest(p - 16, 0) + 80, length(text)) AS hi FROM s) SELECT doc_id, kind, matched, {_FIRST_VENDOR} AS vendor, trim(regexp_replace(substring(text, greatest(least(greatest(p - 16, 0), hi - 80), 0) + 1, hi - greatest(least(greatest(p - 16, 0), hi - 80), 0)), '\\s+', ' ', 'g')) AS evidence FROM w",
+    "vendor_extract": "SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN contains(lower(text), '{w}') THEN '{v}' END" for w, v in TEST_VENDORS) + ") AS vendors FROM documents",
+    "product_extract": r"SELECT log_seq, trim(regexp_extract(title, '[A-Z][a-z]{5,}-\d+\.\d+')) AS product FROM deals",
+    "discount_stated": r"""SELECT log_seq, greatest(coalesce((10 - try_cast(nullif(regexp_extract(b, '([1-9])\s*折', 1), '') AS int)) * 10, 0), coalesce(list_max(list_filter(list_transform(list_concat(regexp_extract_all(b, '(?i)(\d{1,3})\s*%\s*(?:off|折扣|减免|降价)', 1), regexp_extract_all(b, '(?i)(?:off|discount|折扣)\D{0,12}?(\d{1,3})\s*%', 1)), lambda x: try_cast(x AS int)), lambda n: n BETWEEN 5 AND 100)), 0))::int AS pct FROM (SELECT log_seq, concat_ws(chr(10), title, summary) AS b FROM deals)""",
+    "title_words": r"SELECT log_seq, array_to_string(list_filter(regexp_extract_all(title, '[\p{Han}]+|[A-Za-z0-9.\-]+'), lambda w: strlen(w) >= 2 AND NOT list_contains(['" + "','".join(lexicon.STOP_WORDS) + "'], lower(w)))[1:4], ' ') AS words FROM deals",
+    "text_blobs": "SELECT log_seq, md5(array_to_string(list_concat([coalesce(title, ''), coalesce(summary, '')], coalesce(list_transform(offers, lambda o: coalesce(o.evidence, '')), [])), chr(10))) AS blob FROM deals",
+    "first_stated": "SELECT item_id, coalesce(CASE WHEN trim(content_encoded) <> '' THEN content_encoded END, CASE WHEN trim(description) <> '' THEN description END, CASE WHEN trim(title) <> '' THEN title END, '') AS body FROM rss_items",
+    "truncations": "SELECT log_seq, CASE WHEN length(summary) > 40 THEN trim(substring(summary, 1, 39)) || '…' ELSE summary END AS a, CASE WHEN length(summary) > 40 THEN substring(summary, 1, 40) || '…' ELSE summary END AS b, CASE WHEN length(summary) > 40 THEN substring(summary, 1, 39) || '…' ELSE summary END AS c FROM deals",
+    "starts_at": _literal(_STARTS, "text, moment", "text, moment::timestamp AS moment"),
+    "expires_at": _literal(_ENDS, "text, moment", "text, moment::timestamp AS moment"),
+    "parse_any_time": _literal([(t, m) for t, m in zip(_TIMES, (1788228000000, 1788516000000, 1788000000000, 1788000000000, 1788220800000, 1788220800000, None, None, None))], "raw, ms", "raw, ms::bigint AS ms"),
+    "redact_text": _literal(_SECRETS, "text, safe"),
+    "decode_entities": _literal(_ENTITIES, "text, plain"),
+    "resolve_url": _literal(_REFS, "base, ref, url"),
+}
