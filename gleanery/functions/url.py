@@ -32,13 +32,12 @@ def fingerprint(url: Column, source: Column, title: Column) -> Column:
 
 
 def host_of(url: Column) -> Column:
-    """Host in lower case without user, port and ``www.``; works without a scheme; '' if there is none."""
+    """Host in lower case without user and port; works without a scheme; '' if there is none."""
     s = F.lower(F.trim(F.coalesce(url, F.lit(""))))
     s = F.regexp_replace(s, "^[a-z][a-z0-9+.-]*://", "")
     s = F.regexp_extract(s, "^[^/?#]*", 0)
     s = F.regexp_replace(s, "^.*@", "")
-    s = F.regexp_replace(s, r"^([^\[].*?):\d*$", "$1")
-    return F.regexp_replace(s, r"^www\.", "")
+    return F.regexp_replace(s, r":[^\]:]*\z", "")
 
 
 def host_suffixes(host: Column) -> Column:

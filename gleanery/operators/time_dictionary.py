@@ -46,7 +46,7 @@ def normalise_instants(rows: DataFrame, path: str | None = None) -> DataFrame:
     ``utc_ms`` is null where the value states no time, be it null, blank, zero or a word. Repeated
     rows stay repeated; other columns stay as they are.
     """
-    rows = rows.withColumn("tz_name", F.coalesce("tz_name", F.lit("UTC")))
+    rows = rows.drop("utc_ms").withColumn("tz_name", F.coalesce("tz_name", F.lit("UTC")))
     told = build_dictionary(rows, path).where(F.col("utc_ms").isNotNull())
     return rows.join(told, ["raw", "tz_name"], "left")
 

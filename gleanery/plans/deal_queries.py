@@ -349,6 +349,6 @@ ORACLES = {
     "due_counts": _moments(336, 60) + " SELECT count_if(due = 'opening')::bigint AS opening, count_if(due = 'closing')::bigint AS closing FROM n",
     "upcoming_events": _moments(720, 4320) + " SELECT *, o_orderkey % 5 = 0 AS reminded FROM n",
     "vendor_for_host": "WITH dom AS (SELECT host AS domain, name AS vendor FROM feed_sources UNION ALL SELECT 'blog.' || host, name FROM feed_sources) SELECT h.host, (SELECT arg_max(vendor, length(domain)) FROM dom WHERE h.host = domain OR h.host LIKE '%.' || domain) AS vendor FROM (SELECT DISTINCT lower(host) AS host FROM html_segments) h",
-    "official_host": "SELECT log_seq, h = site OR ends_with(h, '.' || site) AS official FROM (SELECT log_seq, lower(trim(source)) AS s, regexp_replace(regexp_extract(regexp_replace(lower(trim(coalesce(url, ''))), '^[a-z][a-z0-9+.-]*://', ''), '^[^/?#]*'), '^www\\.', '') AS h FROM deals) JOIN (SELECT lower(trim(name)) AS n, host AS site FROM feed_sources) ON s = n",
+    "official_host": "SELECT log_seq, h = site OR ends_with(h, '.' || site) AS official FROM (SELECT log_seq, lower(trim(source)) AS s, regexp_extract(regexp_replace(lower(trim(coalesce(url, ''))), '^[a-z][a-z0-9+.-]*://', ''), '^[^/?#]*') AS h FROM deals) JOIN (SELECT lower(trim(name)) AS n, host AS site FROM feed_sources) ON s = n",
     "canonical_page": "SELECT log_seq, CASE WHEN len(offers) = 0 OR offers[1].kind NOT IN ('free','credit','trial','coupon') THEN 'https://v.example/pricing' ELSE 'https://v.example/free' END AS page FROM deals WHERE offers IS NOT NULL",
 }

@@ -209,7 +209,7 @@ ORACLES = {
     "title_key": "WITH " + key_sql("deals", "title", "q") + " SELECT log_seq, k AS key FROM q WHERE title IS NOT NULL UNION ALL SELECT log_seq, NULL FROM deals WHERE title IS NULL",
     "url_normalize": _PAGES + " SELECT log_seq, page FROM pages",
     "fingerprint": _PAGES + " SELECT log_seq, substring(sha256(CASE WHEN coalesce(page, '') <> '' THEN page ELSE coalesce(source, '') || '|' || lower(trim(coalesce(title, ''))) END), 1, 32) AS fp FROM pages",
-    "hosts": r"SELECT log_seq, regexp_replace(regexp_extract(regexp_replace(lower(trim(coalesce(url, ''))), '^[a-z][a-z0-9+.-]*://', ''), '^[^/?#]*'), '^www\.', '') AS host FROM deals",
+    "hosts": r"SELECT log_seq, regexp_extract(regexp_replace(lower(trim(coalesce(url, ''))), '^[a-z][a-z0-9+.-]*://', ''), '^[^/?#]*') AS host FROM deals",
     "clean_bodies": r"SELECT item_id, trim(regexp_replace(translate(regexp_replace(replace(replace(content_encoded, '&lt;', '<'), '&amp;', '&'), '<[^>]*>', ' ', 'g'), chr(10) || chr(9), '  '), '[ \t\r\f\v]+', ' ', 'g')) AS body FROM rss_items",
     "gated": "SELECT log_seq, NOT contains(b, 'waiting list') AND (contains(b, 'gpu') OR contains(b, 'tokens') OR contains(b, '免费')) AS ok FROM (SELECT log_seq, lower(coalesce(title, '') || ' ' || coalesce(summary, '')) AS b FROM deals)",
     "noise": "SELECT doc_id, contains(lower(text), 'waiting list') OR contains(lower(text), '排队') AS noise FROM documents",
