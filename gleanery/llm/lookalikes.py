@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from gleanery.session import keep
+
 #: At most so many vocabulary words are sent to the workers, the most frequent ones; it bounds the broadcast.
 VOCABULARY_LIMIT = 60_000
 #: A word enters the vocabulary once it occurs so often.
@@ -238,7 +240,8 @@ def lookalike_pairs(rows: DataFrame, fields: list[str], identifier: str, copies:
         F.col(identifier).alias("id"), F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("raw")) for f in fields]))
     ).where(F.col("raw").rlike(r"\S"))
     words = vocabulary(F.col("raw"), flat)
-    keyed = flat.select("field", "id", F.md5("raw").alias("raw"), F.md5(canonical_text(F.col("raw"), words)).alias("look"))
+    # spelled once, then read by every step; only hashes are kept
+    keyed = keep(flat.select("field", "id", F.md5("raw").alias("raw"), F.md5(canonical_text(F.col("raw"), words)).alias("look")))
     spellings = keyed.groupBy("field", "look", "raw").agg(F.count("*").alias("n"))
     several = spellings.groupBy("field", "look").agg(F.count("*").alias("k")).where("k > 1").select("field", "look")
     members = keyed.join(several, ["field", "look"], "left_semi")
