@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.session import keep
@@ -21,9 +21,8 @@ def _search(hist: DataFrame, bounds: DataFrame, groups: list[str], fanout: int =
     """
     state = bounds.withColumn("above", F.lit(0).cast("long"))
     while True:
-        seen = Observation()
-        state = keep(state.observe(seen, F.max(F.col("hi") - F.col("lo")).alias("width")))
-        if (seen.get["width"] or 0) <= 1:
+        state = keep(state)
+        if (state.agg(F.max(F.col("hi") - F.col("lo")).alias("width")).first().width or 0) <= 1:
             return state.select(*groups, F.col("hi").alias("cutoff"), (F.col("want") - F.col("above")).alias("room"))
         stepped = state.withColumn("step", F.ceil((F.col("hi") - F.col("lo")) / fanout).cast("long"))
         inside = hist.join(stepped, groups).where((F.col("v") > F.col("lo")) & (F.col("v") <= F.col("hi")))
