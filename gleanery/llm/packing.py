@@ -15,8 +15,8 @@ from gleanery.session import keep
 
 #: Where the public tokenizers' files are, and which is used unless told otherwise.
 TOKENIZERS, TOKENIZER = os.environ.get("TOKENIZERS_PATH", "/opt/tokenizers"), "byte_bpe_50k.tiktoken"
-#: Tokens that one task packs.
-TOKENS_PER_TASK = 40_000_000
+#: Tokens and documents that one task packs, at most about; of a document only its id, source and size are held.
+TOKENS_PER_TASK, DOCUMENTS_PER_TASK = 40_000_000, 100_000
 
 _PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
@@ -95,8 +95,9 @@ def pack(documents: DataFrame, containers: DataFrame, targets: DataFrame | None
     sized = keep(
         documents.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), count_tokens().alias("tokens"))
     )
-    total = sized.agg(F.sum("tokens").alias("n")).first().n or 0
-    tasks = max(1, -(-total // tokens_per_task))
+    size = sized.agg(F.sum("tokens").alias("n"), F.count("*").alias("k")).first()
+    total = size.n or 0
+    tasks = max(1, -(-total // tokens_per_task), -(-size.k // DOCUMENTS_PER_TASK))
     placed = sized.withColumn("task", F.pmod(F.xxhash64("doc_id"), F.lit(tasks)).cast("int"))
     by_task = placed.groupBy("task", "source").agg(F.sum("tokens").alias("n"))
     # one row per source, and per task and source: the size of the source dimension, times the tasks
@@ -116,6 +117,8 @@ def pack(documents: DataFrame, containers: DataFrame, targets: DataFrame | None
             owed[s] = owed.get(s, 0.0) + shares.get(s, 0.0) * sum(own.values()) - own.get(s, 0)
     kinds = containers.dropna(subset=["container", "capacity_tokens"]).distinct()
     rows = [(r.container, int(r.capacity_tokens)) for r in kinds.collect() if r.capacity_tokens > 0]  # a fixed dimension
+    if not rows:
+        return documents.sparkSession.createDataFrame([], "container string, bin long, doc_id long, piece int, tokens int")
     work = placed.select("task", "doc_id", "source", "tokens", F.explode(F.array(*[F.struct(F.lit(c).alias("container"), F.lit(k).alias("capacity")) for c, k in rows])).alias("c"))
     work = work.select("task", "doc_id", "source", "tokens", "c.container", "c.capacity")
 
