@@ -168,3 +168,9 @@ def link_ladder(own_vendor: Column, named_vendor: Column, cached_url: Column, ca
         .when(F.coalesce(probed_url, F.lit("")) != "", step("verified", 8, probed_url))
         .otherwise(step("unresolved", -6, nothing))
     )
+
+
+def by_severity(checks: DataFrame, status: str = "status", position: str = "pos") -> DataFrame:
+    """Report rows with failures first, then warnings, then what is well; otherwise in their order."""
+    rank = F.when(F.col(status) == "fail", 0).when(F.col(status) == "warn", 1).otherwise(2)
+    return checks.orderBy(rank, position)

@@ -84,3 +84,12 @@ def test_page_source(spark, tmp_path):
 def test_egress_guard():
     assert blocked("169.254.169.254", True) and blocked("127.0.0.1") and blocked("10.0.0.1") and blocked("::ffff:10.0.0.1")
     assert not blocked("127.0.0.1", True) and not blocked("93.184.216.34")
+
+
+def test_sql_functions(spark):
+    from gleanery.plans.sql_functions import register
+
+    register(spark)
+    row = spark.sql("SELECT decode_entities('a &amp; b') AS a, redact_text('token=abcdefghij') AS b, utc_ms('2026-01-01', 'UTC') AS c").first()
+    assert (row.a, row.b, row.c) == ("a & b", "token=abcd…****ij", 1767225600000)
+    assert [tuple(r) for r in spark.sql("SELECT * FROM scan_words('Free and free', 'free, x')").collect()] == [("free", 0), ("free", 9)]
