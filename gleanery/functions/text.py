@@ -220,3 +220,29 @@ def mask(secret: str) -> str:
 def redact(s: pd.Series) -> pd.Series:
     """``name: value`` secrets in a text masked; schemes and quotes stay."""
     return s.map(lambda t: t if t is None else _SECRET.sub(lambda m: m[1] + m[2] + (m[3] or "") + mask(m[4]), t))
+
+
+#: Classes of credentials by how they are written.
+SECRETS = {
+    "assignment": r"(?i)\b(?:api[_-]?key|secret|password|token)\b\s*[=:]\s*[\"']?[^\s,;'\"]{8,}",
+    "bearer": r"(?i)\bbearer\s+[A-Za-z0-9._~+/-]{16,}",
+    "cloud_key": r"\bAKIA[0-9A-Z]{16}\b",
+    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "web_token": r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}",
+    "hex": r"\b[0-9a-f]{32,}\b",
+}
+
+
+def secret_classes(text: Column, classes: dict[str, str] | None = None) -> Column:
+    """The classes of credentials a text holds, in order."""
+    found = [F.when(text.rlike(p), F.lit(name)) for name, p in (SECRETS if classes is None else classes).items()]
+    return F.filter(F.array(*found), lambda c: c.isNotNull())
+
+
+def clamp(value: str | None, default: int, low: int, high: int) -> int:
+    """A number given as text, within limits; the default if it is none or below."""
+    try:
+        n = int(value) if value is not None else default
+    except ValueError:
+        return default
+    return default if n < low else min(n, high)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery import lexicon
-from gleanery.functions.text import claimable, dedup_key, offer_kinds, text_blob, truncate
+from gleanery.functions.text import clamp, claimable, dedup_key, offer_kinds, text_blob, truncate
 from gleanery.functions.url import host_of, normalize_url
 from gleanery.operators import history, rounds
 from gleanery.session import table
@@ -86,6 +86,13 @@ def deals_filter(spark: SparkSession, d: str) -> DataFrame:
     ).select("fingerprint", "score")
 
 
+def deals_page(spark: SparkSession, d: str) -> DataFrame:
+    """A page of the read interface: of the newest 2,000 findings those that match, as many as asked for within limits."""
+    newest = history.recent(_folded(spark, d), 2_000)
+    page = newest.where(F.col("dup_of").isNull() & (F.coalesce("score", F.lit(0)) >= clamp("30", 0, 0, 100)))
+    return page.orderBy(F.desc("discovered_at"), F.asc("first_seq")).limit(clamp("9999", 50, 1, 500)).select("fingerprint", "score")
+
+
 def source_delivery(spark: SparkSession, d: str) -> DataFrame:
     return rounds.delivery(history.collapse(_deals(spark, d)), table(spark, d, "feed_sources"))
 
@@ -259,7 +266,7 @@ def link_verdicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ALL = (
-    log_collapse, near_dup_fold, live_offers, title_clash, seen_antijoin, store_stats, briefing_quality, briefing_sections, deals_filter, source_delivery,
+    log_collapse, near_dup_fold, live_offers, title_clash, seen_antijoin, store_stats, briefing_quality, briefing_sections, deals_filter, deals_page, source_delivery,
     source_idleness, source_health, round_report, recent_runs, daily_budget, daily_due, freshness_tiers, score_deals, screen_reasons, offer_kind_list,
     claimable_deals, compact_keep, compact_state, render_lines, upcoming, expiring, event_window, due_events, due_counts, upcoming_events, vendor_for_host,
     official_host, canonical_page, link_verdicts,
@@ -330,6 +337,7 @@ ORACLES = {
     "briefing_quality": _FOLD + " SELECT count(*) AS total, count_if(len(vendors) > 0)::bigint AS verified, round(100 * count_if(len(vendors) > 0)::double / count(*))::int AS share FROM live",
     "briefing_sections": _FOLD + f" SELECT CASE WHEN timestamptz '{NOW_TEXT}+00' - discovered_at < interval 24 hour THEN 'fresh' ELSE 'ongoing' END AS section, count(*) AS n FROM live GROUP BY 1",
     "deals_filter": _FOLD + " SELECT fingerprint, score FROM folded WHERE dup_of IS NULL AND coalesce(score, 0) >= 30 AND category = 'discount' AND contains(lower(coalesce(title, '') || ' ' || coalesce(summary, '')), 'gpu')",
+    "deals_page": _FOLD + ", newest AS (SELECT * FROM folded ORDER BY discovered_at DESC NULLS LAST, first_seq LIMIT 2000) SELECT fingerprint, score FROM newest WHERE dup_of IS NULL AND coalesce(score, 0) >= 30 ORDER BY discovered_at DESC NULLS LAST, first_seq LIMIT 500",
     "source_delivery": _CUR + " SELECT name, coalesce(n, 0)::bigint AS rows FROM feed_sources LEFT JOIN (SELECT lower(trim(source)) AS s, count(*) AS n FROM cur GROUP BY 1) ON lower(trim(name)) = s WHERE NOT coalesce(disabled, false)",
     "source_idleness": f"SELECT name, greatest(0, floor(epoch(timestamptz '{NOW_TEXT}+00') - epoch(last)))::bigint AS idle FROM feed_sources LEFT JOIN (SELECT lower(trim(source)) AS s, max(discovered_at) AS last FROM deals GROUP BY 1) ON lower(trim(name)) = s WHERE last IS NOT NULL UNION ALL SELECT name, NULL FROM feed_sources WHERE lower(trim(name)) NOT IN (SELECT lower(trim(source)) FROM deals WHERE source IS NOT NULL)",
     "round_report": "SELECT batch_no, count(*) AS found, count(DISTINCT fingerprint) AS findings, count_if(coalesce(score, 0) >= 60)::bigint AS good FROM deals GROUP BY 1",

@@ -41,10 +41,11 @@ def html_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def html_row_date(spark: SparkSession, d: str) -> DataFrame:
-    """Each linked or long segment with the date of the bare date segment that follows it on its page."""
-    seg = table(spark, d, "html_segments").select("page_id", "pos", "text")
-    dates = seg.select("page_id", (F.col("pos") - 1).alias("pos"), doc.row_date(F.col("text")).alias("stated")).where(F.col("stated") != "")
-    return seg.join(dates, ["page_id", "pos"]).select("page_id", "pos", "stated")
+    """Each block with the date of the bare, linkless date block that follows it."""
+    blocks = _one(spark, html=_HTML).select(F.explode(doc.html_blocks(F.col("raw"))).alias("b")).select("b.pos", "b.text", "b.href")
+    stated = F.when(F.col("href") == "", doc.row_date(F.col("text"))).otherwise(F.lit(""))
+    dates = blocks.select((F.col("pos") - 1).alias("pos"), stated.alias("stated")).where(F.col("stated") != "")
+    return blocks.join(dates, "pos").select("pos", "text", "stated")
 
 
 def class_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -153,7 +154,7 @@ QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {
     "rss_items": _literal(_FEED_ROWS, "kind, title, link, stated, summary, guid"),
     "html_segments": _literal(_BLOCKS, "pos, text, href", "pos::int AS pos, text, href"),
-    "html_row_date": r"SELECT a.page_id, a.pos, regexp_extract(b.text, '(20\d{2}[-/.]\d{1,2}[-/.]\d{1,2})', 1) AS stated FROM html_segments a JOIN html_segments b ON a.page_id = b.page_id AND b.pos = a.pos + 1 WHERE length(b.text) <= 24 AND regexp_matches(b.text, '20\d{2}[-/.]\d{1,2}[-/.]\d{1,2}')",
+    "html_row_date": _literal([(0, "Offer one free", "2026-09-01")], "pos, text, stated", "pos::int AS pos, text, stated"),
     "class_windows": _literal([("html", "PROMObb"), ("html", "promocc"), ("none", "zzz")], "kind, piece"),
     "keep_first": "SELECT page_id, min(pos) AS pos FROM html_segments WHERE trim(text) <> '' GROUP BY page_id, lower(text)",
     "json_paths": _literal([("1", "a", "h1"), ("2", None, "h2")], "id, name, home"),

@@ -156,6 +156,11 @@ def parse_any_time(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("raw", udf("raw").alias("ms"))
 
 
+def secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "deals").select("log_seq", F.concat_ws(" ", "fingerprint", "summary").alias("text"))
+    return lines.select("log_seq", F.array_join(text.secret_classes(F.col("text")), ",").alias("classes"))
+
+
 def redact_text(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.createDataFrame([(t,) for t, _ in _SECRETS], "text string")
     return rows.select("text", text.redact("text").alias("safe"))
@@ -178,7 +183,7 @@ def _literal(rows: list[tuple], names: str, casts: str = "") -> str:
 
 _ALL = (
     title_key, url_normalize, fingerprint, hosts, clean_bodies, gated, noise, bounded_words, offer_scan, vendor_extract, product_extract, discount_stated,
-    title_words, text_blobs, first_stated, truncations, starts_at, expires_at, reparse_drift, parse_any_time, redact_text, decode_entities, resolve_url,
+    title_words, text_blobs, first_stated, truncations, starts_at, expires_at, reparse_drift, parse_any_time, secret_scan, redact_text, decode_entities, resolve_url,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -225,6 +230,7 @@ ORACLES = {
     "starts_at": _literal(_STARTS, "text, moment", "text, moment::timestamp AS moment"),
     "expires_at": _literal(_ENDS, "text, moment", "text, moment::timestamp AS moment"),
     "parse_any_time": _literal([(t, m) for t, m in zip(_TIMES, (1788228000000, 1788516000000, 1788000000000, 1788000000000, 1788220800000, 1788220800000, None, None, None))], "raw, ms", "raw, ms::bigint AS ms"),
+    "secret_scan": "SELECT log_seq, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(t, '{p.replace(chr(39), chr(39) * 2)}') THEN '{n}' END" for n, p in text.SECRETS.items()) + ") AS classes FROM (SELECT log_seq, concat_ws(' ', fingerprint, summary) AS t FROM deals)",
     "redact_text": _literal(_SECRETS, "text, safe"),
     "decode_entities": _literal(_ENTITIES, "text, plain"),
     "resolve_url": _literal(_REFS, "base, ref, url"),
