@@ -345,6 +345,26 @@ ORACLES = {
     "daily_budget": "SELECT strftime(timezone('Asia/Shanghai', discovered_at), '%Y-%m-%d') AS day, count(*) AS sent, greatest(0, 40 - count(*))::bigint AS left FROM deals WHERE meta['pushed'] = 'true' GROUP BY 1",
     "daily_due": f"SELECT source, max(discovered_at) IS NULL OR max(discovered_at) < timestamptz '2026-01-05 23:30:00+00' AS due FROM deals WHERE timestamptz '{NOW_TEXT}+00' >= timestamptz '2026-01-05 23:30:00+00' GROUP BY 1",
     "freshness_tiers": f"SELECT log_seq, CASE WHEN published_at IS NULL THEN 0 WHEN a <= 86400 THEN 12 WHEN a <= 259200 THEN 8 WHEN a <= 604800 THEN 4 WHEN a > 2592000 THEN -12 ELSE 0 END AS points FROM (SELECT *, epoch(timestamptz '{NOW_TEXT}+00') - epoch(published_at) AS a FROM deals)",
+    "score_deals": f"""WITH j AS (SELECT d.*, s.trust, s.host AS site, regexp_extract(regexp_replace(lower(trim(coalesce(d.url, ''))), '^[a-z][a-z0-9+.-]*://', ''), '^[^/?#]*') AS h,
+  coalesce(list_transform(d.offers, lambda o: o.kind), []) AS kinds, coalesce(d.discount_pct, 0) AS pct, epoch(timestamptz '{NOW_TEXT}+00') - epoch(d.published_at) AS age
+  FROM deals d LEFT JOIN feed_sources s ON lower(trim(d.source)) = lower(trim(s.name))),
+p AS (SELECT *, list_contains(kinds, 'free') AS free, CASE WHEN pct >= 50 THEN 12 WHEN pct >= 30 THEN 8 WHEN pct >= 10 THEN 4 ELSE 0 END AS bonus,
+  CASE WHEN list_contains(kinds, 'free') THEN 'free' WHEN list_contains(kinds, 'credit') THEN 'credit' WHEN list_contains(kinds, 'discount') THEN 'discount' WHEN list_contains(kinds, 'trial') THEN 'trial' WHEN list_contains(kinds, 'coupon') THEN 'coupon' END AS k,
+  coalesce(len(vendors) > 0, false) AS v, coalesce(len(list_filter(offers, lambda o: o.product IS NOT NULL)) > 0, false) AS m, coalesce(h = site OR ends_with(h, '.' || site), false) AS o,
+  greatest(0, least(10, coalesce(trust, 0))) AS t, CASE WHEN age IS NULL THEN 0 WHEN age <= 86400 THEN 12 WHEN age <= 259200 THEN 8 WHEN age <= 604800 THEN 4 WHEN age > 2592000 THEN -12 ELSE 0 END AS f FROM j),
+q AS (SELECT *, CASE k WHEN 'free' THEN 45 WHEN 'credit' THEN 30 WHEN 'discount' THEN 24 WHEN 'trial' THEN 20 WHEN 'coupon' THEN 16 ELSE 0 END AS base FROM p),
+r AS (SELECT *, CASE WHEN NOT free AND pct > 0 THEN greatest(0, 24 - bonus - base) ELSE 0 END AS top FROM q)
+SELECT log_seq, greatest(0, least(100, bonus + base + top + CASE WHEN v THEN 10 ELSE 0 END + CASE WHEN m THEN 12 ELSE 0 END + CASE WHEN o THEN 10 ELSE 0 END + t + CASE WHEN len(kinds) > 1 THEN 4 ELSE 0 END + f))::int AS score,
+  concat_ws('; ', CASE WHEN pct > 0 THEN '+' || bonus || ' cut' END, CASE WHEN base > 0 THEN '+' || base || ' ' || k END, CASE WHEN top > 0 THEN '+24 stated cut' END, CASE WHEN v THEN '+10 vendor' END, CASE WHEN m THEN '+12 product' END,
+  CASE WHEN o THEN '+10 official' END, CASE WHEN t > 0 THEN '+' || t || ' trust' END, CASE WHEN len(kinds) > 1 THEN '+4 several offers' END, CASE WHEN f > 0 THEN '+' || f || ' age' WHEN f < 0 THEN f || ' age' END) AS why FROM r""",
+    "source_health": _CUR + f""", i AS (SELECT lower(trim(source)) AS s, max(discovered_at) AS last FROM deals GROUP BY 1), n AS (SELECT lower(trim(source)) AS s, count(*) AS n FROM cur GROUP BY 1)
+SELECT name, CASE WHEN last IS NULL THEN 'never' WHEN greatest(0, floor(epoch(timestamptz '{NOW_TEXT}+00') - epoch(last))) > 129600 THEN 'silent' ELSE 'ok' END AS verdict,
+  CASE WHEN coalesce(disabled, false) THEN 0 ELSE coalesce(n, 0) END::bigint AS rows FROM feed_sources LEFT JOIN i ON lower(trim(name)) = i.s LEFT JOIN n ON lower(trim(name)) = n.s""",
+    "link_verdicts": f"""WITH h AS (SELECT *, regexp_extract(regexp_replace(lower(trim(coalesce(url, ''))), '^[a-z][a-z0-9+.-]*://', ''), '^[^/?#]*') AS host FROM deals),
+o AS (SELECT DISTINCT host FROM h WHERE EXISTS (SELECT 1 FROM feed_sources f WHERE h.host = f.host OR ends_with(h.host, '.' || f.host))),
+k AS (SELECT log_seq, CASE WHEN host IN (SELECT host FROM o) THEN 'own_domain' WHEN coalesce(vendors[1], '') = '' THEN 'third_party'
+  WHEN published_at IS NOT NULL AND coalesce(url, '') <> '' AND discovered_at > timestamptz '{NOW_TEXT}+00' - interval 7 day THEN 'verified' ELSE 'unresolved' END AS kind FROM h)
+SELECT log_seq, kind, CASE kind WHEN 'own_domain' THEN 8 WHEN 'verified' THEN 8 WHEN 'unresolved' THEN -6 ELSE 0 END AS delta FROM k""",
     "screen_reasons": f"SELECT log_seq, CASE WHEN contains(lower(concat_ws(chr(10), coalesce(title, ''), coalesce(summary, ''), array_to_string(list_transform(offers, lambda o: coalesce(o.evidence, '')), chr(10)))), 'repost') THEN 'denied' WHEN epoch(timestamptz '{NOW_TEXT}+00') - epoch(published_at) > 1209600 THEN 'too old' WHEN coalesce(len(offers), 0) = 0 THEN 'no offer' WHEN date_trunc('second', try_cast(meta['expires_at'] AS timestamptz)) < timestamptz '{NOW_TEXT}+00' THEN 'expired' WHEN coalesce(score, 0) <= 0 THEN 'weak' ELSE '' END AS reason FROM deals",
     "offer_kind_list": "SELECT log_seq, array_to_string(list_transform(list_filter(list_transform(offers, lambda o, i: struct_pack(k := o.kind, i := i)), lambda x: list_position(list_transform(offers, lambda o: o.kind), x.k) = x.i), lambda x: x.k), ',') AS kinds FROM deals WHERE offers IS NOT NULL",
     "claimable_deals": "SELECT log_seq, (coalesce(is_free, false) OR coalesce(discount_pct, 0) > 0 OR coalesce(len(list_filter(offers, lambda o: o.kind IN ('free','discount','trial','credit','coupon'))) > 0, false)) AND NOT regexp_matches(regexp_replace(trim(coalesce(title, '')), '[ ！!]+$', ''), '(\\?|？|吗|呢|吧|么)$') AND NOT regexp_matches(coalesce(title, ''), '" + lexicon.DOUBT + "') AS ok FROM deals",

@@ -9,7 +9,7 @@ from gleanery import lexicon
 from gleanery.functions import clock, text, url
 from gleanery.functions.documents import resolve_url as resolve
 from gleanery.functions.instants import utc_ms
-from gleanery.plans.deal_queries import key_sql
+from gleanery.plans.deal_queries import _FOLD, NOW_TEXT, key_sql
 from gleanery.session import table
 
 #: A small lexicon with words that the test texts hold both alone and within other words.
@@ -190,11 +190,11 @@ QUERIES = {f.__name__: f for f in _ALL}
 _PAGE = r"""lower(regexp_replace(regexp_replace(CASE WHEN NOT contains(b, '?') THEN b ELSE split_part(b, '?', 1) || CASE WHEN len(kept) = 0 THEN '' ELSE '?' || array_to_string(kept, '&') END END, '/$', ''), '#[\s\S]*', ''))"""
 _PAGES = (
     r"""WITH bare AS (SELECT *, replace(regexp_replace(regexp_replace(trim(url, chr(32) || chr(9) || chr(10) || chr(13) || chr(160) || chr(12288)), '^https://', ''), '^http://', ''), 'www.', '') AS b FROM deals),
-q AS (SELECT *, list_filter(string_split(substring(b, strpos(b, '?') + 1), '&'), lambda p: split_part(p, '=', 1) <> '' AND NOT regexp_matches(lower(split_part(p, '=', 1)), '^("""
+query_ AS (SELECT *, list_filter(string_split(substring(b, strpos(b, '?') + 1), '&'), lambda p: split_part(p, '=', 1) <> '' AND NOT regexp_matches(lower(split_part(p, '=', 1)), '^("""
     + "|".join(url.TRACKING)
     + r""")')) AS kept FROM bare), pages AS (SELECT log_seq, source, title, """
     + _PAGE
-    + " AS page FROM q)"
+    + " AS page FROM query_)"
 )
 
 
@@ -230,6 +230,8 @@ ORACLES = {
     "starts_at": _literal(_STARTS, "text, moment", "text, moment::timestamp AS moment"),
     "expires_at": _literal(_ENDS, "text, moment", "text, moment::timestamp AS moment"),
     "parse_any_time": _literal([(t, m) for t, m in zip(_TIMES, (1788228000000, 1788516000000, 1788000000000, 1788000000000, 1788220800000, 1788220800000, None, None, None))], "raw, ms", "raw, ms::bigint AS ms"),
+    "compact_state": _FOLD + ", " + _PAGES[5:] + f""", kept AS (SELECT fingerprint FROM folded WHERE NOT (discovered_at < timestamptz '{NOW_TEXT}+00' - interval 3 day AND (coalesce(meta['pushed'], '') = 'true' OR coalesce(score, 0) < 60)))
+SELECT 'official:deal:' || fingerprint AS key FROM kept UNION SELECT 'official:verify:' || page FROM pages JOIN deals USING (log_seq) WHERE trim(url) <> '' AND trim(fingerprint) <> ''""",
     "secret_scan": "SELECT log_seq, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(t, '{p.replace(chr(39), chr(39) * 2)}') THEN '{n}' END" for n, p in text.SECRETS.items()) + ") AS classes FROM (SELECT log_seq, concat_ws(' ', fingerprint, summary) AS t FROM deals)",
     "redact_text": _literal(_SECRETS, "text, safe"),
     "decode_entities": _literal(_ENTITIES, "text, plain"),
