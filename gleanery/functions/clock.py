@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gleanery.functions.text import let
+
 ZONE = "Asia/Shanghai"
 #: A date without a year lies at most so many days ahead of the text.
 YEARLESS_DAYS = 45
@@ -16,11 +18,6 @@ _CLOCK = r"^(?:日|号)?\s*(凌晨|上午|中午|下午|晚上)?\s*(\d{1,2})\s*[
 _NUMERALS = "一二三四五六七八九十"
 
 
-def let(value: Column, use) -> Column:
-    """``use`` of a value that is computed once; it also keeps the generated code of long rules small."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _group(text: Column, pattern: str, i: int) -> Column:
     """A group of the first match; null if it took no part."""
     return F.nullif(F.regexp_extract(text, pattern, i), F.lit(""))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -16,6 +17,11 @@ from gleanery import lexicon
 _WORD = "[a-z0-9]"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once; it also keeps the generated code of long rules small."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strings(values: list[str]) -> Column:
     """A literal array of strings."""
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
@@ -46,26 +52,16 @@ def bounded(text: Column, needle: str) -> Column:
     low = F.lower(text)
     if not needle.isascii():
         return F.contains(low, F.lit(needle.lower()))
-    quoted = re.escape(needle.lower()).replace("\\ ", " ")
-    return F.contains(low, F.lit(needle.lower())) & low.rlike(f"(?<!{_WORD}){quoted}(?!{_WORD})")
+    return F.contains(low, F.lit(needle.lower())) & low.rlike(f"(?<!{_WORD}){_quoted(needle.lower())}(?!{_WORD})")
 
 
-def _needles(words: dict[str, list[str]]) -> Column:
-    """A literal array of (kind, word, lower-case word, pattern that ends where a bounded occurrence begins)."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(kind).alias("kind"),
-                F.lit(w).alias("word"),
-                F.lit(w.lower()).alias("low"),
-                F.lit(
-                    f"(?s)^(.*?)(?<!{_WORD}){re.escape(w.lower()).replace(chr(92) + ' ', ' ')}(?!{_WORD})" if w.isascii() else f"(?s)^(.*?){w.lower()}"
-                ).alias("until"),
-            )
-            for kind, ws in words.items()
-            for w in ws
-        ]
-    )
+def _quoted(word: str) -> str:
+    return re.escape(word).replace("\\ ", " ")
+
+
+def _until(word: str) -> str:
+    """A pattern whose group is all that comes before the first occurrence of a lower-case word that stands alone."""
+    return f"(?s)^(.*?)(?<!{_WORD}){_quoted(word)}(?!{_WORD})" if word.isascii() else f"(?s)^(.*?){_quoted(word)}"
 
 
 def evidence_window(text: Column, before: Column, span: int = 80, lead: int = 16) -> Column:
@@ -94,15 +90,27 @@ def scan_offers(text: Column, words: dict[str, list[str]] | None = None, vendor_
     low = F.lower(text)
     vendor = F.coalesce(F.get(vendors(text, vendor_words), F.lit(0)), F.lit(""))
     named = product(text)
-    held = F.filter(_needles(lexicon.OFFER_WORDS if words is None else words), lambda n: F.contains(low, n.low) & F.rlike(low, n.until))
-    return F.transform(
-        held,
-        lambda n: F.struct(
-            n.kind.alias("kind"),
-            n.word.alias("matched"),
-            vendor.alias("vendor"),
-            named.alias("product"),
-            evidence_window(text, F.char_length(F.call_function("regexp_extract", low, n.until, F.lit(1)))).alias("evidence"),
+    # a word that is not contained costs a search for it and no more; patterns are literals and compiled once
+    found = [
+        F.when(
+            bounded(text, w),
+            F.struct(
+                F.lit(kind).alias("kind"),
+                F.lit(w).alias("matched"),
+                F.char_length(F.regexp_extract(low, _until(w.lower()), 1)).alias("at"),
+            ),
+        )
+        for kind, ws in (lexicon.OFFER_WORDS if words is None else words).items()
+        for w in ws
+    ]
+    held = F.filter(F.array(*found), lambda o: o.isNotNull())
+    return let(
+        F.struct(vendor.alias("vendor"), named.alias("product")),
+        lambda b: F.transform(
+            held,
+            lambda o: F.struct(
+                o.kind.alias("kind"), o.matched.alias("matched"), b.vendor.alias("vendor"), b["product"].alias("product"), evidence_window(text, o["at"]).alias("evidence")
+            ),
         ),
     )
 

@@ -52,3 +52,9 @@ def keep(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores: a scan of fewer splits than that, as of one small file, is dealt out before costly work on its rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= min(cores, 64) else df.repartition(cores)
