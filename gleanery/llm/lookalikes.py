@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from gleanery.session import keep
+from gleanery.session import keep, spread
 
 #: At most so many vocabulary words are sent to the workers, the most frequent ones; it bounds the broadcast.
 VOCABULARY_LIMIT = 60_000
@@ -236,7 +236,7 @@ def lookalike_pairs(rows: DataFrame, fields: list[str], identifier: str, copies:
     first ``copies`` rows of a spelling pair with all rows of the others; later copies of the same string pair with those
     first rows only, so that a huge group of exact copies stays linear while no link between different strings is lost.
     """
-    flat = rows.select(
+    flat = spread(rows.select(F.col(identifier), *fields)).select(
         F.col(identifier).alias("id"), F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("raw")) for f in fields]))
     ).where(F.col("raw").rlike(r"\S"))
     words = vocabulary(F.col("raw"), flat)

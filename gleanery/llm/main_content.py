@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.lookalikes import skeleton
+from gleanery.session import spread
 
 #: Pages and summaries the weights are learned from; both bound what the driver gathers.
 TRAINING_PAGES = 1_200
@@ -226,7 +227,7 @@ def text_furniture(rows: DataFrame, identifier: str, text: str, weights: dict[st
     def evidence(s: pd.Series) -> pd.Series:
         return s.map(lambda t: furniture_run(t, weights) if t else 0.0)
 
-    return rows.where(F.col(text).rlike(r"\S")).where(evidence(text) >= SUMMARY_THRESHOLD).select(identifier)
+    return spread(rows.select(identifier, text)).where(F.col(text).rlike(r"\S")).where(evidence(text) >= SUMMARY_THRESHOLD).select(identifier)
 
 
 def boilerplate(segments: DataFrame, deals: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.session import keep
+from gleanery.session import keep, spread
 
 #: Where the public tokenizers' files are, and which is used unless told otherwise.
 TOKENIZERS, TOKENIZER = os.environ.get("TOKENIZERS_PATH", "/opt/tokenizers"), "byte_bpe_50k.tiktoken"
@@ -93,7 +93,7 @@ def pack(documents: DataFrame, containers: DataFrame, targets: DataFrame | None
     """
     source = F.coalesce(F.lower(F.regexp_replace("source", r"(?U)^\s+|\s+$", "")), F.lit(""))
     sized = keep(
-        documents.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), count_tokens().alias("tokens"))
+        spread(documents.select("doc_id", "source", "text")).where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), count_tokens().alias("tokens"))
     )
     size = sized.agg(F.sum("tokens").alias("n"), F.count("*").alias("k")).first()
     total = size.n or 0
