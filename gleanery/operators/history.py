@@ -64,7 +64,7 @@ def in_period(events: DataFrame, moment: str, since: Column, through: Column) ->
     return events.where(F.col(moment).between(since, through)).orderBy(moment, "title")
 
 
-def stats(log: DataFrame, folded: DataFrame) -> DataFrame:
+def stats(folded: DataFrame) -> DataFrame:
     """One row: distinct findings, reposts among them, pushed ones, and the span of discovery."""
     pushed = F.coalesce(F.col("meta")["pushed"], F.lit("")) == "true"
     return folded.agg(

@@ -44,7 +44,8 @@ def near_dup_fold(spark: SparkSession, d: str) -> DataFrame:
 
 
 def live_offers(spark: SparkSession, d: str) -> DataFrame:
-    return history.top_live(_folded(spark, d), now(), 40, 200).select("fingerprint", "title", "source", "score", "discovered_at", "expires_at")
+    top = history.top_live(_folded(spark, d), now(), 40, 200)
+    return top.select("fingerprint", "title", "source", "score", F.unix_micros("discovered_at").alias("discovered_us"), F.unix_micros("expires_at").alias("expires_us"))
 
 
 def title_clash(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +64,8 @@ def seen_antijoin(spark: SparkSession, d: str) -> DataFrame:
 
 
 def store_stats(spark: SparkSession, d: str) -> DataFrame:
-    return history.stats(_deals(spark, d), _folded(spark, d))
+    row = history.stats(_folded(spark, d))
+    return row.withColumns({c: F.unix_micros(c) for c in ("first_found", "last_found")})
 
 
 def briefing_quality(spark: SparkSession, d: str) -> DataFrame:
@@ -330,10 +332,10 @@ n AS (SELECT o_orderkey, min(moment) AS moment, arg_min(due, struct_pack(a := mo
 ORACLES = {
     "log_collapse": "SELECT fingerprint, min(log_seq) AS first_seq, max(log_seq) AS last_seq, arg_max(struct_pack(x := title), log_seq).x AS title, arg_max(struct_pack(x := score), log_seq).x AS score, arg_max(struct_pack(x := source), log_seq).x AS source FROM deals WHERE trim(fingerprint) <> '' GROUP BY fingerprint",
     "near_dup_fold": _FOLD + " SELECT fingerprint, dup_of FROM folded WHERE dup_of IS NOT NULL",
-    "live_offers": _FOLD + " SELECT fingerprint, title, source, score, discovered_at, expires_at FROM live ORDER BY score DESC, discovered_at DESC, first_seq LIMIT 200",
+    "live_offers": _FOLD + " SELECT fingerprint, title, source, score, epoch_us(discovered_at) AS discovered_us, epoch_us(expires_at) AS expires_us FROM live ORDER BY score DESC, discovered_at DESC, first_seq LIMIT 200",
     "title_clash": "WITH rows_ AS (SELECT * FROM deals WHERE trim(fingerprint) <> ''),\n" + key_sql("rows_", "title", "q") + ", own AS (SELECT k, arg_min(fingerprint, log_seq) AS owner FROM q WHERE k <> '' GROUP BY k) SELECT log_seq, owner FROM q JOIN own USING (k) WHERE fingerprint <> owner",
     "seen_antijoin": "SELECT log_seq FROM deals d WHERE batch_no = (SELECT max(batch_no) FROM deals) AND NOT EXISTS (SELECT 1 FROM deals e WHERE e.batch_no < d.batch_no AND e.fingerprint = d.fingerprint)",
-    "store_stats": _FOLD + " SELECT count(*) AS findings, count_if(dup_of IS NOT NULL)::bigint AS reposts, count_if(coalesce(meta['pushed'], '') = 'true')::bigint AS pushed, min(discovered_at) AS first_found, max(discovered_at) AS last_found FROM folded",
+    "store_stats": _FOLD + " SELECT count(*) AS findings, count_if(dup_of IS NOT NULL)::bigint AS reposts, count_if(coalesce(meta['pushed'], '') = 'true')::bigint AS pushed, epoch_us(min(discovered_at)) AS first_found, epoch_us(max(discovered_at)) AS last_found FROM folded",
     "briefing_quality": _FOLD + " SELECT count(*) AS total, count_if(len(vendors) > 0)::bigint AS verified, round(100 * count_if(len(vendors) > 0)::double / count(*))::int AS share FROM live",
     "briefing_sections": _FOLD + f" SELECT CASE WHEN timestamptz '{NOW_TEXT}+00' - discovered_at < interval 24 hour THEN 'fresh' ELSE 'ongoing' END AS section, count(*) AS n FROM live GROUP BY 1",
     "deals_filter": _FOLD + " SELECT fingerprint, score FROM folded WHERE dup_of IS NULL AND coalesce(score, 0) >= 30 AND category = 'discount' AND contains(lower(coalesce(title, '') || ' ' || coalesce(summary, '')), 'gpu')",

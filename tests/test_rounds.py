@@ -43,7 +43,7 @@ def test_live_edges(spark):
 
 def test_empty_log(spark):
     folded = history.fold_duplicates(history.collapse(spark.createDataFrame([], LOG)))
-    assert folded.count() == 0 and history.stats(folded, folded).first().findings == 0
+    assert folded.count() == 0 and history.stats(folded).first().findings == 0
 
 
 def test_state(spark, tmp_path):
