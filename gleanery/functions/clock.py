@@ -11,7 +11,7 @@ ZONE = "Asia/Shanghai"
 #: A date without a year lies at most so many days ahead of the text.
 YEARLESS_DAYS = 45
 
-# How a Chinese notice leads in to its own end.
+# How a Chinese notice leads in to its own end, and, in the rules below, how dates, clocks and durations are written.
 _LEAD = "(?:截止|截至|有效期至|核销期限|使用期限|结束时间|活动至|到期|开放至|持续至|顺延至|延期至|延长至|免费至|限免至)"
 _TAIL = r"([\s\S]*)"
 _CLOCK = r"^(?:日|号)?\s*(凌晨|上午|中午|下午|晚上)?\s*(\d{1,2})\s*[:时点]\s*(\d{1,2})?"

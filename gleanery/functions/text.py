@@ -122,6 +122,7 @@ def offer_kinds(offers: Column) -> Column:
 
 def discount_pct(text: Column) -> Column:
     """The deepest cut stated: the first "N折", else any "N% off" or "off … N%" from 5 to 100; 0 if none."""
+    # fixed values: how cuts are written
     zhe = F.regexp_extract(text, r"([1-9])\s*折", 1).try_cast("int")
     found = F.concat(
         F.regexp_extract_all(text, F.lit(r"(?i)(\d{1,3})\s*%\s*(?:off|折扣|减免|降价)"), F.lit(1)),
@@ -155,6 +156,7 @@ def clean_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.regexp_replace(text, r"(?s)<[^>]*>", " "), "\n\t", "  "), "[ \t\r\f\x0b]+", " "))
 
 
+# How an entity is written.
 _ENTITY = re.compile(r"&(#\d+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]{1,9});")
 
 
@@ -215,6 +217,7 @@ def title_keywords(title: Column, most: int = 6) -> Column:
     return F.array_join(F.slice(kept, 1, most), " ")
 
 
+# How a secret is assigned in a text.
 _SECRET = re.compile(r"(?i)((?:authorization|api[_-]?key|secret|password|token|webhook)\s*[=:]\s*)([\"']?)((?:bearer|basic|digest|token)\s+)?([^\s,;'\"]{4,})", re.A)
 
 
