@@ -158,6 +158,27 @@ def test_right_texts_stay():
     assert r.text("lost � sign")[1] == ["?"]
 
 
+def test_latin_read_as_latin(spark):
+    fr = "L’été à côté, où la période d’essai coûte {} € — déjà prolongée."
+    rows = [(i, fr.format(i), "fr") for i in range(60)] + [(100 + i, CLEAN + f" Nr. {i}", "de") for i in range(60)]
+    bad = {
+        200: fr.format(7).encode("cp1252").decode("mac_roman"),
+        201: (CLEAN + " Nr. 7").encode("cp1252").decode("cp437"),
+        202: "L’été à côté, " + "où la période d’essai coûte 7 € — déjà prolongée.".encode("cp1252").decode("mac_roman"),
+        203: (CLEAN + " Nr. 8").encode("cp850", "replace").decode("latin-1").replace("?", "€"),
+    }
+    df = spark.createDataFrame(rows + [(k, v, "fr") for k, v in bad.items()], "doc_id int, text string, lang string")
+    got = {r.doc_id: r.restored for r in E.repaired(df).collect()}
+    assert got.keys() == bad.keys()
+    assert got[200] == fr.format(7) and got[201] == CLEAN + " Nr. 7" and got[202] == fr.format(7)
+
+
+def test_signs_side_by_side_stay():
+    r = E.Repairer(DICTS, COMMON + "’É", {"’É": 1})
+    for text in ["ÂGE MINIMUM : 18 ANS. À L’ÉTRANGER, SE RENSEIGNER.", "offert à l’été, même à l’étranger"]:
+        assert r.text(text) == (text, [])
+
+
 def test_repaired_tables(spark):
     good = [(i, CLEAN, "de", "x") for i in range(40)]
     rows = good + [(100, CLEAN.encode().decode("cp1252"), "de-DE", "x"), (101, None, None, "x"), (102, "", "de", "x"), (103, "a" * 100_000, "en", "x")]
