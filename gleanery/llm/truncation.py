@@ -82,32 +82,35 @@ def ending(text: str) -> tuple[str, str]:
 
 
 def count_openings(texts: DataFrame) -> DataFrame:
-    """``opening``, ``ended``, ``unended``, ``longer`` over every sentence of every text.
+    """``opening``, ``ended``, ``unended``, ``copied`` over every sentence of every distinct text.
 
-    ``longer`` counts the sentences that go on after a short opening that elsewhere is all there is.
+    ``copied`` counts the unended ones with the copies of their texts.
     """
+    once = texts.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.count("*").alias("copies")).select("text", "copies")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ended, unended = Counter(), Counter()
-            for text in batch["text"]:
+            ended, unended, copied = Counter(), Counter(), Counter()
+            for text, copies in zip(batch["text"], batch["copies"].tolist()):
                 for s, done in sentences(plain(text)):
                     for o in set(openings(s)):
                         (ended if done else unended)[o] += 1
+                        copied[o] += 0 if done else copies
             keys = list(ended.keys() | unended.keys())
-            yield pd.DataFrame({"opening": keys, "ended": [ended[k] for k in keys], "unended": [unended[k] for k in keys]})
+            yield pd.DataFrame({"opening": keys, **{n: [c[k] for k in keys] for n, c in (("ended", ended), ("unended", unended), ("copied", copied))}})
 
-    parts = texts.select("text").mapInPandas(count, "opening string, ended long, unended long")
-    return parts.groupBy("opening").agg(F.sum("ended").alias("ended"), F.sum("unended").alias("unended"))
+    parts = once.mapInPandas(count, "opening string, ended long, unended long, copied long")
+    return parts.groupBy("opening").agg(*(F.sum(c).alias(c) for c in ("ended", "unended", "copied")))
 
 
 class Openings:
     """Judges an unended last sentence by how other sentences that begin so end."""
 
-    def __init__(self, rows: list[tuple[str, int, int]]) -> None:
-        self.counts = {o: (e, u) for o, e, u in rows}
+    def __init__(self, rows: list[tuple[int | str, ...]]) -> None:
+        self.counts = {o: (e, u) for o, e, u, *_ in rows}
+        self.copied = {o: c[0] for o, _, _, *c in rows if c}
         self.extended: Counter = Counter()  # ended sentences by every proper prefix of their opening
-        for o, e, u in rows:
+        for o, e, *_ in rows:
             for i in range(1, len(o)):
                 self.extended[o[:i]] += e
 
@@ -117,17 +120,22 @@ class Openings:
         Phrases without end follow one another without a sign between, so what begins at a later word counts as well.
         """
         starts = [sentence[m.start() :] for m in _START.finditer(sentence)]
-        return max(self._complete(*openings(s)) for s in [sentence, *starts])
+        # the judged text itself is no evidence
+        return max(self._complete(*openings(s), own=int(not i)) for i, s in enumerate([sentence, *starts]))
 
-    def _complete(self, long: str, short: str) -> float:
+    def _complete(self, long: str, short: str, own: int = 0) -> float:
+        ends = 0
         for o in (long, short):
             e, u = self.counts.get(o, (0, 0))
+            u = max(0, u - own)
             more = self.extended[o] if o == long and len(o) < (6 if _HAN.search(o) else 12) else 0
             if e + u + more >= MIN_SENTENCES or (more and e + u):
                 # complete ones never take an end, so almost no sentence that begins so has one
                 share = (e + more) / (e + u + more)
                 return 0.985 if share < 0.1 else 0.5 if share < 0.25 else 0.02
-        return 0.08
+            ends += e + more
+        # of an opening that no text ever ends, copies are all there is to judge by
+        return 0.985 if not ends and self.copied.get(long, 0) >= MIN_SENTENCES else 0.08
 
 
 def fit_censored(lengths: np.ndarray, counts: np.ndarray) -> list[tuple[int, float]]:
@@ -196,8 +204,8 @@ def judged(texts: DataFrame) -> DataFrame:
     """
     stated = spread(texts.select("rec", "rec_id", "source", "text")).where(F.col("text").rlike(r"\S"))
     table = [
-        (r.opening, r.ended, r.unended)
-        for r in count_openings(stated).where(F.col("ended") + F.col("unended") >= 3).orderBy(F.desc(F.col("ended") + F.col("unended")), "opening").limit(OPENINGS).collect()
+        (r.opening, r.ended, r.unended, r.copied)
+        for r in count_openings(stated).where(F.col("ended") + F.greatest("unended", "copied") >= 3).orderBy(F.desc(F.col("ended") + F.col("unended")), "opening").limit(OPENINGS).collect()
     ]
 
     @F.pandas_udf("state string, complete double")

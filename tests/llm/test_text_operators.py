@@ -127,6 +127,14 @@ def test_truncated_records(spark):
     assert T.truncated_records(df.limit(0), hits).count() == 0
 
 
+def test_copies_of_a_cut_text_are_no_evidence(spark):
+    deals = [(i, "s", f"This offer runs until day {'abcdefghij'[i]} of May, as long as stocks last.") for i in range(10)]
+    deals += [(100 + i, "s", "Free builds. This offer runs until the e") for i in range(200)]
+    df = spark.createDataFrame(deals, "log_seq int, source string, summary string")
+    hits = spark.createDataFrame([], "hit_id int, source string, story_text string")
+    assert {r.rec_id for r in T.truncated_records(df, hits).collect()} == set(range(100, 300))
+
+
 # --- encodings
 
 CLEAN = "Für jedes Konto gibt es 45 € — natürlich nur für neue Kunden."
