@@ -97,6 +97,8 @@ def count_openings(texts: DataFrame) -> DataFrame:
                         (ended if done else unended)[o] += 1
                         copied[o] += 0 if done else copies
             keys = list(ended.keys() | unended.keys())
+            if not keys:
+                continue
             yield pd.DataFrame({"opening": keys, **{n: [c[k] for k in keys] for n, c in (("ended", ended), ("unended", unended), ("copied", copied))}})
 
     parts = once.mapInPandas(count, "opening string, ended long, unended long, copied long")

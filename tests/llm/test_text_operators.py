@@ -181,6 +181,16 @@ def test_latin_read_as_latin(spark):
     assert got[200] == fr.format(7) and got[201] == CLEAN + " Nr. 7" and got[202] == fr.format(7)
 
 
+def test_copies_of_a_garbled_text_are_found(spark):
+    zh = "每个账号可领{}小时算力，数量有限。截至有网友反馈"
+    good = [(i, zh.format(i), "zh") for i in range(400)]
+    garbled = [zh[i : i + 2].encode().decode("gbk", "replace") for i in range(len(zh) - 1)]
+    text = " ".join(g for g in garbled if all("㐀" <= c <= "鿿" for c in g))  # ideographs only
+    assert len(text) > 12
+    df = spark.createDataFrame(good + [(1000 + i, text, "zh") for i in range(200)], "doc_id int, text string, lang string")
+    assert {r.doc_id for r in E.repaired(df).collect()} == set(range(1000, 1200))
+
+
 def test_signs_side_by_side_stay():
     r = E.Repairer(DICTS, COMMON + "’É", {"’É": 1})
     for text in ["ÂGE MINIMUM : 18 ANS. À L’ÉTRANGER, SE RENSEIGNER.", "offert à l’été, même à l’étranger"]:
