@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from gleanery.llm.contributor_cap import dominant_sources_dropped
 from gleanery.llm.encoding_repair import repaired
 from gleanery.llm.eval_leaks import leaks
-from gleanery.llm.history_dedup import announcements
+from gleanery.llm.history_dedup import announcements, announcements_in_batches
 from gleanery.llm.lookalikes import lookalike_pairs
 from gleanery.llm.main_content import boilerplate
 from gleanery.llm.packing import fill_report, pack
 from gleanery.llm.truncation import truncated_records, truncation_by_source
-from gleanery.session import table
+from gleanery.session import shared_dir, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +41,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return announcements(table(spark, sf_dir, "deals"))
 
 
+def p5_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``p5_found``, from batches that arrive one after another and are checked against a stored history."""
+    return announcements_in_batches(table(spark, sf_dir, "deals"), f"{shared_dir(spark)}/history-{uuid.uuid4().hex}")
+
+
 def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_sizes"))
 
@@ -60,7 +67,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired(table(spark, sf_dir, "documents"))
 
 
-_ALL = (p1_found, p2_found, p3_found, p5_found, p7_found, p7_by_source, p8_pack, p8_fill, p9_found, p10_found, p10_restored)
+_ALL = (p1_found, p2_found, p3_found, p5_found, p5_incremental, p7_found, p7_by_source, p8_pack, p8_fill, p9_found, p10_found, p10_restored)
 QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLES = {

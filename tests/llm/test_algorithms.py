@@ -52,12 +52,26 @@ def test_sources_by_name(spark):
 
 def test_distance_is_a_metric():
     rng = random.Random(1)
-    points = [(rng.choice([1, 1, 2]), "".join(sorted(rng.choices("abcd", k=rng.randint(0, 5))))) for _ in range(40)]
+    bag = lambda: sorted(H.fact_number(f) for f in rng.choices(["10", "20gb", "=name", "pro"], k=rng.randint(0, 3)))
+    points = [(bag(), "".join(sorted(rng.choices("abcd", k=rng.randint(0, 5))))) for _ in range(40)]
     for a in points:
         for b in points:
             assert H.distance(a, b) == H.distance(b, a) and (H.distance(a, b) == 0) == (a == b)
-            for p in H.PIVOTS:
-                assert abs(H.distance(a, p) - H.distance(b, p)) <= H.distance(a, b)  # what pruning rests on
+            # what pruning rests on
+            assert all(abs(x - y) <= H.distance(a, b) for x, y in zip(H.pivot_distances(a), H.pivot_distances(b)))
+            c = points[rng.randrange(40)]
+            assert H.distance(a, b) <= H.distance(a, c) + H.distance(c, b)
+
+
+def test_each_pivot_prunes():
+    """Points whose first distances lie close are told apart by the others, before any is verified."""
+    points = [([], "".join(sorted(w))) for w in ("abcdefgh" * 8, "acegikmo" * 8, "bdfhjlnp" * 8, "ababcdcd" * 8)]
+    d = [H.pivot_distances(p) for p in points]
+    assert len({x[0] for x in d}) == 1
+    for i in range(len(d)):
+        for j in range(i):
+            assert (max(abs(x - y) for x, y in zip(d[i], d[j])) > H.RADIUS) <= (H.distance(points[i], points[j]) > H.RADIUS)
+    assert any(abs(x - y) > H.RADIUS for x, y in zip(d[1], d[2]))
 
 
 TITLES = [
@@ -86,16 +100,53 @@ def test_announcements(spark):
     assert H.announcements(df.limit(0)).count() == 0
 
 
+def in_parts(df, folder, bounds):
+    words = H.learn_words(H.folded_titles(df, "log_seq", "title"))
+    for n, (lo, hi) in enumerate(bounds):
+        history = H.History(df.sparkSession, folder, words)  # opened anew for every batch
+        batch = df.where((F.col("log_seq") > lo) & (F.col("log_seq") <= hi))
+        history.accept(batch, n)
+    history.accept(batch, n)  # a batch that is repeated changes nothing
+    return {(r["first"], r.id) for r in history.ties().collect()}
+
+
 def test_batches_give_what_bulk_gives(spark, tmp_path):
-    rows = TITLES + fillers()
-    df = spark.createDataFrame(rows, "log_seq long, title string, url string")
-    common = H.common_words(H.folded_titles(df, "log_seq", "title"))
+    df = spark.createDataFrame(TITLES + fillers(), "log_seq long, title string, url string")
     bulk = {(r.log_seq_a, r.log_seq_b) for r in H.announcements(df).collect()}
-    found = set()
-    for lo, hi in ((0, 3), (3, 8), (8, 1_000)):
-        batch = df.where((F.col("log_seq") > lo) & (F.col("log_seq") <= hi))
-        found |= {(r["first"], r.id) for r in H.accept_batch(batch, str(tmp_path / "history"), common).collect()}
-    assert found == bulk
+    assert in_parts(df, f"file://{tmp_path}/history", ((0, 3), (3, 8), (8, 1_000))) == bulk
+
+
+CHAIN = [
+    (1001, "Free Vofebezi-flash preview at Negurjuge AI — £20", "https://a.example/1"),
+    (1002, "Free Vofebezi-flash preview at Negurjuge AI — £20", "https://b.example/2"),  # the title of 1001
+    (1003, "Quite another wording of it all", "https://b.example/2"),  # the page of 1002
+    (1004, "Free Tagobuli-pro preview at Negurjuge AI — £70", "https://c.example/3"),
+    (1005, "Free Tagobuli-pro preview at Negurjuge AI — £70", "https://a.example/1"),  # ties 1004 to 1001
+    (1006, None, "https://c.example/3"),
+]
+
+
+def test_chains_through_older_rows(spark, tmp_path):
+    """A row tied to an older one through a third, and older announcements that a later row shows to be one."""
+    df = spark.createDataFrame(CHAIN + fillers(), "log_seq long, title string, url string")
+    want = {(1001, n) for n in range(1002, 1007)}
+    assert {(r.log_seq_a, r.log_seq_b) for r in H.announcements(df).collect()} == want
+    bounds = [(0, 1001), *((n, n + 1) for n in range(1001, 1006))]
+    assert in_parts(df, f"{tmp_path}/history", bounds) == want
+
+
+def test_incremental_equals_bulk_on_tables(spark, sf):
+    from gleanery.llm import catalog
+
+    assert {tuple(r) for r in catalog.p5_incremental(spark, sf).collect()} == {tuple(r) for r in catalog.p5_found(spark, sf).collect()}
+
+
+def test_hot_announcement(spark):
+    """Many wordings of one announcement meet one leader, by a join; a far wording leads beside it."""
+    rows = [(i, f"Free Vofebezi-flash preview at Negurjuge AI — £20 {'see it and hear ' * (i % 2)}{chr(97 + i % 26)}", None) for i in range(400)]
+    rows.append((900, "Free Vofebezi-flash " + "words of another kind entirely " * 4 + "£20", None))  # far from all
+    df = spark.createDataFrame(rows + [(i + 1_000, *r) for i, *r in fillers()], "log_seq long, title string, url string")
+    assert {(r.log_seq_a, r.log_seq_b) for r in H.announcements(df).collect()} == {(0, i) for i in range(1, 400)}
 
 
 def test_components(spark):
