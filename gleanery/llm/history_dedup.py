@@ -8,7 +8,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,8 +30,8 @@ MOST_FACTS = 1_000
 #: A word is common, and no name, if this share of all titles has it, or FEWEST titles; there are at most words per title / share.
 #: Their numbers must fall into FEWEST of so many buckets as well: one announcement, however often it is reposted, makes no word common.
 COMMON_SHARE, FEWEST, BUCKETS = 0.0005, 12, 64
-#: A word is a unit if so large a part of its uses follow a number.
-UNIT_SHARE = 0.5
+#: A word is a unit if so large a part of its uses follow a number, and belongs to the name before it if so large a part follow a long word.
+UNIT_SHARE, SUFFIX_SHARE = 0.5, 0.9
 
 # Words for months and product variants, traditional letters and the simplified ones.
 _MONTHS = "january february march april may june july august september october november december".split()
@@ -71,10 +71,11 @@ _MONTH_KEYS = {_key(m): m[:3] for m in _MONTHS} | {_key(m[:3]): m[:3] for m in _
 
 @dataclass(frozen=True)
 class Words:
-    """What the titles teach about words: which are common, and so no names, and which are units of amounts."""
+    """What the titles teach about words: which are common, and so no names, which are units of amounts, and which end a vendor's name."""
 
     common: list[str] = field(default_factory=list)
     units: list[str] = field(default_factory=list)
+    suffixes: list[str] = field(default_factory=list)
 
 
 class Facts:
@@ -86,6 +87,7 @@ class Facts:
         self.common = {_key(w) for w in words.common}
         self.heads = {w for w in words.common if len(w) >= 6}
         self.units = {_key(w) for w in words.units}
+        self.suffixes = words.suffixes
         self.known: dict[str, str | None] = {}
 
     def name(self, word: str) -> str | None:
@@ -98,7 +100,7 @@ class Facts:
         else:
             for n in range(len(word) - 1, 5, -1):
                 if word[:n] in self.heads:
-                    rest = word[n:]
+                    rest = next((word[n + len(x) :] for x in self.suffixes if word.startswith(x, n)), word[n:])
                     out = rest if len(rest) >= 5 and _key(rest) not in self.common else None
                     break
         if len(self.known) < self.MEMORY:
@@ -220,20 +222,26 @@ def folded_titles(rows: DataFrame, identifier: str, title: str) -> DataFrame:
 
 def learn_words(titles: DataFrame) -> Words:
     """Common words and units, counted over all titles, each word once a title."""
-    after = F.regexp_extract_all("folded", F.lit(r"\d ?([a-z]+|[\p{IsHan}])"), F.lit(1))
-    plain = F.regexp_extract_all("folded", F.lit(r"[a-z]+|[\p{IsHan}]"), F.lit(0))
-    seen = F.concat(
-        F.transform(F.array_distinct(plain), lambda w: F.struct(w.alias("w"), F.lit(False).alias("follows"))),
-        F.transform(F.array_distinct(after), lambda w: F.struct(w.alias("w"), F.lit(True).alias("follows"))),
-    )
+    kinds = {
+        "n": r"[a-z]+|[\p{IsHan}]",
+        "after": r"\d ?([a-z]+|[\p{IsHan}])",
+        "ends": r"[a-z]{6,} ([a-z]{2,6})(?![a-z])",
+    }
+
+    def words_of(kind: str, pattern: str) -> Column:
+        found = F.array_distinct(F.regexp_extract_all("folded", F.lit(pattern), F.lit(int(pattern != kinds["n"]))))
+        return F.transform(found, lambda w: F.struct(w.alias("w"), F.lit(kind).alias("kind")))
+
+    seen = [words_of(*k) for k in kinds.items()]
     numbers = F.pmod(F.xxhash64(F.sort_array(F.regexp_extract_all("folded", F.lit(r"\d+"), F.lit(0)))), F.lit(BUCKETS))
-    spots = titles.select(numbers.alias("b"), F.inline(seen)).groupBy("w", "b").agg(F.count_if(~F.col("follows")).alias("n"), F.count_if("follows").alias("after"))
-    counts = spots.groupBy("w").agg(F.sum("n").alias("n"), F.sum("after").alias("after"), F.count_if(F.col("n") > 0).alias("b"))
+    spots = titles.select(numbers.alias("b"), F.inline(F.concat(*seen))).groupBy("w", "b").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
+    counts = spots.groupBy("w").agg(*[F.sum(k).alias(k) for k in kinds], F.count_if(F.col("n") > 0).alias("b"))
     least = max(FEWEST, COMMON_SHARE * titles.count())
     rows = counts.where((F.col("n") >= least) & (F.col("b") >= FEWEST)).collect()  # at most words per title / COMMON_SHARE
     return Words(
         sorted(r.w for r in rows if r.w.isascii() and len(r.w) >= 3),
         sorted(r.w for r in rows if r.after >= UNIT_SHARE * r.n and _key(r.w) not in _MONTH_KEYS),
+        sorted(r.w for r in rows if r.ends >= SUFFIX_SHARE * r.n and 2 <= len(r.w) <= 6),
     )
 
 
@@ -343,8 +351,8 @@ class History:
         if kept is None:
             if words is None:
                 raise ValueError("a history begins with the words that its titles are measured by")
-            write_text(spark, f"{folder}/words.json", json.dumps([words.common, words.units]))
-        self.words = Words(*json.loads(kept)) if kept is not None else words
+            write_text(spark, f"{folder}/words.json", json.dumps(asdict(words)))
+        self.words = Words(**json.loads(kept)) if kept is not None else words
 
     def read(self, name: str, but: int | None = None) -> DataFrame:
         """A table, without the part of batch ``but``."""
