@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
@@ -45,6 +46,8 @@ _CAPITALS = str.maketrans("вкмнт", "bkmht")
 _CURRENCY = "€$£¥₽"
 _LABEL = re.compile(r"^\s*(?:\[[^\]\d]{1,23}\]|\([^)\d]{1,23}\)|【[^】\d]{1,23}】|[^\s:]{1,6}:)\s*")
 _ASIDE = re.compile(r"\s*(?:\[[^\]\d]{1,23}\]|\([^)\d]{1,23}\)|【[^】\d]{1,23}】|[~!.:;)(^_-]+)\s*$")
+_NUMBER, _WORD = re.compile(r"\d+"), re.compile(r"[a-z]+|[㐀-鿿]")
+_AFTER, _ENDS = re.compile(r"\d ?([a-z]+|[㐀-鿿])"), re.compile(r"[a-z]{6,} ([a-z]{2,6})(?![a-z])")
 _TOKEN = re.compile(r"\d+(?:\.\d+)?|[a-z]+|[€$£¥₽%#]|[^\W\d_]")
 
 
@@ -222,24 +225,25 @@ def folded_titles(rows: DataFrame, identifier: str, title: str) -> DataFrame:
 
 def learn_words(titles: DataFrame) -> Words:
     """Common words and units, counted over all titles, each word once a title."""
-    kinds = {
-        "n": r"[a-z]+|[\p{IsHan}]",
-        "after": r"\d ?([a-z]+|[\p{IsHan}])",
-        "ends": r"[a-z]{6,} ([a-z]{2,6})(?![a-z])",
-    }
-
-    def words_of(kind: str, pattern: str) -> Column:
-        found = F.array_distinct(F.regexp_extract_all("folded", F.lit(pattern), F.lit(int(pattern != kinds["n"]))))
-        return F.transform(found, lambda w: F.struct(w.alias("w"), F.lit(kind).alias("kind")))
 
-    seen = [words_of(*k) for k in kinds.items()]
-    numbers = F.pmod(F.xxhash64(F.sort_array(F.regexp_extract_all("folded", F.lit(r"\d+"), F.lit(0)))), F.lit(BUCKETS))
-    spots = titles.select(numbers.alias("b"), F.inline(F.concat(*seen))).groupBy("w", "b").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
-    counts = spots.groupBy("w").agg(*[F.sum(k).alias(k) for k in kinds], F.count_if(F.col("n") > 0).alias("b"))
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            seen: dict[tuple[str, int], list[int]] = {}
+            for title in batch["folded"]:
+                bucket = zlib.crc32(" ".join(sorted(_NUMBER.findall(title))).encode()) % BUCKETS
+                for kind, pattern in enumerate((_WORD, _AFTER, _ENDS)):
+                    for w in set(pattern.findall(title)):
+                        seen.setdefault((w, bucket), [0, 0, 0])[kind] += 1
+            if seen:
+                n, after, ends = zip(*seen.values())
+                yield pd.DataFrame({"w": [w for w, _ in seen], "b": [b for _, b in seen], "n": n, "after": after, "ends": ends})
+
+    spots = titles.select("folded").mapInPandas(count, "w string, b int, n long, after long, ends long").groupBy("w", "b").agg(*[F.sum(k).alias(k) for k in ("n", "after", "ends")])
+    counts = spots.groupBy("w").agg(*[F.sum(k).alias(k) for k in ("n", "after", "ends")], F.count("*").alias("b"))
     least = max(FEWEST, COMMON_SHARE * titles.count())
     rows = counts.where((F.col("n") >= least) & (F.col("b") >= FEWEST)).collect()  # at most words per title / COMMON_SHARE
     return Words(
-        sorted(r.w for r in rows if r.w.isascii() and len(r.w) >= 3),
+        sorted(r.w for r in rows if len(r.w) >= 3),
         sorted(r.w for r in rows if r.after >= UNIT_SHARE * r.n and _key(r.w) not in _MONTH_KEYS),
         sorted(r.w for r in rows if r.ends >= SUFFIX_SHARE * r.n and 2 <= len(r.w) <= 6),
     )
@@ -324,10 +328,10 @@ def components(members: DataFrame) -> DataFrame:
             return labels
 
 
-def page_key(url: Column) -> Column:
-    """What stands for the page a URL leads to; null if it states none."""
-    page = normalize_url(url)
-    return F.when(F.coalesce(page, F.lit("")) != "", F.md5(page))
+def pages(rows: DataFrame, identifier: str, url: str) -> DataFrame:
+    """``id`` and ``cls`` of the page that each row's URL leads to, a 64-bit hash; rows without a page are left out."""
+    page = F.transform(F.array(normalize_url(F.col(url))), lambda p: F.when(p != "", F.xxhash64(p)))
+    return rows.select(F.col(identifier).cast("long").alias("id"), F.explode(F.filter(page, lambda p: p.isNotNull())).alias("cls"))
 
 
 class History:
@@ -340,7 +344,7 @@ class History:
 
     TABLES = {
         "points": f"{POINT}, id long, leader boolean",
-        "classes": "cls string, first long",
+        "classes": "cls long, first long",
         "rows": "id long, first long",
         "merges": "old long, first long",
     }
@@ -379,7 +383,7 @@ class History:
         Of history only leaders in the cells of the batch's titles, and classes that its rows state, are read; older rows whose
         announcements the batch shows to be one are merged without being read.
         """
-        ids = rows.select(F.col(identifier).cast("long").alias("id"), page_key(F.col(url)).alias("page"))
+        ids = rows.select(F.col(identifier).cast("long").alias("id"))
         table = keep(pivot_table(folded_titles(rows, identifier, title), self.words))
         points = keep(table.groupBy("pk").agg(F.min("id").alias("id"), *[F.any_value(c).alias(c) for c in ("cell", "facts", "letters", "d")]))
         old = self.read("points", batch)
@@ -387,10 +391,9 @@ class History:
         leaders = old.where("leader").join(fresh.select("cell").distinct(), "cell", "left_semi")
         links, led = link_points(fresh, leaders)
         links = keep(links)
-        by_title = table.select("id", F.col("pk").cast("string").alias("cls"))
-        by_link = links.join(fresh.select("pk", "id"), "pk").select("id", F.col("leader").cast("string").alias("cls"))
-        by_page = ids.where(F.col("page").isNotNull()).select("id", F.col("page").alias("cls"))
-        stated = keep(by_title.unionByName(by_link).unionByName(by_page).distinct())
+        by_title = table.select("id", F.col("pk").alias("cls"))
+        by_link = links.join(fresh.select("pk", "id"), "pk").select("id", F.col("leader").alias("cls"))
+        stated = keep(by_title.unionByName(by_link).unionByName(pages(rows, identifier, url)).distinct())
         known = self.resolved(self.read("classes", batch).join(stated.select("cls").distinct(), "cls", "left_semi"), batch)
         tied = keep(components(stated.unionByName(known.select(F.col("first").alias("id"), "cls"))))
         was = known.select(F.col("first").alias("old")).distinct()
@@ -420,10 +423,9 @@ def announcements(rows: DataFrame, identifier: str = "log_seq", title: str = "ti
     several = table.groupBy("cell").agg(F.min("pk").alias("a"), F.max("pk").alias("b")).where("a < b").select("cell")
     points = keep(table.join(several, "cell", "left_semi").groupBy("pk").agg(F.min("id").alias("id"), *[F.any_value(c).alias(c) for c in ("cell", "facts", "letters", "d")]))
     links, _ = link_points(points, points.limit(0))
-    by_title = table.select("id", F.col("pk").cast("string").alias("cls"))
-    by_link = links.join(points.select("pk", "id"), "pk").select("id", F.col("leader").cast("string").alias("cls"))
-    by_page = rows.select(F.col(identifier).cast("long").alias("id"), page_key(F.col(url)).alias("cls")).where(F.col("cls").isNotNull())
-    found = components(by_title.unionByName(by_link).unionByName(by_page)).where(F.col("id") != F.col("first"))
+    by_title = table.select("id", F.col("pk").alias("cls"))
+    by_link = links.join(points.select("pk", "id"), "pk").select("id", F.col("leader").alias("cls"))
+    found = components(keep(by_title.unionByName(by_link).unionByName(pages(rows, identifier, url)))).where(F.col("id") != F.col("first"))
     return found.select(F.col("first").alias(f"{identifier}_a"), F.col("id").alias(f"{identifier}_b"))
 
 

@@ -139,11 +139,11 @@ def test_copies_of_a_cut_text_are_no_evidence(spark):
 
 CLEAN = "Für jedes Konto gibt es 45 € — natürlich nur für neue Kunden."
 DICTS = {"de": (CLEAN * 3).encode(), "en": b"every account gets free builds, counted from the day of sign-up.", "zh": "每个账号可领小时算力，数量有限。截至有网友反馈".encode(), "ru": "Каждый аккаунт получает бесплатно для новых клиентов".encode()}
-COMMON = "".join(set("üöäß€—" + "每个账号可领小时算力，数量有限。" + "абвгдежзийклмнопрстуфхцчшщъыьэюяКб"))
+COMMON = dict.fromkeys("üöäß€—" + "每个账号可领小时算力，数量有限。" + "абвгдежзийклмнопрстуфхцчшщъыьэюяКб", 300)
 
 
 def test_restore_round_trips():
-    r = E.Repairer(DICTS, COMMON)
+    r = E.Repairer(DICTS, COMMON, 1_000)
     for text, wrong, right in [
         (CLEAN, "cp1252", "utf-8"),
         (CLEAN, "latin-1", "utf-8"),
@@ -160,12 +160,55 @@ def test_restore_round_trips():
 
 
 def test_right_texts_stay():
-    r = E.Repairer(DICTS, COMMON)
+    r = E.Repairer(DICTS, COMMON, 1_000)
     for text in ["", "plain", CLEAN, "PROMOÇÃO até o fim, ÂGE MINIMUM", "無料トライアルは本日までです。", "Безкоштовний тариф діє до кінця", "繁體介面也可領取", "Καλημέρα", "trời ơi, được"]:
         assert r.text(text) == (text, [])
     assert r.text("lost � sign")[1] == ["?"]
 
 
+def test_description_length_decides():
+    """The dictionaries and the frequencies of characters decide: without either, or with the cost of a step raised, other lines change."""
+    r = E.Repairer(DICTS, COMMON, 1_000)
+    short = "每个账号".encode("gbk").decode("big5hkscs", "replace")
+    assert "�" not in short and r.text(f"n/a | 25 {short} | ok")[0] == "n/a | 25 每个账号 | ok"
+    bare = E.Repairer({}, {}, 1_000)
+    assert bare.text(f"n/a | 25 {short} | ok") == (f"n/a | 25 {short} | ok", [])
+    one = "a帽o"  # año, of which two bytes were read as one ideograph
+    spanish = E.Repairer({**DICTS, "es": "este año los tokens del año".encode()}, {**COMMON, "ñ": 200, "帽": 1}, 1_000)
+    assert spanish.text(f"gratis este {one} y otro {one}")[0] == "gratis este año y otro año"
+
+
+def test_chain_of_least_length():
+    """Two steps that pay together are taken, whatever the first alone would give."""
+    r = E.Repairer(DICTS, COMMON, 1_000)
+    for first, second in (("cp1252", "latin-1"), ("latin-1", "cp1252"), ("latin-1", "latin-1")):
+        twice = CLEAN.replace("€", "Euro").encode().decode(first).encode().decode(second)
+        fixed, chain = r.text(twice)
+        assert fixed == CLEAN.replace("€", "Euro") and len(chain) == 2
+
+
+def test_held_out_restoration(spark):
+    """Texts that the dictionaries have not seen, garbled by each kind of mistake: how many are found and restored to the letter."""
+    kinds = [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "gbk"), ("gbk", "latin-1"), ("gbk", "big5hkscs"), ("koi8-r", "cp1251"), ("cp1251", "cp866")]
+    de, zh, ru = "Für jedes Konto gibt es {} Stunden, natürlich nur für neue Kunden.", "每个账号可领{}小时算力，数量有限。", "Каждый аккаунт получает {} часов бесплатно."
+    good = [(i, t.format(i), lang) for i in range(150) for t, lang in ((de, "de"), (zh, "zh"), (ru, "ru"))]
+    bad, want = [], {}
+    for k, (right, wrong) in enumerate(kinds):
+        for i in range(6):
+            text = (ru if right in ("koi8-r", "cp1251") else zh if "gbk" == right else (zh, de)[i % 2] if right == "utf-8" and wrong == "latin-1" else de).format(900 + i)
+            try:
+                garbled = text.encode(right).decode(wrong)
+            except UnicodeDecodeError:
+                continue
+            if garbled.encode(wrong).decode(right) == text:
+                want[len(want) + 10_000] = text
+                bad.append((len(want) + 9_999, garbled, None))
+    rows = [(7_000 + n, *r[1:]) for n, r in enumerate(good)] + bad
+    got = {r.doc_id: r.restored for r in E.repaired(spark.createDataFrame(rows, "doc_id int, text string, lang string")).collect()}
+    assert got.keys() <= want.keys() and len(want) > 25
+    assert sum(got.get(k) == v for k, v in want.items()) >= 0.95 * len(want)
+
+
 def test_latin_read_as_latin(spark):
     fr = "L’été à côté, où la période d’essai coûte {} € — déjà prolongée."
     rows = [(i, fr.format(i), "fr") for i in range(60)] + [(100 + i, CLEAN + f" Nr. {i}", "de") for i in range(60)]
@@ -192,7 +235,7 @@ def test_copies_of_a_garbled_text_are_found(spark):
 
 
 def test_signs_side_by_side_stay():
-    r = E.Repairer(DICTS, COMMON + "’É", {"’É": 1})
+    r = E.Repairer(DICTS, {**COMMON, "’": 300, "É": 300}, 1_000, {"’É": 1})
     for text in ["ÂGE MINIMUM : 18 ANS. À L’ÉTRANGER, SE RENSEIGNER.", "offert à l’été, même à l’étranger"]:
         assert r.text(text) == (text, [])
 
