@@ -4,25 +4,29 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.lookalikes import skeleton
 from gleanery.session import keep, spread
 
-#: Sentence openings whose statistics are sent to the workers, the most frequent ones; it bounds the broadcast.
-OPENINGS = 60_000
 #: An opening is judged by its counts from so many sentences on.
 MIN_SENTENCES = 6
+#: Of sentences that are complete without an end fewer than this share have one.
+SIGNED_SHARE = 0.1
+#: Bounds of the log odds that an unended sentence is complete as it stands: however many sentences speak for it, however many against it, and
+#: if none is known.
+COMPLETE, INCOMPLETE, UNKNOWN = 7.0, -6.0, -4.0
+#: What an open end says by itself, as log odds of a cut.
+OPEN_END = 1.1
 #: A length is a candidate limit if so many texts of the source have exactly it, and so many times what its neighbours have.
 LIMIT_COUNT, LIMIT_EXCESS = 5, 5.0
-#: A text counts as cut from this probability on.
-CUT_AT = 0.5
+#: No length says more than this about its texts, and no source has fewer texts cut elsewhere.
+SUREST, RAREST = 0.98, 0.02
 
 _TAG = re.compile(r"<[^<>]*>")
 _NAME = re.compile(r"[A-Z][a-z]{7,}(?:-[\d.]+)?(?:[- ](?:lite|pro|mini|flash|nano|turbo|max|Max|Turbo))*")
@@ -30,6 +34,7 @@ _HOST = re.compile(r"[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}(?![\w-])")
 _DIGITS = re.compile(r"\d+")
 _DOTS = re.compile(r"\.{3,}|…+")
 _END = re.compile(r"[.!?]+[”\"'’»)\]]*(?=\s|$)|[。!?！？]+[”\"'’」』)]*")
+_HYPHEN = re.compile(r"[^\W_]-…?$")
 _OPEN_ENTITY = re.compile(r"&(?:#\d{0,6}|#x[0-9a-f]{0,5}|[A-Za-z]{1,8})$")
 _OPEN_TAG = re.compile(r"<[A-Za-z/][^<>]*$|<$")
 _LINK = re.compile(r"https?://\S*$")
@@ -71,7 +76,7 @@ def ending(text: str) -> tuple[str, str]:
     t = plain(raw)
     if not t:
         return "whole", ""
-    if _BRACKETED.search(t):
+    if _BRACKETED.search(t) or _HYPHEN.search(t):
         return "cut", ""
     if link := _LINK.search(t):
         return ("whole" if _WHOLE_LINK.match(link.group()) else "cut"), ""
@@ -81,63 +86,79 @@ def ending(text: str) -> tuple[str, str]:
     return "open", last
 
 
-def count_openings(texts: DataFrame) -> DataFrame:
-    """``opening``, ``ended``, ``unended``, ``copied`` over every sentence of every distinct text.
+LOOKED = "kind string, source string, h long, state string, starts array<struct<long:string,short:string>>, opening string, ended double, unended double, copied double"
 
-    ``copied`` counts the unended ones with the copies of their texts.
+
+def look(texts: DataFrame) -> DataFrame:
+    """Every text looked at once: ``texts`` has ``source``, ``h``, ``text``, ``copies`` and ``p``, the posterior that its length was a limit.
+
+    Rows of kind ``text`` give how it ends and, for an open end, the ``starts`` its last sentence may have: phrases without an end follow
+    one another without a sign between. Rows of kind ``count`` give, summed over a batch, how many sentences with an ``opening``
+    have their end. A sentence that was cut at a limit says nothing about its kind, so unended ones count by 1 - ``p``.
     """
-    once = texts.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.count("*").alias("copies")).select("text", "copies")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ended, unended, copied = Counter(), Counter(), Counter()
-            for text, copies in zip(batch["text"], batch["copies"].tolist()):
+            counts: dict[str, list[float]] = {}
+            texts: list[tuple] = []
+            for source, h, text, copies, p in zip(*(batch[c].tolist() for c in ("source", "h", "text", "copies", "p"))):
+                state, last = ending(text)
+                starts = []
+                if state == "open":
+                    places = [0, *(m.start() for m in _START.finditer(last))]
+                    starts = [dict(zip(("long", "short"), openings(last[at:]))) for at in places]
+                texts.append(("text", source, h, state, starts, "", 0.0, 0.0, 0.0))
                 for s, done in sentences(plain(text)):
                     for o in set(openings(s)):
-                        (ended if done else unended)[o] += 1
-                        copied[o] += 0 if done else copies
-            keys = list(ended.keys() | unended.keys())
-            if not keys:
-                continue
-            yield pd.DataFrame({"opening": keys, **{n: [c[k] for k in keys] for n, c in (("ended", ended), ("unended", unended), ("copied", copied))}})
-
-    parts = once.mapInPandas(count, "opening string, ended long, unended long, copied long")
-    return parts.groupBy("opening").agg(*(F.sum(c).alias(c) for c in ("ended", "unended", "copied")))
-
-
-class Openings:
-    """Judges an unended last sentence by how other sentences that begin so end."""
-
-    def __init__(self, rows: list[tuple[int | str, ...]]) -> None:
-        self.counts = {o: (e, u) for o, e, u, *_ in rows}
-        self.copied = {o: c[0] for o, _, _, *c in rows if c}
-        self.extended: Counter = Counter()  # ended sentences by every proper prefix of their opening
-        for o, e, *_ in rows:
-            for i in range(1, len(o)):
-                self.extended[o[:i]] += e
-
-    def complete(self, sentence: str) -> float:
-        """Probability that a sentence without end is complete as it stands.
-
-        Phrases without end follow one another without a sign between, so what begins at a later word counts as well.
-        """
-        starts = [sentence[m.start() :] for m in _START.finditer(sentence)]
-        # the judged text itself is no evidence
-        return max(self._complete(*openings(s), own=int(not i)) for i, s in enumerate([sentence, *starts]))
-
-    def _complete(self, long: str, short: str, own: int = 0) -> float:
-        ends = 0
-        for o in (long, short):
-            e, u = self.counts.get(o, (0, 0))
-            u = max(0, u - own)
-            more = self.extended[o] if o == long and len(o) < (6 if _HAN.search(o) else 12) else 0
-            if e + u + more >= MIN_SENTENCES or (more and e + u):
-                # complete ones never take an end, so almost no sentence that begins so has one
-                share = (e + more) / (e + u + more)
-                return 0.985 if share < 0.1 else 0.5 if share < 0.25 else 0.02
-            ends += e + more
-        # of an opening that no text ever ends, copies are all there is to judge by
-        return 0.985 if not ends and self.copied.get(long, 0) >= MIN_SENTENCES else 0.08
+                        c = counts.setdefault(o, [0.0, 0.0, 0.0])
+                        if done:
+                            c[0] += 1
+                        else:
+                            c[1] += 1 - p
+                            c[2] += (1 - p) * copies
+            texts += [("count", "", 0, "", [], o, *c) for o, c in counts.items()]
+            yield pd.DataFrame(texts, columns=["kind", "source", "h", "state", "starts", "opening", "ended", "unended", "copied"])
+
+    return texts.select("source", "h", "text", "copies", "p").mapInPandas(run, LOOKED)
+
+
+def completeness(looked: DataFrame, weights: DataFrame) -> DataFrame:
+    """``source``, ``h``, ``lo``: the log odds that each open text is complete as it stands, by how all sentences that begin alike end.
+
+    ``weights`` has ``source``, ``h``, ``own``: what a text itself added to the unended sentences, which is no evidence for it. All openings
+    of all texts are counted and joined; an opening that is cut short itself counts with all that begin so.
+    """
+    counts = keep(
+        looked.where("kind = 'count'").groupBy("opening").agg(*(F.sum(c).alias(c) for c in ("ended", "unended", "copied")))
+    )
+    prefixes = counts.where("ended > 0").select(F.explode(F.sequence(F.lit(1), F.char_length("opening") - 1)).alias("n"), "opening", "ended").where("n >= 1 and n < length(opening)")
+    extended = prefixes.groupBy(F.substring("opening", F.lit(1), F.col("n")).alias("long")).agg(F.sum("ended").alias("more"))
+    starts = looked.where("kind = 'text' and state = 'open'").select("source", "h", F.posexplode("starts").alias("k", "o"))
+    starts = starts.select("source", "h", "k", "o.long", "o.short").join(weights, ["source", "h"])
+    named = lambda key, names: counts.select(F.col("opening").alias(key), *[F.col(c).alias(n) for c, n in names.items()])
+    found = starts.join(named("long", {"ended": "e1", "unended": "u1", "copied": "c1"}), "long", "left")
+    found = found.join(named("short", {"ended": "e2", "unended": "u2"}), "short", "left").join(extended, "long", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    own = F.when(F.col("k") == 0, F.col("own")).otherwise(0.0)
+    full = F.when(F.col("long").rlike("[㐀-鿿]"), 6).otherwise(12)
+    more = F.when(F.char_length("long") < full, zero(F.col("more"))).otherwise(0.0)
+    u1, u2 = F.greatest(F.lit(0.0), zero(F.col("u1")) - own), F.greatest(F.lit(0.0), zero(F.col("u2")) - own)
+    e1, e2 = zero(F.col("e1")) + more, zero(F.col("e2"))
+    found = found.select("source", "h", e1.alias("e1"), u1.alias("u1"), e2.alias("e2"), u2.alias("u2"), zero(F.col("c1")).alias("c1"), more.alias("more"))
+    n1, n2 = F.col("e1") + F.col("u1"), F.col("e2") + F.col("u2")
+
+    def graded(ended: Column, n: Column) -> Column:
+        # the more sentences, the surer; at SIGNED_SHARE they speak neither way
+        return F.greatest(F.lit(INCOMPLETE), F.least(F.lit(COMPLETE), 1.5 * F.log(n + 1) * (1 - (ended + 0.2) / (n + 1) / SIGNED_SHARE)))
+
+    copies = (F.col("e1") + F.col("e2") == 0) & (F.col("c1") >= MIN_SENTENCES)  # no text ever ends it: copies are all there is to judge by
+    lo = (
+        F.when((n1 >= MIN_SENTENCES) | ((F.col("more") > 0) & (n1 > F.col("more"))), graded(F.col("e1"), n1))
+        .when(n2 >= MIN_SENTENCES, graded(F.col("e2"), n2))
+        .when(copies, 1.5 * F.log(F.col("c1") + 1))
+        .otherwise(UNKNOWN)
+    )
+    return found.select("source", "h", lo.alias("lo")).groupBy("source", "h").agg(F.max("lo").alias("lo"))
 
 
 def fit_censored(lengths: np.ndarray, counts: np.ndarray) -> list[tuple[int, float]]:
@@ -202,45 +223,39 @@ def judged(texts: DataFrame) -> DataFrame:
     """``texts`` (``rec``, ``rec_id``, ``source``, ``text``) as ``rec``, ``rec_id``, ``source``, ``cut``.
 
     Null and blank texts are left out. Sources are told apart regardless of case and blanks around; a null source is one of its
-    own. Repeated rows are judged alike.
+    own. Repeated rows are judged alike. The log odds of a cut are those of the length, by the censoring posterior at a limit and by how
+    often the source cuts elsewhere, plus what an open end says, less those that such a sentence is complete. A text whose last
+    sentence has its end is complete, one that breaks within a sign, a tag or a word with a hyphen is cut.
     """
-    stated = spread(texts.select("rec", "rec_id", "source", "text")).where(F.col("text").rlike(r"\S"))
-    table = [
-        (r.opening, r.ended, r.unended, r.copied)
-        for r in count_openings(stated).where(F.col("ended") + F.greatest("unended", "copied") >= 3).orderBy(F.desc(F.col("ended") + F.col("unended")), "opening").limit(OPENINGS).collect()
-    ]
-
-    @F.pandas_udf("state string, complete double")
-    def look(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known = Openings(table)
-        for s in batches:
-            out = [(state, known.complete(last) if state == "open" else 1.0) for state, last in map(ending, s)]
-            yield pd.DataFrame(out, columns=["state", "complete"])
-
     source = F.coalesce(F.lower(F.regexp_replace("source", r"(?U)^\s+|\s+$", "")), F.lit(""))
-    rows = keep(
-        stated.select(
-            "rec", "rec_id", source.alias("source"), look("text").alias("e"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("h")
-        ).select("rec", "rec_id", "source", "e.state", "e.complete", "chars", "bytes", "h")
+    stated = texts.where(F.col("text").rlike(r"\S")).select(
+        "rec", "rec_id", F.concat_ws("/", "rec", source).alias("source"), F.xxhash64("text").alias("h"), F.char_length("text").alias("chars"), F.octet_length("text").alias("bytes"), "text"
     )
-    # copies of one text say nothing about limits, so every text counts once per source
-    once = rows.select(F.concat_ws("/", "rec", "source").alias("source"), "h", "chars", "bytes").distinct()
-    lengths = once.select("source", F.inline(_units())).select("source", "unit", "length")
-    limits = keep(censoring(lengths))
-    best = rows.withColumn("_s", F.concat_ws("/", "rec", "source"))
+    # copies of one text say nothing about limits or openings, so every text counts once per source
+    once = keep(stated.groupBy("source", "h").agg(F.any_value("text").alias("text"), F.count("*").alias("copies"), F.any_value("chars").alias("chars"), F.any_value("bytes").alias("bytes")))
+    limits = keep(censoring(once.select("source", F.inline(_units()))))
     for unit in ("chars", "bytes"):
         # a handful of limits per source
-        one = limits.where(F.col("unit") == unit).select(F.col("source").alias("_s"), F.col("length").alias(unit), F.col("posterior").alias(f"p_{unit}"))
-        best = best.join(one, ["_s", unit], "left")
-    p = F.greatest(F.coalesce("p_chars", F.lit(0.0)), F.coalesce("p_bytes", F.lit(0.0)), F.lit(0.2))
-    p = F.least(p, F.lit(0.95))
-    # odds of a cut: the censoring posterior against the odds that such an ending is complete
-    odds = (p / (1 - p)) * 3 * ((1 - F.col("complete")) / F.col("complete"))
-    cut = F.when(F.col("state") == "cut", True).when(F.col("state") == "whole", False).otherwise(odds / (1 + odds) >= CUT_AT)
-    return best.select("rec", "rec_id", "source", cut.alias("cut"))
-
-
-def _units() -> F.Column:
+        one = limits.where(F.col("unit") == unit).select("source", F.col("length").alias(unit), F.col("posterior").alias(f"p_{unit}"))
+        once = once.join(one, ["source", unit], "left")
+    p = F.least(F.lit(SUREST), F.greatest(F.coalesce("p_chars", F.lit(0.0)), F.coalesce("p_bytes", F.lit(0.0))))
+    once = once.select("source", "h", "text", "copies", p.alias("p"))
+    looked = keep(look(spread(once)))
+    measured = keep(once.select("source", "h", "p"))
+    lo = completeness(looked, measured.select("source", "h", (1 - F.col("p")).alias("own")))
+    ends = keep(looked.where("kind = 'text'").select("source", "h", "state").join(measured, ["source", "h"]).join(lo, ["source", "h"], "left"))
+    # how often a source cuts where there is no limit
+    loose = (F.col("state") == "cut") | (F.coalesce("lo", F.lit(COMPLETE)) < 0)
+    base = ends.where(F.col("p") < 0.5).groupBy("source").agg(F.greatest(F.lit(RAREST), (F.count_if(loose) + 1) / (F.count("*") + 5)).alias("base"))
+    q = F.greatest("p", F.coalesce("base", F.lit(0.2)))
+    odds = F.log(q / (1 - q)) + OPEN_END - F.col("lo")
+    cut = F.when(F.col("state") == "cut", True).when(F.col("state") == "whole", False).otherwise(odds >= 0)
+    verdict = ends.join(base, "source", "left").select("source", "h", cut.alias("cut"))
+    name = F.substring("source", F.instr("source", "/") + 1, F.char_length("source"))
+    return stated.select("rec", "rec_id", "source", "h").join(verdict, ["source", "h"]).select("rec", "rec_id", name.alias("source"), "cut")
+
+
+def _units() -> Column:
     return F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("chars", "bytes")])
 
 

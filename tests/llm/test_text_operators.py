@@ -314,5 +314,64 @@ def test_chinese_leak(spark):
 
 def test_alignment_counts_words_in_order():
     a, b = "x a b c d e y".split(), "a b q c d e".split()
-    assert [a[i] for i, _ in L.aligned(a, b, 9)] == list("abcde")
-    assert L.aligned([], b, 3) == []
+    assert [a[i] for i, _ in L.aligned(a, b, -9, 9)] == list("abcde")
+    assert L.aligned([], b, -3, 3) == []
+
+
+def test_band_against_full_matrix():
+    """The band on the diagonal of the region gives what the full matrix gives, wherever in the document the passage stands."""
+    rng = random.Random(5)
+    for _ in range(200):
+        passage = [rng.choice("abcdefghijklmnop") for _ in range(40)]
+        part = [w for w in passage[5:35] if rng.random() > 0.06]
+        before = [rng.choice("uvw") for _ in range(rng.randint(0, 60))]
+        doc = before + part + [rng.choice("uvw") for _ in range(30)]
+        at = len(before) - 5
+        full = L.aligned(doc, passage, -len(passage), len(doc))
+        assert len(L.aligned(doc, passage, at - 6, at + 6)) == len(full) > 15
+
+
+def test_lemma_bound():
+    """No edit within the budget takes more q-grams than the lemma says; without a bound the bands would be no filter."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(L.MIN_WORDS)]
+    least = L.least_grams(list(map(len, words)), L.MIN_WORDS)
+    assert least > 5
+    own = set(L.grams(L.letters(words)[0]).tolist())
+    for _ in range(100):
+        edited = list(words)
+        for k in rng.sample(range(len(words)), L.EDITS):
+            edited[k] = rng.choice(["", "zzzz"])
+        assert len(own.intersection(L.grams(L.letters([w for w in edited if w])[0]).tolist())) >= least
+
+
+def test_verbatim_runs_are_found(spark, sf):
+    """Runs of 20 words of every item, or 45 characters of Chinese, that hold a word of its own, in documents of the table."""
+    rng = random.Random(8)
+    items = spark.read.parquet(f"{sf}/eval_items.parquet").select("item_id", "text").collect()
+    known = L.Items([(r.item_id, r.text) for r in items])
+    hosts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where("text is not null").limit(60).collect()]
+    texts, want = [], set()
+    for n, us in enumerate(known.units):
+        han = known.least[n] == L.least_grams([1] * L.MIN_HAN, L.MIN_HAN)
+        size = 45 if han else 20
+        at = rng.randrange(max(1, len(us) - size))
+        run = us[at : at + size]
+        if len(run) < size or known.own[n].isdisjoint(run):
+            continue
+        host = rng.choice(hosts)
+        cut = rng.randrange(len(host) + 1)
+        want.add((len(texts), n))
+        texts.append(f"{host[:cut]} . {' '.join(run)} . {host[cut:]}")
+    got = set(L.leaked(texts, known))
+    assert len(want) > 200 and len(want - got) <= 0.005 * len(want)
+
+
+def test_stock_phrases(spark):
+    """A long phrase that many items share is no leak, unless every passage is asked for."""
+    stock = "applications close at noon in every branch of the shop and households that rent are asked to hand in a form at the counter"
+    items = [(i, f"The {n} offer ends soon and {n} is free. {stock}") for i, n in enumerate(["sefarsabo", "veponabo", "dakometa", "huhareta"])]
+    e = spark.createDataFrame(items, "item_id int, text string")
+    d = spark.createDataFrame([(1, f"Before it. {stock} after it"), (2, f"The sefarsabo offer ends soon and sefarsabo is free. {stock}")], "doc_id int, text string")
+    assert {tuple(r) for r in L.leaks(d, e).collect()} == {(2, 0)}
+    assert {tuple(r) for r in L.leaks(d, e, own=False).collect()} == {(k, i) for k in (1, 2) for i in range(4)}
