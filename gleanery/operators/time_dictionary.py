@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from gleanery.functions.instants import utc_ms
-from gleanery.session import keep
+from gleanery.session import keep, read_or_empty
 
 
 @F.pandas_udf(LongType())
@@ -29,13 +29,8 @@ def build_dictionary(rows: DataFrame, path: str | None = None) -> DataFrame:
     if path is None:
         return keep(wanted.withColumn("utc_ms", _parse("raw", "tz_name")))
     schema = "raw string, tz_name string, utc_ms long"
-    try:
-        known = spark.read.schema(schema).parquet(path)
-        known.take(0)
-        wanted = wanted.join(known.select("raw", "tz_name"), ["raw", "tz_name"], "left_anti")
-    except Exception as absent:
-        if "PATH_NOT_FOUND" not in str(absent) and "Path does not exist" not in str(absent):
-            raise
+    known = read_or_empty(spark, path, schema)
+    wanted = wanted.join(known.select("raw", "tz_name"), ["raw", "tz_name"], "left_anti")
     keep(wanted.withColumn("utc_ms", _parse("raw", "tz_name"))).write.mode("append").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
@@ -51,11 +46,11 @@ def normalise_instants(rows: DataFrame, path: str | None = None) -> DataFrame:
     return rows.join(told, ["raw", "tz_name"], "left")
 
 
-def publication_instants(rss: DataFrame, hits: DataFrame, catalogue: DataFrame, sources: DataFrame) -> DataFrame:
+def publication_instants(rss: DataFrame, hits: DataFrame, catalogue: DataFrame, sources: DataFrame, path: str | None = None) -> DataFrame:
     """Every stated publication time of the feeds, the hits and the catalogue, as ``rec``, ``rec_id``, ``utc_ms``.
 
     Sources are matched regardless of case and blanks around; one that the dimension does not
-    list is on UTC.
+    list is on UTC. With ``path`` the dictionary of values persists there.
     """
     name = F.lower(F.trim("source")).alias("_source")
     zones = sources.select(F.lower(F.trim("name")).alias("_source"), "tz_name").dropDuplicates(["_source"])
@@ -76,5 +71,5 @@ def publication_instants(rss: DataFrame, hits: DataFrame, catalogue: DataFrame,
     models = catalogue.select(
         F.col("row_id").alias("rec_id"), F.lit("catalog").alias("rec"), F.col("created").cast("string").alias("raw"), F.lit("UTC").alias("tz_name")
     ).where(stated)
-    known = normalise_instants(dated.unionByName(models))
+    known = normalise_instants(dated.unionByName(models), path)
     return known.where(F.col("utc_ms").isNotNull()).select("rec", "rec_id", "utc_ms").distinct()

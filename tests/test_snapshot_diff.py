@@ -2,20 +2,36 @@
 
 import random
 
-from gleanery.operators.snapshot_diff import catalogue_changes, merge_changes, snapshot_changes
+from pyspark.sql import functions as F
+
+from gleanery.operators.snapshot_diff import SnapshotStore, catalogue_changes, repriced, snapshot_changes
 
 CATALOGUE = "row_id long, snap_no int, delivery_no int, id string, pricing struct<prompt:string,completion:string>, pair_no int"
 
 
-def test_merge_against_brute_force(spark):
+def test_merge_against_brute_force(spark, tmp_path):
+    """Snapshots kept range-partitioned and sorted, one after another, against sets; a repeated write replaces, old ranges stay as they are."""
     rng = random.Random(5)
-    old = {k: rng.choice([None, 1.0, 2.0]) for k in rng.sample(range(300), 200)}
-    new = {k: rng.choice([None, 1.0, 2.0]) for k in rng.sample(range(300), 200)}
-    rows = [(k, v, 0, "x") for k, v in old.items()] + [(k, v, 1, "x") for k, v in new.items()] + [(None, 1.0, 0, "x")]
-    got = {tuple(r) for r in merge_changes(spark.createDataFrame(rows, "k int, v double, side int, diff_kind string"), ["k"], ["v"]).collect()}
-    want = {(k, "removed") for k in old.keys() - new.keys()} | {(k, "added") for k in new.keys() - old.keys()}
-    want |= {(k, "changed") for k in old.keys() & new.keys() if old[k] != new[k]}
-    assert got == want
+    snaps = [{f"k{k:03}": rng.choice([None, 1.0, 2.0]) for k in rng.sample(range(300), 200)} for _ in range(3)]
+    store = SnapshotStore(spark, f"file://{tmp_path}/store", "k", ["v"], ranges=5)
+    want = set()
+    for n, rows in enumerate(snaps):
+        df = spark.createDataFrame([(n, k, v, "x") for k, v in rows.items()] + [(n, None, 1.0, "x")], "s int, k string, v double, diff_kind string")
+        store.add(df, "s")
+        if n == 1:
+            store.add(df, "s")
+        assert store.numbers() == list(range(n + 1))
+        if n:
+            old = snaps[n - 1]
+            step = {(k, n, "removed", old[k], None) for k in old.keys() - rows.keys()} | {(k, n, "added", None, rows[k]) for k in rows.keys() - old.keys()}
+            step |= {(k, n, "changed", old[k], rows[k]) for k in old.keys() & rows.keys() if old[k] != rows[k]}
+            value = lambda s: s and s.v
+            assert {(r.k, r.snap, r.diff_kind, value(r.old), value(r.new)) for r in store.changes(since=n).collect()} == step
+            want |= step
+    assert store.changes().count() == len(want)
+    kept = spark.read.parquet(f"{tmp_path}/store/snapshots")
+    spans = kept.groupBy("part").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy("lo").collect()
+    assert len(spans) == 5 and all(a.hi < b.lo for a, b in zip(spans, spans[1:]))
 
 
 def test_catalogue(spark):
@@ -35,8 +51,10 @@ def test_catalogue(spark):
         (12, 3, 1, "  ", price("1"), 7),
         (13, 5, 1, "b", price("3"), 7),  # no snapshot 4 to compare with
     ]
-    got = {tuple(r) for r in catalogue_changes(spark.createDataFrame(rows, CATALOGUE)).collect()}
+    changes = catalogue_changes(spark.createDataFrame(rows, CATALOGUE))
+    got = {(r.model_id, r.snap_no, r.diff_kind) for r in changes.collect()}
     assert got == {("gone", 2, "removed"), ("b", 2, "changed"), ("new", 2, "added"), ("a/x", 3, "removed"), ("new", 3, "removed"), ("gone", 3, "added")}
+    assert [tuple(r) for r in repriced(changes).collect()] == [("b", 2, "prompt", 1.0, None)]
 
 
 def test_empty(spark):
@@ -45,5 +63,5 @@ def test_empty(spark):
 
 def test_many_rows_stream_over_batches(spark):
     n = 30_000
-    rows = spark.range(2 * n).selectExpr(f"id % {n} AS k", f"int(1 + id div {n}) AS s", "1 AS d", "id AS t", "double(id % 7) AS v")
+    rows = spark.range(2 * n).selectExpr(f"string(id % {n}) AS k", f"int(1 + id div {n}) AS s", "1 AS d", "id AS t", "double(id % 7) AS v")
     assert snapshot_changes(rows, "k", ["v"], "s", "d", "t").where("diff_kind <> 'changed'").count() == 0
