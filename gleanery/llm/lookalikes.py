@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -203,13 +204,40 @@ def vocabulary(texts: Column, rows: DataFrame, limit: int = VOCABULARY_LIMIT, mi
         F.max(F.col("w") == F.col("look")).alias("latin"), F.max_by("w", F.struct("n", "w")).alias("top"), F.sum("n").alias("n")
     )
     chosen = best.where(F.col("n") >= min_count).select("n", F.when(F.col("latin"), F.col("look")).otherwise(F.col("top")).alias("w"))
-    return [r.w for r in chosen.orderBy(F.desc("n"), "w").limit(limit).collect()]
+    # the least count of which the limit still holds all words; counts of counts are few
+    sizes = sorted(((r.n, r.k) for r in chosen.groupBy("n").agg(F.count("*").alias("k")).collect()), reverse=True)
+    least, held = 1 << 62, 0
+    for n, k in sizes:
+        held += k
+        if held > limit:
+            break
+        least = n
+    return sorted(r.w for r in chosen.where(F.col("n") >= least).select("w").collect())
 
 
 _WIDE_SIGNS = "".join(chr(0xFEE0 + o) for o in range(0x21, 0x7F) if not chr(o).isalpha())
 _SIGNS = "".join(chr(o) for o in range(0x21, 0x7F) if not chr(o).isalpha())
-# every character that stands for itself whatever surrounds it, and no two blanks in a row or blanks at the ends
-_OTHER = r"[^\x20-\x7e¡-¬®-ʏ–—‘-‟•…‹›€№™、-〗一-鿿\x{1f300}-\x{1faff}]|  |^ | $"
+#: Ranges of characters that mostly stand for themselves: Latin letters, common signs, ideographs, pictures.
+_PLAIN = ((0x21, 0x28F), (0x2013, 0x2014), (0x2018, 0x201F), (0x2022, 0x2026), (0x2039, 0x203A), (0x20AC, 0x20AC), (0x2116, 0x2122), (0x3001, 0x3017), (0x4E00, 0x9FFF), (0x1F300, 0x1FAFF))
+
+
+def self_evident() -> list[tuple[int, int]]:
+    """Ranges of code points that look like themselves alone, whatever surrounds them; tested one by one."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in _PLAIN:
+        for o in range(lo, hi + 1):
+            if skeleton(chr(o)) == chr(o):
+                if out and out[-1][1] == o - 1:
+                    out[-1] = (out[-1][0], o)
+                else:
+                    out.append((o, o))
+    return out
+
+
+@cache
+def _other() -> str:
+    """A pattern of what is not self-evident: other characters, two blanks in a row or a blank at an end."""
+    return "[^ " + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in self_evident()) + "]|  |^ | $"
 
 
 def canonical_text(text: Column, words: list[str]) -> Column:
@@ -225,26 +253,45 @@ def canonical_text(text: Column, words: list[str]) -> Column:
             yield pd.Series([None if t is None else canon.text(t) for t in s], dtype=object)
 
     signs = F.translate(text, _WIDE_SIGNS, _SIGNS)
-    other = signs.rlike(_OTHER)
+    other = signs.rlike(_other())
     return F.when(other, spelled(F.when(other, text))).otherwise(signs)
 
 
+def looks(rows: DataFrame, fields: list[str], identifier: str) -> DataFrame:
+    """``field``, ``id`` and hashes of the value as it is (``raw``) and in canonical spelling (``look``), of values that are not blank."""
+    flat = spread(rows.select(F.col(identifier), *fields)).select(
+        F.col(identifier).alias("id"), F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("raw")) for f in fields]))
+    ).where(F.col("raw").rlike(r"\S"))
+    words = vocabulary(F.col("raw"), flat)
+    # spelled once, then read by every step; only hashes are kept
+    return keep(flat.select("field", "id", F.md5("raw").alias("raw"), F.md5(canonical_text(F.col("raw"), words)).alias("look")))
+
+
+def several_spellings(keyed: DataFrame) -> DataFrame:
+    """Of ``keyed`` the rows whose look has several spellings; copies are folded before spellings meet."""
+    several = keyed.groupBy("field", "look").agg(F.min("raw").alias("a"), F.max("raw").alias("b")).where("a < b").select("field", "look")
+    return keyed.join(several, ["field", "look"], "left_semi")
+
+
+def lookalike_members(rows: DataFrame, fields: list[str], identifier: str) -> DataFrame:
+    """Every row whose value looks like another spelling: ``field``, ``identifier``, ``class_id`` (the least identifier of all that look
+    alike) and ``spelling_id`` (the least one with the same string). With pairs of spellings this gives all pairs of rows."""
+    members = several_spellings(looks(rows, fields, identifier))
+    spelled = members.groupBy("field", "look", "raw").agg(F.min("id").alias("spelling_id"))
+    classes = spelled.groupBy("field", "look").agg(F.min("spelling_id").alias("class_id"))
+    named = spelled.join(classes, ["field", "look"])
+    return members.join(named, ["field", "look", "raw"]).select("field", F.col("id").alias(identifier), "class_id", "spelling_id").distinct()
+
+
 def lookalike_pairs(rows: DataFrame, fields: list[str], identifier: str, copies: int = COPIES) -> DataFrame:
     """Pairs of rows whose values of a field differ as strings but look the same, as ``field``, ``<identifier>_a``, ``<identifier>_b``.
 
     Null and blank values pair with nothing. Rows that look the same form a class; every spelling of it is linked with every other. The
     first ``copies`` rows of a spelling pair with all rows of the others; later copies of the same string pair with those
-    first rows only, so that a huge group of exact copies stays linear while no link between different strings is lost.
+    first rows only, so that a huge group of exact copies stays linear while no link between different strings is lost;
+    :func:`lookalike_members` gives the class of every copy.
     """
-    flat = spread(rows.select(F.col(identifier), *fields)).select(
-        F.col(identifier).alias("id"), F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("raw")) for f in fields]))
-    ).where(F.col("raw").rlike(r"\S"))
-    words = vocabulary(F.col("raw"), flat)
-    # spelled once, then read by every step; only hashes are kept
-    keyed = keep(flat.select("field", "id", F.md5("raw").alias("raw"), F.md5(canonical_text(F.col("raw"), words)).alias("look")))
-    spellings = keyed.groupBy("field", "look", "raw").agg(F.count("*").alias("n"))
-    several = spellings.groupBy("field", "look").agg(F.count("*").alias("k")).where("k > 1").select("field", "look")
-    members = keyed.join(several, ["field", "look"], "left_semi")
+    members = several_spellings(looks(rows, fields, identifier))
     # row_number() <= copies is pushed below the exchange as a group limit: a spelling's copies are never gathered
     spelled = Window.partitionBy("field", "look", "raw").orderBy("id")
     heads = members.withColumn("k", F.row_number().over(spelled)).where(F.col("k") <= copies).select("field", "look", F.col("raw").alias("raw2"), F.col("id").alias("id2"))

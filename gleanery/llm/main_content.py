@@ -6,7 +6,6 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -14,11 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.lookalikes import skeleton
-from gleanery.session import spread
+from gleanery.session import drawn, spread
 
-#: Pages and summaries the weights are learned from; both bound what the driver gathers.
+#: Pages and summaries the weights are learned from, about; both bound what the driver gathers.
 TRAINING_PAGES = 1_200
 TRAINING_SUMMARIES = 3_000
+#: What every further region of a page costs, and the bound of a segment's score either way, so that no paragraph outweighs a whole menu.
+REGION_COST, MOST = 2.0, 12.0
 #: Features kept, the most frequent ones; it bounds the broadcast.
 FEATURES = 60_000
 
@@ -129,27 +130,58 @@ def score(ws: list[str], kind: str, weights: dict[str, float]) -> float:
     return sum(get(w, 0.0) for w in features(ws, kind))
 
 
+def best_regions(scores: list[float], cost: float = math.inf) -> list[tuple[int, int]]:
+    """Bounds of the contiguous regions with the greatest sum, less ``cost`` for each but the first; found in one scan.
+
+    With an infinite cost it is the one maximum-scoring run. There is none if no score is positive. Of equal ones the shortest is taken.
+    """
+    inside, outside = -math.inf, -math.inf  # the best that ends inside a region at this place, or after one
+    opened: list[tuple[bool, bool]] = []  # for each place, whether its region begins there, and whether as the first
+    closed: list[bool] = []  # whether what is best outside after a place ends a region there
+    for s in scores:
+        first, again = 0.0, outside - cost
+        if inside > 0 and inside >= again:
+            inside, begin = inside + s, (False, False)
+        elif again > first:
+            inside, begin = again + s, (True, False)
+        else:
+            inside, begin = s, (True, True)
+        opened.append(begin)
+        closed.append(inside > outside)
+        outside = max(outside, inside)
+    out: list[tuple[int, int]] = []
+    if outside <= 0:
+        return out
+    i = len(scores) - 1
+    while True:
+        while not closed[i]:
+            i -= 1
+        end = i + 1
+        while not opened[i][0]:
+            i -= 1
+        out.append((i, end))
+        if opened[i][1]:
+            return out[::-1]
+        i -= 1
+
+
 def best_run(scores: list[float]) -> tuple[int, int]:
-    """Bounds of the contiguous run with the greatest sum, found in one scan; (0, 0) if no score is positive."""
-    best, at, run, start = 0.0, (0, 0), 0.0, 0
-    for i, s in enumerate(scores):
-        if run <= 0:
-            run, start = 0.0, i
-        run += s
-        if run > best:
-            best, at = run, (start, i + 1)
-    return at
-
-
-def furniture_of(page: list[tuple[str | None, str | None, str | None]], weights: dict[str, float], margin: float = 1.0) -> list[bool]:
+    """Bounds of the contiguous run with the greatest sum; (0, 0) if no score is positive."""
+    return next(iter(best_regions(scores)), (0, 0))
+
+
+def furniture_of(page: list[tuple[str | None, str | None, str | None]], weights: dict[str, float], cost: float = REGION_COST) -> list[bool]:
     """For each segment of a page (text, href, host) in order, whether it is not main body.
 
-    The best run of content scores is the body. Inside it a segment that clearly scores as furniture is cut out; outside it
-    one that clearly scores as content stays, as when a list of links splits the body.
+    The body is what lies in the best regions of content scores: a block of furniture within the body splits it only if it outweighs
+    the cost of one more region, and what stands alone among furniture is body only if it does. Whatever a segment scores itself, its
+    region decides.
     """
-    scores = [-5.0 if not t or not t.strip() else score(words(t), link_kind(h, host), weights) for t, h, host in page]
-    lo, hi = best_run(scores)
-    return [s < (-margin if lo <= i < hi else margin) for i, s in enumerate(scores)]
+    scores = [-5.0 if not t or not t.strip() else max(-MOST, min(MOST, score(words(t), link_kind(h, host), weights))) for t, h, host in page]
+    out = [True] * len(scores)
+    for lo, hi in best_regions(scores, cost):
+        out[lo:hi] = [False] * (hi - lo)
+    return out
 
 
 _PIECE = re.compile(r"(?<=[。！？!?…）)🎉])\s*|(?<=[.])\s+|(?<=\S)\s{2,}|(?<=/\d)\s|(?<=/\d\d)\s|(?<=/\d\d\d)\s")
@@ -163,7 +195,7 @@ def pieces(text: str) -> list[str]:
 def furniture_run(text: str, weights: dict[str, float]) -> float:
     """The strongest furniture evidence of a run of words in ``text``: the same scan on negated weights.
 
-    Runs from or to the ends of each piece are scanned, and the whole piece is scored with its bias.
+    The best run of each piece is scanned for, and the whole piece is scored with its bias.
     """
     best = 0.0
     get = weights.get
@@ -171,8 +203,8 @@ def furniture_run(text: str, weights: dict[str, float]) -> float:
         ws = words(piece)
         best = max(best, -score(ws, "none", weights))
         steps = [-get(w, 0.0) - (get(f"{before} {w}", 0.0) if before else 0.0) for before, w in zip([None, *ws], ws)]
-        # furniture is glued to the ends of a sentence, so a run begins or ends with its piece
-        best = max(best, max(accumulate(steps), default=0.0) - RUN_COST, max(accumulate(reversed(steps)), default=0.0) - RUN_COST)
+        lo, hi = best_run(steps)
+        best = max(best, sum(steps[lo:hi]) - RUN_COST)
     return best
 
 
@@ -181,11 +213,11 @@ SUMMARY_THRESHOLD, RUN_COST = 3.0, 3.6
 
 
 def learn(segments: DataFrame, summaries: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
-    """Weights from at most TRAINING_PAGES pages and TRAINING_SUMMARIES texts, chosen by hash; everything is classified with them."""
-    pages = segments.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(TRAINING_PAGES)
-    rows = segments.join(pages, "page_id").select("text", "href", "host").collect()
-    texts = summaries.where(F.col("text").rlike(r"\S")).orderBy(F.xxhash64("text"), "text").limit(TRAINING_SUMMARIES).collect()
-    return fit([tuple(r) for r in rows], [r.text for r in texts])
+    """Weights from about TRAINING_PAGES pages and TRAINING_SUMMARIES texts, chosen by thresholds on a hash; everything is classified with them."""
+    pages = drawn(segments.select("page_id").distinct(), F.col("page_id"), TRAINING_PAGES)
+    rows = segments.join(pages, "page_id", "left_semi").select("text", "href", "host").collect()
+    texts = drawn(summaries.where(F.col("text").rlike(r"\S")), F.col("text"), TRAINING_SUMMARIES).select("text").distinct().collect()
+    return fit(sorted((tuple(r) for r in rows), key=repr), sorted(r.text for r in texts))
 
 
 def page_furniture(segments: DataFrame, weights: dict[str, float]) -> DataFrame:

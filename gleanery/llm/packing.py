@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import base64
 import os
+import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.session import keep, spread
@@ -16,7 +17,11 @@ from gleanery.session import keep, spread
 #: Where the public tokenizers' files are, and which is used unless told otherwise.
 TOKENIZERS, TOKENIZER = os.environ.get("TOKENIZERS_PATH", "/opt/tokenizers"), "byte_bpe_50k.tiktoken"
 #: Tokens and documents that one task packs, at most about; of a document only its id, source and size are held.
-TOKENS_PER_TASK, DOCUMENTS_PER_TASK = 40_000_000, 100_000
+TOKENS_PER_TASK, DOCUMENTS_PER_TASK = 10_000_000, 25_000
+#: Tasks whose totals are summed up in one row, on the way to the totals of all tasks before each.
+BLOCK = 1_024
+#: While a window has more room than this share of its capacity, items of any length go in; then the longest that fits.
+LOOSE = 0.3
 
 _PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
@@ -41,8 +46,9 @@ def fill(items: list[tuple[int, str, int]], capacity: int, shares: dict[str, flo
     """Packs (id, source, size) into windows: a list of (id, piece, window, size).
 
     An item longer than the capacity gives full windows of its own, and its rest is an item like any other. Every window
-    credits each source with its share of the capacity. The source with the highest credit places the longest of its items that
-    still fits and pays for it, until nothing fits; what a source has left or owes is carried to the next window.
+    credits each source with its share of the capacity. The source with the highest credit places an item and pays for it, until nothing
+    fits; what a source has left or owes is carried to the next window. While there is much room, any item that fits is taken,
+    by a fixed rule that draws on all lengths, so that early windows do not hold the long texts alone; then the longest that fits.
     """
     out: list[tuple[int, int, int, int]] = []
     window = 0
@@ -72,6 +78,8 @@ def fill(items: list[tuple[int, str, int]], capacity: int, shares: dict[str, flo
             if at < 0:
                 active.discard(source)
                 continue
+            if room > LOOSE * capacity and at:
+                at = zlib.crc32(b"%d/%d" % (window, room)) % (at + 1)
             size, id_, piece = queue.pop(at)
             out.append((id_, piece, window, size))
             room -= size
@@ -99,38 +107,57 @@ def pack(documents: DataFrame, containers: DataFrame, targets: DataFrame | None
     total = size.n or 0
     tasks = max(1, -(-total // tokens_per_task), -(-size.k // DOCUMENTS_PER_TASK))
     placed = sized.withColumn("task", F.pmod(F.xxhash64("doc_id"), F.lit(tasks)).cast("int"))
-    by_task = placed.groupBy("task", "source").agg(F.sum("tokens").alias("n"))
-    # one row per source, and per task and source: the size of the source dimension, times the tasks
-    held = [(r.task, r.source, r.n) for r in by_task.collect()]
+    by_task = keep(placed.groupBy("task", "source").agg(F.sum("tokens").alias("n")))
     if targets is None:
-        shares: dict[str, float] = {}
-        for _, s, n in held:
-            shares[s] = shares.get(s, 0.0) + n / max(1, total)
+        wanted = by_task.groupBy("source").agg((F.sum("n") / max(1, total)).alias("share"))
     else:
-        shares = {r.source.strip().lower(): float(r.share) for r in targets.collect()}
-    start: dict[int, dict[str, float]] = {}
-    owed: dict[str, float] = {}
-    for t in range(tasks):
-        start[t] = dict(owed)
-        own = {s: n for task, s, n in held if task == t}
-        for s in set(shares) | set(own):
-            owed[s] = owed.get(s, 0.0) + shares.get(s, 0.0) * sum(own.values()) - own.get(s, 0)
+        wanted = targets.select(F.lower(F.trim("source")).alias("source"), F.col("share").cast("double").alias("share"))
+    start = starting_deficits(by_task, wanted)
     kinds = containers.dropna(subset=["container", "capacity_tokens"]).distinct()
     rows = [(r.container, int(r.capacity_tokens)) for r in kinds.collect() if r.capacity_tokens > 0]  # a fixed dimension
     if not rows:
         return documents.sparkSession.createDataFrame([], "container string, bin long, doc_id long, piece int, tokens int")
-    work = placed.select("task", "doc_id", "source", "tokens", F.explode(F.array(*[F.struct(F.lit(c).alias("container"), F.lit(k).alias("capacity")) for c, k in rows])).alias("c"))
-    work = work.select("task", "doc_id", "source", "tokens", "c.container", "c.capacity")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("container"), F.lit(k).alias("capacity")) for c, k in rows])).alias("c")
+    work = placed.select("task", "doc_id", "source", "tokens", each).select("task", "doc_id", "source", "tokens", "c.container", "c.capacity")
+    starts = start.select("task", "source", "share", "owed", each).select("task", "source", "share", "owed", "c.container")
+
+    def run(pdf: pd.DataFrame, begin: pd.DataFrame) -> pd.DataFrame:
+        columns = ["container", "bin", "doc_id", "piece", "tokens"]
+        if pdf.empty:
+            return pd.DataFrame(columns=columns)
         task, container, capacity = int(pdf["task"].iloc[0]), pdf["container"].iloc[0], int(pdf["capacity"].iloc[0])
         items = sorted(zip(pdf["doc_id"].tolist(), pdf["source"].tolist(), pdf["tokens"].tolist()))
-        out = pd.DataFrame(fill(items, capacity, shares, dict(start[task])), columns=["doc_id", "piece", "window", "tokens"])
+        shares, owed = (dict(zip(begin["source"].tolist(), begin[c].tolist())) for c in ("share", "owed"))
+        out = pd.DataFrame(fill(items, capacity, shares, owed), columns=["doc_id", "piece", "window", "tokens"])
         out["container"] = container
         out["bin"] = out["window"].astype("int64") * tasks + task
-        return out[["container", "bin", "doc_id", "piece", "tokens"]]
+        return out[columns]
+
+    schema = "container string, bin long, doc_id long, piece int, tokens int"
+    return work.groupBy("task", "container").cogroup(starts.groupBy("task", "container")).applyInPandas(run, schema)
+
+
+def starting_deficits(by_task: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``task``, ``source``, ``share``, ``owed``: what each source of a task is owed after all tasks before it.
+
+    ``by_task`` has the tokens ``n`` per ``task`` and ``source``, ``wanted`` the ``share`` of each source. It is the share of all tokens before,
+    less those of the source: running sums over blocks of tasks and within each block, in Spark, however many tasks there are.
+    """
 
-    return work.groupBy("task", "container").applyInPandas(run, "container string, bin long, doc_id long, piece int, tokens int")
+    def before(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+        """Sums of ``n`` over all rows of lower tasks, per ``keys``."""
+        blocks = df.groupBy(*keys, "block").agg(F.sum("n").alias("n"))
+        earlier = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        within = Window.partitionBy(*keys, "block").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+        blocks = blocks.select(*keys, "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_b"))
+        rows = df.select(*keys, "block", "task", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("_w"))
+        return rows.join(blocks, [*keys, "block"]).select(*keys, "task", (F.col("_b") + F.col("_w")).alias(name))
+
+    placed = by_task.withColumn("block", F.floor(F.col("task") / BLOCK))
+    totals = placed.groupBy("task", "block").agg(F.sum("n").alias("n")).withColumn("_all", F.lit(1))
+    joined = before(placed, ["source"], "own").join(before(totals, ["_all"], "total").drop("_all"), "task").join(wanted, "source", "left")
+    share = F.coalesce("share", F.lit(0.0))
+    return joined.select("task", "source", share.alias("share"), (share * F.col("total") - F.col("own")).alias("owed"))
 
 
 def fill_report(packed: DataFrame, containers: DataFrame) -> DataFrame:
@@ -140,3 +167,41 @@ def fill_report(packed: DataFrame, containers: DataFrame) -> DataFrame:
     return sums.join(F.broadcast(capacity), "container").select(
         "container", "bins", "tokens", F.round(F.col("tokens") / (F.col("bins") * F.col("capacity_tokens")), 6).alias("fill")
     )
+
+
+def mixture_report(packed: DataFrame, documents: DataFrame) -> DataFrame:
+    """How far the sources of the windows are from their shares of all tokens: ``container``, ``stretch``, ``deviation``.
+
+    The deviation is the mean, over windows (``stretch`` 1) and over runs of 10 and 100 windows, of the total variation distance between the
+    tokens of the run by source and the shares: 0 is the target mixture, 1 has nothing of it. A single window holds few items,
+    so only longer stretches can come near.
+    """
+    name = F.coalesce(F.lower(F.regexp_replace("source", r"(?U)^\s+|\s+$", "")), F.lit(""))
+    placed = packed.join(documents.select(F.col("doc_id").cast("long").alias("doc_id"), name.alias("source")).distinct(), "doc_id")
+    shares = placed.groupBy("container", "source").agg(F.sum("tokens").alias("n"))
+    totals = shares.groupBy("container").agg(F.sum("n").alias("t"))
+    shares = shares.join(totals, "container").select("container", "source", (F.col("n") / F.col("t")).alias("share"))
+    runs = placed.select("container", "source", "tokens", "bin", F.explode(F.array(*map(F.lit, (1, 10, 100)))).alias("stretch"))
+    held = runs.groupBy("container", "stretch", F.floor(F.col("bin") / F.col("stretch")).alias("run"), "source").agg(F.sum("tokens").alias("n"))
+    size = held.groupBy("container", "stretch", "run").agg(F.sum("n").alias("t")).where("t > 0")
+    # half the sum of |p - q| is 1 less the sum of min(p, q): sources that a run lacks add nothing
+    both = held.join(size, ["container", "stretch", "run"]).join(shares, ["container", "source"])
+    common = both.groupBy("container", "stretch", "run").agg(F.sum(F.least(F.col("n") / F.col("t"), F.col("share"))).alias("common"))
+    return common.groupBy("container", "stretch").agg(F.round(1 - F.avg("common"), 6).alias("deviation"))
+
+
+def integrity_report(packed: DataFrame, documents: DataFrame, containers: DataFrame) -> DataFrame:
+    """What no packing may break, per ``container``: ``documents`` placed, ``overfull`` bins, documents ``split_short`` though they fit, and
+    documents whose pieces are ``unequal`` to their tokens."""
+    capacity = F.broadcast(containers.dropna(subset=["container", "capacity_tokens"]).select("container", "capacity_tokens").distinct())  # a fixed dimension
+    stated = documents.where(F.col("text").isNotNull())
+    sized = spread(stated.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), count_tokens().alias("size"))
+    bins = packed.groupBy("container", "bin").agg(F.sum("tokens").alias("t")).join(capacity, "container")
+    overfull = bins.groupBy("container").agg(F.count_if(F.col("t") > F.col("capacity_tokens")).alias("overfull"))
+    pieces = packed.groupBy("container", "doc_id").agg(F.count("*").alias("k"), F.sum("tokens").alias("t")).join(sized, "doc_id", "full").join(capacity, "container", "left")
+    of_docs = pieces.groupBy("container").agg(
+        F.count("t").alias("documents"),
+        F.count_if((F.col("k") > 1) & (F.col("size") <= F.col("capacity_tokens"))).alias("split_short"),
+        F.count_if(~F.col("t").eqNullSafe(F.col("size"))).alias("unequal"),
+    )
+    return of_docs.join(overfull, "container", "left").select("container", "documents", "overfull", "split_short", "unequal")

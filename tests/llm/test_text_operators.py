@@ -67,6 +67,24 @@ def test_pairs_against_brute_force(spark):
     assert {(A.skeleton(text[i]), *sorted((text[i], text[j]))) for _, i, j in few} == spelling  # no link between strings is lost
 
 
+def test_self_evident_characters():
+    """What stays in the JVM looks like itself, alone and among others, and no look-alike, joined or invisible character is taken for it."""
+    held = {o for a, b in A.self_evident() for o in range(a, b + 1)}
+    for o in held:
+        assert A.skeleton(f"x{chr(o)}y") == f"x{chr(o)}y"
+    for c in [*A._LOOKS, *map(chr, A._LIGATURES), "\u00ad", "\u200b", "\u3000"]:
+        assert ord(c) not in held
+    assert {0x41, 0xE9, 0x4E2D, 0x1F389} <= held
+
+
+def test_pairs_of_rare_disguises(spark):
+    texts = ["gpu credits", "ɡpu credits", "ijs", "ĳs", "plain", "ɑi", "ai", "ai"]
+    df = spark.createDataFrame(list(enumerate(texts)), "log_seq int, title string")
+    assert {tuple(r)[1:] for r in A.lookalike_pairs(df, ["title"], "log_seq").collect()} == {(0, 1), (2, 3), (5, 6), (5, 7)}
+    got = {tuple(r)[1:] for r in A.lookalike_members(df, ["title"], "log_seq").collect()}
+    assert got == {(0, 0, 0), (1, 0, 1), (2, 2, 2), (3, 2, 3), (5, 5, 5), (6, 5, 6), (7, 5, 6)}
+
+
 def test_long_text(spark):
     df = spark.createDataFrame([(1, "Frее " * 50_000), (2, "Free " * 50_000)], "log_seq int, title string")
     assert A.lookalike_pairs(df, ["title"], "log_seq").count() == 1
@@ -261,6 +279,28 @@ def test_best_run_against_brute_force():
         assert sum(s[a:b]) == max(best, 0)
 
 
+def test_regions_against_brute_force():
+    rng = random.Random(2)
+    for _ in range(300):
+        s = [rng.randint(-3, 3) for _ in range(rng.randint(0, 8))]
+        best = 0
+        for mask in range(1 << len(s)):
+            on = [mask >> i & 1 for i in range(len(s))]
+            regions = sum(x and not y for x, y in zip(on, [0, *on]))
+            best = max(best, sum(x for x, o in zip(s, on) if o) - 2 * max(0, regions - 1))
+        got = M.best_regions(s, 2)
+        assert sum(sum(s[a:b]) for a, b in got) - 2 * max(0, len(got) - 1) == best
+
+
+def test_region_decides_not_the_segment():
+    """A segment that scores as content stays out among furniture, and one that scores as furniture stays in within the body."""
+    weights = {"body": 5.0, "menu": -5.0, "weak": 1.0, "odd": -1.0}
+    page = [(t, None, "a.example") for t in "menu weak menu body odd body menu menu body body menu".split()]
+    #                                        0    1    2    3    4   5    6    7    8    9    10
+    assert [i for i, f in enumerate(M.furniture_of(page, weights, 2.0)) if not f] == [3, 4, 5, 8, 9]
+    assert [i for i, f in enumerate(M.furniture_of(page, weights, 0.0)) if not f] == [1, 3, 5, 8, 9]  # the sign of each
+
+
 def test_pages(spark):
     rows = []
     for p in range(60):
