@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from functools import reduce
+from urllib.parse import unquote_plus, urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -135,7 +136,7 @@ def discount_pct(text: Column) -> Column:
 def dedup_key(title: Column) -> Column:
     """What reposts of a title share: no wrapper or label in front, no punctuation, lower case; '' if too little is left.
 
-    Wrappers close within 24 bytes; up to six are taken off, then up to two labels of one to six characters.
+    Wrappers close within 24 bytes; all of them are taken off, then up to two labels of one to six characters.
     """
     wrapper = r"^[ \t]*(?:\[[^\]]*\]|【[^】]*】|\([^)]*\)|（[^）]*）)"
 
@@ -144,7 +145,9 @@ def dedup_key(title: Column) -> Column:
         closing = F.octet_length(head) - F.octet_length(F.right(head, F.lit(1)))
         return F.when((head != "") & (closing > 0) & (closing < 24), F.trim(F.regexp_replace(acc, wrapper, ""))).otherwise(acc)
 
-    s = F.ltrim(F.aggregate(F.sequence(F.lit(1), F.lit(6)), F.trim(title), unwrap))
+    # a title has no more wrappers than opening brackets
+    most = F.char_length(title) - F.char_length(F.translate(title, "[【(（", "")) + 1
+    s = F.ltrim(F.aggregate(F.sequence(F.lit(1), F.coalesce(most, F.lit(1))), F.trim(title), unwrap))
     for _ in range(2):
         s = F.trim(F.regexp_replace(s, "^[^：:]{1,6}[：:]", ""))
     key = F.trim(F.regexp_replace(F.lower(F.regexp_replace(s, r"[^\p{IsHan}\p{L}\p{N}]+", " ")), " +", " "))
@@ -178,6 +181,36 @@ def decode_entities(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), _decode(F.when(F.contains(text, F.lit("&")), text))).otherwise(text)
 
 
+@F.pandas_udf(StringType())
+def _decode_unsafe(s: pd.Series) -> pd.Series:
+    keep = {"amp", "lt", "gt", "quot", "apos"}
+    return s.map(lambda t: t if t is None or "&" not in t else _ENTITY.sub(lambda m: m[0] if m[1][0] == "#" or m[1].lower() in keep else _entity(m), t))
+
+
+def decode_xml_unsafe(text: Column) -> Column:
+    """Only the named entities that XML does not define, so that a feed's escaped markup stays escaped until it is parsed."""
+    return _decode_unsafe(text)
+
+
+def split_list(text: Column) -> Column:
+    """The entries of a list written with semicolons or line breaks, trimmed, blank ones left out."""
+    parts = F.split(F.replace(text, F.lit(";"), F.lit("\n")), "\n")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
+
+
+def search_query(product: Column, is_free: Column, domain: Column) -> Column:
+    """A query for the page of an offer on its vendor's own domain; null without a domain. The words asked for."""
+    words = F.when(is_free, F.lit("免费 额度")).otherwise(F.lit("价格 优惠"))
+    named = F.when(F.trim(F.coalesce(product, F.lit(""))) != "", F.concat(F.trim(product), F.lit(" "), words)).otherwise(words)
+    return F.when(F.coalesce(domain, F.lit("")) != "", F.concat(named, F.lit(" site:"), domain))
+
+
+def sorted_offers(offers: Column) -> Column:
+    """Offers by kind and word, in byte order; equal ones keep their order."""
+    keyed = F.transform(offers, lambda o, i: F.struct(o.kind.alias("k"), o.matched.alias("m"), i.alias("i"), o.alias("o")))
+    return F.transform(F.array_sort(keyed, lambda a, b: F.when(F.struct(a.k, a.m, a.i) < F.struct(b.k, b.m, b.i), -1).otherwise(1)), lambda x: x.o)
+
+
 def truncate(text: Column, n: int, keep_all: bool = False, strip: bool = True) -> Column:
     """At most ``n`` characters, the last an ellipsis; with ``keep_all`` the ellipsis comes after ``n`` characters."""
     head = F.substring(text, 1, n if keep_all else n - 1)
@@ -233,6 +266,42 @@ def redact(s: pd.Series) -> pd.Series:
     return s.map(lambda t: t if t is None else _SECRET.sub(lambda m: m[1] + m[2] + (m[3] or "") + mask(m[4]), t))
 
 
+@F.pandas_udf(StringType())
+def redact_url(s: pd.Series) -> pd.Series:
+    """A URL that can be shown: no query, users masked, and what follows ``/hook/`` in the path; '' for a blank one."""
+
+    def one(raw: str | None) -> str | None:
+        if raw is None or not raw.strip():
+            return raw if raw is None else ""
+        try:
+            u = urlsplit(raw)
+        except ValueError:
+            return mask(raw)
+        user, at, host = u.netloc.rpartition("@")
+        shown = f"{u.scheme}://" + (f"{mask(user.partition(':')[0])}@***@" if at else "") + host
+        head, hook, tail = u.path.partition("/hook/")
+        return shown + (head + hook + mask(tail) if hook else u.path)
+
+    return s.map(one)
+
+
+@F.pandas_udf(StringType())
+def redact_query(s: pd.Series) -> pd.Series:
+    """A URL whose parameters keep their names, sorted, and lose their values."""
+
+    def one(raw: str | None) -> str | None:
+        if not raw or "?" not in raw:
+            return raw
+        try:
+            u = urlsplit(raw)
+        except ValueError:
+            return raw
+        names = sorted({unquote_plus(p.partition("=")[0]) for p in u.query.split("&") if p})
+        return urlunsplit(u._replace(query="&".join(f"{n}=***" for n in names))) if u.query else raw
+
+    return s.map(one)
+
+
 #: Classes of credentials by how they are written.
 SECRETS = {
     "assignment": r"(?i)\b(?:api[_-]?key|secret|password|token)\b\s*[=:]\s*[\"']?[^\s,;'\"]{8,}",

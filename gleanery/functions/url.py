@@ -40,6 +40,12 @@ def host_of(url: Column) -> Column:
     return F.regexp_replace(s, r":[^\]:]*\z", "")
 
 
+def parsed_host(url: Column) -> Column:
+    """Host in lower case of a URL with a scheme; '' for one without."""
+    host = F.regexp_extract(F.trim(F.coalesce(url, F.lit(""))), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)
+    return F.lower(F.regexp_replace(host, r"^\[(.*)\]\z", "$1"))
+
+
 def host_suffixes(host: Column) -> Column:
     """Every dot-suffix of a host, the longest first."""
     parts = F.split(host, r"\.")

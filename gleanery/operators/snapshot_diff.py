@@ -175,7 +175,7 @@ def snapshot_changes(df: DataFrame, key: str, values: list[str], snapshot: str,
 
 def known_number(text: F.Column) -> F.Column:
     """The number a price string states, however written; null if blank, absent or not a number."""
-    return text.try_cast("double")
+    return text.try_cast("double") + 0.0  # no negative zero
 
 
 def catalogue_rows(catalogue: DataFrame) -> DataFrame:
