@@ -85,7 +85,7 @@ def expires_at(text: Column, anchor: Column, zone: str = ZONE) -> Column:
         p = pattern + _TAIL
         return dated(_int(text, p, 1), _int(text, p, 2), _int(text, p, 3), F.regexp_extract(text, p, 4))
 
-    lead = ymd(rf"{_LEAD}[^0-9\n]{{0,6}}?(20\d{{2}})[ \t\n\f\r]*[-/.年][ \t\n\f\r]*(\d{{1,2}})[ \t\n\f\r]*[-/.月][ \t\n\f\r]*(\d{{1,2}})")
+    lead = ymd(rf"{_LEAD}[^0-9\n]{{0,6}}?(20\d{{2}})\s*[-/.年]\s*(\d{{1,2}})\s*[-/.月]\s*(\d{{1,2}})")
     en = r"(?i)(?:until|ends?\s+(?:on|by)|deadline|valid\s+(?:thru|through|until))\s+([a-z]{3,9})\.?\s+(\d{1,2})[, ]+(\d{4})" + _TAIL
     english = dated(_int(text, en, 3), _english_month(F.regexp_extract(text, en, 1)), _int(text, en, 2), F.regexp_extract(text, en, 4))
     suffix = ymd(r"(20\d{2})-(\d{1,2})-(\d{1,2})\s*(?:前结束|截止|到期|失效|过期)")
@@ -149,7 +149,7 @@ def starts_at(text: Column, anchor: Column, zone: str = ZONE) -> Column:
     Dates inside a deadline sentence and impossible ones are passed over. A date without year is in the anchor's.
     """
     core = (
-        r"(?:(\d{4})年)?(\d{1,2})月(\d{1,2})日?[^0-9]{0,8}?(上午|中午|下午|晚上|凌晨)?[^0-9]{0,4}?(\d{1,2})[ \t\n\f\r]*(?:时|点|:)[ \t\n\f\r]*(\d{1,2})?"
+        r"(?:(\d{4})年)?(\d{1,2})月(\d{1,2})日?[^0-9]{0,8}?(上午|中午|下午|晚上|凌晨)?[^0-9]{0,4}?(\d{1,2})\s*(?:时|点|:)\s*(\d{1,2})?"
     )
     found = F.regexp_extract_all(F.translate(text, "：", ":"), F.lit(rf"(?:{_LEAD}[^0-9\n]{{0,6}})?(?:{core})"), F.lit(0))
     year = F.year(F.from_utc_timestamp(anchor, zone))

@@ -138,6 +138,7 @@ def dedup_key(title: Column) -> Column:
 
     Wrappers close within 24 bytes; all of them are taken off, then up to two labels of one to six characters.
     """
+    # fixed values: how wrappers and labels are written
     wrapper = r"^[ \t]*(?:\[[^\]]*\]|【[^】]*】|\([^)]*\)|（[^）]*）)"
 
     def unwrap(acc: Column, _: Column) -> Column:
@@ -156,6 +157,7 @@ def dedup_key(title: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """Without tags and line breaks, blanks single, none at the ends. Entities are decoded before by :func:`decode_entities`."""
+    # fixed values: what a tag is, and which blanks are single
     return F.trim(F.regexp_replace(F.translate(F.regexp_replace(text, r"(?s)<[^>]*>", " "), "\n\t", "  "), "[ \t\r\f\x0b]+", " "))
 
 
@@ -245,6 +247,7 @@ def claimable(title: Column, is_free: Column, pct: Column, offers: Column) -> Co
 
 def title_keywords(title: Column, most: int = 6) -> Column:
     """The words of a title worth a search, joined by blanks: Han runs and words of two bytes or more, no stop words."""
+    # fixed values: what a word is
     found = F.regexp_extract_all(title, F.lit(r"[\p{IsHan}]+|[A-Za-z0-9.\-]+"), F.lit(0))
     kept = F.filter(found, lambda w: (F.octet_length(w) >= 2) & ~F.lower(w).isin(lexicon.STOP_WORDS))
     return F.array_join(F.slice(kept, 1, most), " ")
@@ -260,10 +263,15 @@ def mask(secret: str) -> str:
     return "*" * len(s) if len(s) <= 8 else f"{s[:4]}…****{s[-2:]}"
 
 
+def mask_assignments(text: str) -> str:
+    """``name: value`` secrets in a text masked; schemes and quotes stay."""
+    return _SECRET.sub(lambda m: m[1] + m[2] + (m[3] or "") + mask(m[4]), text)
+
+
 @F.pandas_udf(StringType())
 def redact(s: pd.Series) -> pd.Series:
-    """``name: value`` secrets in a text masked; schemes and quotes stay."""
-    return s.map(lambda t: t if t is None else _SECRET.sub(lambda m: m[1] + m[2] + (m[3] or "") + mask(m[4]), t))
+    """:func:`mask_assignments` of every text."""
+    return s.map(lambda t: t if t is None else mask_assignments(t))
 
 
 @F.pandas_udf(StringType())
@@ -302,13 +310,28 @@ def redact_query(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-#: Classes of credentials by how they are written.
+# Classes of credentials by how they are written.
 SECRETS = {
     "assignment": r"(?i)\b(?:api[_-]?key|secret|password|token)\b\s*[=:]\s*[\"']?[^\s,;'\"]{8,}",
     "bearer": r"(?i)\bbearer\s+[A-Za-z0-9._~+/-]{16,}",
-    "cloud_key": r"\bAKIA[0-9A-Z]{16}\b",
+    "basic": r"(?i)\bbasic\s+[A-Za-z0-9+/]{16,}={0,2}",
+    "cloud_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
+    "cloud_api_key": r"\bAIza[0-9A-Za-z_-]{35}",
+    "repository_token": r"\bgh[pousr]_[A-Za-z0-9]{20,}",
+    "fine_token": r"\bgithub_pat_[A-Za-z0-9_]{20,}",
+    "forge_token": r"\bglpat-[A-Za-z0-9_-]{16,}",
+    "chat_token": r"\bxox[abprs]-[A-Za-z0-9-]{10,}",
+    "chat_hook": r"https://hooks\.[a-z0-9.-]+/services/[A-Za-z0-9/]{16,}",
+    "bot_hook": r"/open-apis/bot/v\d/hook/[A-Za-z0-9-]{8,}",
+    "model_key": r"\bsk-[A-Za-z0-9_-]{16,}",
+    "payment_key": r"\b[rs]k_(?:live|test)_[A-Za-z0-9]{16,}",
+    "package_token": r"\bnpm_[A-Za-z0-9]{30,}",
+    "index_token": r"\bpypi-[A-Za-z0-9_-]{30,}",
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
     "web_token": r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}",
+    "url_password": r"\b[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/@]{3,}@",
+    "private_host": r"\b(?:10\.\d{1,3}|192\.168|172\.(?:1[6-9]|2\d|3[01]))\.\d{1,3}\.\d{1,3}\b",
+    "carrier_host": r"\b100\.(?:6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.\d{1,3}\.\d{1,3}\b",
     "hex": r"\b[0-9a-f]{32,}\b",
 }
 

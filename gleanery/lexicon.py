@@ -2,23 +2,24 @@
 
 # Words that name an offer, by kind, in the order they are reported.
 OFFER_WORDS = {
-    "free": (
-        "免费 限时免费 免费领 免费用 0元 零元 1元 一元 白嫖 免单 免费额度 免费试用 免费送 无限免费 永久免费 免费开放 全部免费 开放试用 free".split()
-        + ["for free", "free tier", "free access", "free credits", "free quota", "no charge", "no cost", "$0", "at no cost", "100% off"]
-        + ["unlimited free", "zero cost", "no fee", "costs nothing", "free for", "now free"]
-    ),
-    "discount": (
-        "折扣 打折 半价 立减 直降 特惠 特价 秒杀 促销 满减 降价 一折 二折 三折 四折 五折 六折 七折 八折 九折 骨折价 白菜价 抄底价 限时特惠 大促 补贴价 discount".split()
-        + ["% off", "sale", "promo", "promotion", "bogo", "buy one", "price drop", "reduced price", "flash sale", "half price"]
-    ),
-    "credit": "赠送 送额度 代金券 体验金 充值送 礼包 免费领取 签到 积分兑换 补贴 credits".split()
-    + ["signup bonus", "starter credit", "free credit", "rebate", "cashback"],
-    "trial": "试用 免费体验 公测 内测 抢先体验".split() + ["free trial", "trial", "beta access", "early access", "preview access"],
-    "coupon": "优惠券 兑换码 优惠码 折扣码 邀请码 券码 卡密 coupon".split() + ["promo code", "voucher", "discount code"],
-}
+    "free": [
+        "免费", "限时免费", "免费领", "免费用", "0元", "零元", "1元", "一元", "白嫖", "免单", "免费额度", "免费试用", "免费送", "无限免费", "永久免费", "免费开放", "全部免费", "开放试用",
+        "free", "for free", "free tier", "free access", "free credits", "free quota", "no charge", "no cost", "$0", "at no cost", "100% off", "unlimited free", "zero cost", "no fee",
+        "costs nothing", "free for", "now free",
+    ],
+    "discount": [
+        "折扣", "打折", "半价", "立减", "直降", "特惠", "特价", "秒杀", "促销", "满减", "降价", "一折", "二折", "三折", "四折", "五折", "六折", "七折", "八折", "九折", "骨折价", "白菜价",
+        "抄底价", "限时特惠", "大促", "补贴价", "discount", "% off", "sale", "promo", "promotion", "bogo", "buy one", "price drop", "reduced price", "flash sale", "half price",
+    ],
+    "credit": [
+        "赠送", "送额度", "代金券", "体验金", "充值送", "礼包", "免费领取", "签到", "积分兑换", "补贴", "credits", "signup bonus", "starter credit", "free credit", "rebate", "cashback",
+    ],
+    "trial": ["试用", "免费体验", "公测", "内测", "抢先体验", "free trial", "trial", "beta access", "early access", "preview access"],
+    "coupon": ["优惠券", "兑换码", "优惠码", "折扣码", "邀请码", "券码", "卡密", "coupon", "promo code", "voucher", "discount code"],
+}
 
 # Topics that are never offers.
-NOISE_WORDS = "招聘 求职 相亲 二手房 租房 贷款 博彩 彩票 投资有风险 代购 微商 演唱会门票 hiring".split() + ["job offer", "recruit"]
+NOISE_WORDS = ["招聘", "求职", "相亲", "二手房", "租房", "贷款", "博彩", "彩票", "投资有风险", "代购", "微商", "演唱会门票", "hiring", "job offer", "recruit"]
 
 # Words that name a vendor, by vendor; matched as plain substrings, in byte order of the words.
 VENDOR_WORDS = {
@@ -94,7 +95,7 @@ PRODUCT = (
 DOUBT = r"吐槽|求助|是不是|有没有|该选|如何评价|值不值|翻车|失望|求佬?解答|求指导|(^|[^申])请教|求推荐|帮我看看"
 
 # Title words that make no search term, and HTML entities by name.
-STOP_WORDS = "最新 今日 刚刚 宣布 官方 活动 链接 http https com www".split()
+STOP_WORDS = ["最新", "今日", "刚刚", "宣布", "官方", "活动", "链接", "http", "https", "com", "www"]
 ENTITIES = {
     "nbsp": " ", "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "hellip": "…", "mdash": "—", "ndash": "–", "rsquo": "’", "lsquo": "‘",
     "rdquo": "”", "ldquo": "“", "middot": "·", "bull": "•", "trade": "™", "reg": "®", "copy": "©", "plusmn": "±", "times": "×", "divide": "÷",
@@ -102,30 +103,12 @@ ENTITIES = {
     "curren": "¤", "yuml": "ÿ", "sect": "§", "para": "¶", "dagger": "†", "permil": "‰", "prime": "′", "lsqb": "[", "rsqb": "]", "brvbar": "¦", "shy": "",
 }
 
-# Domains of vendors and their entry pages by category (a part of the market; pass a table of your own to extend it).
-VENDOR_DOMAINS = {
-    "阿里云": ["aliyun.com", "alibabacloud.com", "aliyun.dev"],
-    "百度智能云": ["baidu.com", "qianfan.cloud.baidu.com", "cloud.baidu.com"],
-    "百度网盘": ["pan.baidu.com"],
-    "GitHub": ["github.com", "github.blog", "githubassets.com"],
-    "Google": ["ai.google.dev", "google.com", "cloud.google.com", "colab.research.google.com"],
-    "NVIDIA": ["nvidia.com", "build.nvidia.com", "ngc.nvidia.com"],
-    "AWS": ["aws.amazon.com", "amazon.com"],
-    "Oracle": ["oracle.com", "oraclecloud.com"],
-    "Cloudflare": ["cloudflare.com", "pages.dev"],
-}
-VENDOR_PAGES = {
-    "阿里云": {"pricing": "https://www.aliyun.com/price/detail", "benefit": "https://www.aliyun.com/benefit", "docs": "https://help.aliyun.com/zh/model-studio/"},
-    "GitHub": {"plans": "https://github.com/features/copilot/plans", "education": "https://education.github.com/pack"},
-    "NVIDIA": {"credits": "https://build.nvidia.com"},
-    "AWS": {"free": "https://aws.amazon.com/free/"},
-    "Oracle": {"free": "https://www.oracle.com/cloud/free/"},
-    "Cloudflare": {"plans": "https://www.cloudflare.com/plans/"},
-    "百度网盘": {"activity": "https://pan.baidu.com"},
-}
-#: Categories tried in order for what an offer is.
+# Categories of entry pages tried in order for what an offer is. Domains and pages of vendors are tables that a caller gives.
 PAGE_ORDER = {
-    **{k: ["free", "credits", "benefit", "activity", "plans", "pricing"] for k in ("free", "credit", "trial", "coupon")},
+    "free": ["free", "credits", "benefit", "activity", "plans", "pricing"],
+    "credit": ["free", "credits", "benefit", "activity", "plans", "pricing"],
+    "trial": ["free", "credits", "benefit", "activity", "plans", "pricing"],
+    "coupon": ["free", "credits", "benefit", "activity", "plans", "pricing"],
     "discount": ["pricing", "plans", "activity", "benefit"],
     "": ["pricing", "plans", "docs", "activity"],
 }

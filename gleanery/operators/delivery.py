@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import hmac
 import json
-import os
+import subprocess
 import sys
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Protocol, TextIO
 
-from pyspark.sql import Row
+from pyspark.sql import Row, SparkSession
+
+from gleanery.functions.text import mask_assignments
+from gleanery.session import read_text, write_text
 
 
 @dataclass
@@ -46,39 +51,36 @@ class Console:
 
 
 class FileDrop:
-    """``latest.md`` and ``latest.json`` replaced as a whole, and a line per message in a daily log."""
-
-    def __init__(self, folder: str, day: str) -> None:
-        self.folder, self.day = folder, day
-        os.makedirs(folder, exist_ok=True)
+    """``latest.md`` and ``latest.json`` replaced as a whole, and a line per message in a daily log; on any file system that Spark writes to."""
 
-    def _replace(self, name: str, text: str) -> None:
-        path = os.path.join(self.folder, name)
-        with open(f"{path}.new", "w", encoding="utf-8") as f:
-            f.write(text)
-        os.replace(f"{path}.new", path)
+    def __init__(self, spark: SparkSession, folder: str, day: str) -> None:
+        self.spark, self.folder, self.day = spark, folder, day
 
     def send(self, message: Message) -> None:
         body = json.dumps({"kind": message.kind, "title": message.title, "rows": message.rows}, ensure_ascii=False, default=str)
-        self._replace("latest.md", message.markdown())
-        self._replace("latest.json", body)
-        with open(os.path.join(self.folder, f"{self.day}.jsonl"), "a", encoding="utf-8") as f:
-            f.write(body + "\n")
+        log = f"{self.folder}/{self.day}.jsonl"
+        # a day's messages are few, as budgets bound them
+        write_text(self.spark, log, (read_text(self.spark, log) or "") + body + "\n")
+        write_text(self.spark, f"{self.folder}/latest.md", message.markdown())
+        write_text(self.spark, f"{self.folder}/latest.json", body)
 
 
 class FanOut:
-    """Sends to all sinks; delivered if any takes it, an error if none does."""
+    """Sends to all sinks, each within ``seconds``; delivered if any takes it, an error if none does."""
 
-    def __init__(self, sinks: list[Sink]) -> None:
-        self.sinks = sinks
+    def __init__(self, sinks: list[Sink], seconds: float = 25.0) -> None:
+        self.sinks, self.seconds = sinks, seconds
 
     def send(self, message: Message) -> None:
-        errors = []
-        for s in self.sinks:
+        errors: list[Exception] = []
+        pool = ThreadPoolExecutor(max(1, len(self.sinks)))
+        futures = [pool.submit(s.send, message) for s in self.sinks]
+        for f in futures:
             try:
-                s.send(message)
+                f.result(self.seconds)
             except Exception as e:
                 errors.append(e)
+        pool.shutdown(wait=False, cancel_futures=True)
         if len(errors) == len(self.sinks):
             raise ExceptionGroup("no sink took the message", errors or [RuntimeError("no sinks")])
 
@@ -86,3 +88,31 @@ class FanOut:
 def signature(timestamp: int, secret: str) -> bytes:
     """The signature of a webhook call: HMAC-SHA256 of nothing, keyed by time and secret."""
     return hmac.new(f"{timestamp}\n{secret}".encode(), b"", hashlib.sha256).digest()
+
+
+def card(message: Message, template: str = "blue", timestamp: int | None = None, secret: str = "") -> dict:
+    """The body of a webhook call that shows a message as a card, signed if a secret is given."""
+    lines = [f"**{r.get('score', '')}** [{r.get('title', '')}]({r.get('url', '')})" for r in message.rows]
+    body = {
+        "msg_type": "interactive",
+        "card": {
+            "config": {"wide_screen_mode": True},
+            "header": {"template": template, "title": {"tag": "plain_text", "content": message.title}},
+            "elements": [{"tag": "markdown", "content": line} for line in lines],
+        },
+    }
+    if secret and timestamp is not None:
+        body |= {"timestamp": str(timestamp), "sign": base64.b64encode(signature(timestamp, secret)).decode()}
+    return body
+
+
+class Relay:
+    """Hands a message's text to a fixed external command, without a shell; its output is clipped and secrets in it are masked."""
+
+    def __init__(self, command: list[str], seconds: float = 25.0, most: int = 400) -> None:
+        self.command, self.seconds, self.most = command, seconds, most
+
+    def send(self, message: Message) -> None:
+        done = subprocess.run([*self.command, message.plain()], capture_output=True, text=True, timeout=self.seconds, check=False)
+        if done.returncode:
+            raise RuntimeError(mask_assignments((done.stderr or done.stdout).strip()[: self.most]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import claimable, dedup_key
@@ -95,3 +95,39 @@ def prune_state(state: DataFrame, kept: DataFrame, prefix: str = "official:deal:
 def merge_state(disk: DataFrame, changed: DataFrame) -> DataFrame:
     """State after an update: changed keys win, all others stay; retired keys are dropped."""
     return disk.join(changed.select("key"), "key", "left_anti").unionByName(changed).where(~F.startswith("key", F.lit("digest:")))
+
+
+def find(folded: DataFrame, min_score: int = 0, category: str = "", source: str = "", needle: str = "", dupes: bool = False) -> DataFrame:
+    """Findings of a category and source, if given, that score enough and hold a text, whatever its case; reposts only if asked for."""
+    ok = F.coalesce("score", F.lit(0)) >= min_score
+    if not dupes:
+        ok = ok & F.col("dup_of").isNull()
+    if category.strip():
+        ok = ok & (F.col("category") == category.strip())
+    if source.strip():
+        ok = ok & (F.col("source") == source.strip())
+    if needle.strip():
+        text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("summary", F.lit("")))
+        ok = ok & F.contains(F.lower(text), F.lit(needle.strip().lower()))
+    return folded.where(ok)
+
+
+def flagged(log: DataFrame, fingerprints: DataFrame, flag: str, next_seq: int) -> DataFrame:
+    """New log rows that mark findings: the last row of each with ``flag`` set in ``meta``, numbered from ``next_seq`` in the order of the log.
+
+    The log only grows; its collapse then shows the flag. Findings the log does not know give nothing.
+    """
+    last = collapse(log.join(fingerprints.select("fingerprint").distinct(), "fingerprint", "left_semi"))
+    meta = F.map_filter(F.coalesce("meta", F.create_map().cast("map<string,string>")), lambda k, v: k != flag)
+    ranked = last.withColumn("meta", F.map_concat(meta, F.create_map(F.lit(flag), F.lit("true"))))
+    number = F.row_number().over(Window.orderBy("log_seq")) + (next_seq - 1)  # as many rows as are marked at once
+    return ranked.withColumn("log_seq", number.cast("long")).select(*log.columns)
+
+
+def compact(log: DataFrame, now: Column, keep_days: int, path: str, min_score: int = 60) -> DataFrame:
+    """Rewrites the log, collapsed and folded, without what is old and done with; ``path`` is a new version, beside the old one."""
+    kept = compactable(fold_duplicates(collapse(log)), now, keep_days, min_score)
+    tag = F.map_filter(F.coalesce("meta", F.create_map().cast("map<string,string>")), lambda k, v: k != "dup_of")
+    tagged = kept.withColumn("meta", F.when(F.col("dup_of").isNotNull(), F.map_concat(tag, F.create_map(F.lit("dup_of"), F.col("dup_of")))).otherwise(F.col("meta")))
+    tagged.select(*log.columns).write.mode("overwrite").parquet(path)
+    return log.sparkSession.read.schema(log.schema).parquet(path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.functions.text import contains_any
+
 #: Points of the additive score; pass other ones to weigh signals differently.
 WEIGHTS = {
     "free": 45, "credit": 30, "discount": 24, "trial": 20, "coupon": 16, "vendor": 10, "product": 12, "official": 10, "several": 4,
@@ -73,6 +75,39 @@ def score(
     return F.struct(F.greatest(F.lit(0), F.least(F.lit(100), total)).cast("int").alias("score"), F.filter(why, lambda x: x.isNotNull()).alias("why"))
 
 
+def category(pct: Column, free: Column, n_offers: Column, stated: Column) -> Column:
+    """What a finding is: as its source states, else by a deep cut, by being free, by any offer."""
+    found = F.when(F.coalesce(pct, F.lit(0)) >= 50, "discount").when(F.coalesce(free, F.lit(False)), "ai_free").when(n_offers > 0, "discount").otherwise("unknown")
+    return F.when(~F.coalesce(stated, F.lit("")).isin("", "unknown"), stated).otherwise(found)
+
+
+def rejection(noise: Column, deadline: Column, now: Column, score: Column) -> Column:
+    """Why a scorer refuses a finding: ``noise``, ``expired`` (strictly before now) or ``low_signal``; '' if it does not."""
+    return screen(("noise", noise), ("expired", deadline < now), ("low_signal", score <= 0))
+
+
+def full_screen(
+    text: Column, published: Column, n_offers: Column, deadline: Column, score: Column, noise: Column, now: Column, deny: list[str], require: list[str], allow: list[str],
+    max_age_hours: int, require_offer: bool,
+) -> Column:
+    """The reason why a finding does not reach the reader, in order: denied, not required, too old, no offer, the scorer's, not allowed; '' if it does.
+
+    Findings without a time are not too old; lists that are empty ask for nothing.
+    """
+    age = seconds_between(published, now)
+    told = [n for n in require if n], [n for n in allow if n]
+    return screen(
+        ("denied", contains_any(text, deny)),
+        ("not required", ~contains_any(text, told[0]) if told[0] else F.lit(False)),
+        ("too old", age > max_age_hours * 3600 if max_age_hours > 0 else F.lit(False)),
+        ("no offer", n_offers <= 0 if require_offer else F.lit(False)),
+        ("noise", noise),
+        ("expired", deadline < now),
+        ("low signal", score <= 0),
+        ("not allowed", ~contains_any(text, told[1]) if told[1] else F.lit(False)),
+    )
+
+
 def screen(*rules: tuple[str, Column]) -> Column:
     """The first reason, in order, for which a finding is refused; '' if none applies."""
     out = None
@@ -174,3 +209,30 @@ def by_severity(checks: DataFrame, status: str = "status", position: str = "pos"
     """Report rows with failures first, then warnings, then what is well; otherwise in their order."""
     rank = F.when(F.col(status) == "fail", 0).when(F.col(status) == "warn", 1).otherwise(2)
     return checks.orderBy(rank, position)
+
+
+def lookup_budget(rows: DataFrame, order: list[str], wants: str, most: int = 16) -> DataFrame:
+    """``rows`` with ``looked``: whether each may be looked up, the first ``most`` in order that want it.
+
+    The rank is only taken over rows that want one, which the limit keeps to ``most``.
+    """
+    first = rows.where(F.col(wants)).orderBy(*order).limit(most).select(*order).withColumn("looked", F.lit(True))
+    return rows.join(F.broadcast(first), order, "left").withColumn("looked", F.coalesce("looked", F.lit(False)))  # ``most`` rows
+
+
+def health(idle: Column, rows: Column, disabled: Column, patience_hours: int = 36, delivery_days: int = 7) -> Column:
+    """What is to be said of a source: ``off``, ``never``, ``silent`` beyond its patience, ``barren`` if it is heard but keeps nothing, ``ok``."""
+    return (
+        F.when(F.coalesce(disabled, F.lit(False)), "off")
+        .when(idle.isNull(), "never")
+        .when(idle > delivery_days * 86_400, "silent")
+        .when((idle > patience_hours * 3600), "late")
+        .when(F.coalesce(rows, F.lit(0)) == 0, "barren")
+        .otherwise("ok")
+    )
+
+
+def upkeep_due(now: Column, last_compact: Column, last_backup: Column, every_days: int = 7, backup_hours: int = 36) -> Column:
+    """Whether the log may be compacted: not within ``every_days`` of the last time, and only behind a backup younger than ``backup_hours``."""
+    rested = last_compact.isNull() | (seconds_between(last_compact, now) >= every_days * 86_400)
+    return F.coalesce(rested & (seconds_between(last_backup, now) <= backup_hours * 3600), F.lit(False))

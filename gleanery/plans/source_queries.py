@@ -142,7 +142,7 @@ def search_results(spark: SparkSession, d: str) -> DataFrame:
 def search_turns(spark: SparkSession, d: str) -> DataFrame:
     """The query whose turn it is for each source; the cursor is the number of the source."""
     s = table(spark, d, "feed_sources")
-    queries = F.concat("name", F.lit(" free;\n ; "), "category", F.lit(" credits\n"), "name", F.lit(" trial;"))
+    queries = F.concat("name", F.lit(" free;\n ; "), F.coalesce("category", F.lit("")), F.lit(" credits\n"), "name", F.lit(" trial;"))
     turn = collect.next_query(queries, F.when(F.col("source_id") % 2 == 0, F.col("host")), F.col("source_id"))
     return s.select("name", turn.alias("t")).select("name", "t.query", "t.cursor")
 
@@ -298,7 +298,7 @@ SELECT row_id, CASE WHEN trim(name) <> '' THEN name ELSE {cut_sql('t', 120)} END
     "event_props": "SELECT event_id, (props->>'$.k')::int AS k FROM events",
     "hn_rows": "SELECT hit_id, CASE WHEN trim(url) <> '' THEN url ELSE 'https://hn.example/item?id=' || object_id END AS link, coalesce(points, 0) || ' points, ' || coalesce(num_comments, 0) || ' comments' AS head FROM hn_hits",
     "search_results": f"SELECT page, title, url, snippet FROM (SELECT hit_id // {PER_DOCUMENT} AS page, hit_id, {clean_sql('title')} AS title, CASE WHEN hit_id % 2 = 0 THEN url ELSE trim(url) END AS url, trim('by ' || coalesce(author, '')) AS snippet FROM hn_hits) WHERE title <> '' AND coalesce(url, '') <> '' QUALIFY row_number() OVER (PARTITION BY page, url ORDER BY hit_id) = 1",
-    "search_turns": "SELECT name, [name || ' free', category || ' credits', name || ' trial'][source_id % 3 + 1] || CASE WHEN source_id % 2 = 0 THEN ' site:' || host ELSE '' END AS query, source_id + 1 AS cursor FROM feed_sources",
+    "search_turns": "SELECT name, [name || ' free', trim(coalesce(category, '') || ' credits'), name || ' trial'][source_id % 3 + 1] || CASE WHEN source_id % 2 = 0 THEN ' site:' || host ELSE '' END AS query, source_id + 1 AS cursor FROM feed_sources",
     "snapshot_diff": _FACTS + " SELECT source, fact_key, p.a AS page_id, p.b AS pos FROM c WHERE late AND source IN (SELECT source FROM c WHERE NOT late) AND NOT EXISTS (SELECT 1 FROM c o WHERE NOT o.late AND o.source = c.source AND o.fact_key = c.fact_key)",
     "snapshot_cursor": _FACTS + " SELECT source, fact_key FROM c WHERE late OR source NOT IN (SELECT source FROM c WHERE late)",
     "catalog_free_diff": _FREE + " SELECT model_id, created_ms FROM f WHERE back = 0 AND model_id NOT IN (SELECT model_id FROM f WHERE back = 1) ORDER BY created_ms DESC NULLS LAST, model_id LIMIT 10",

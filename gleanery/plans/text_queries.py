@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +14,7 @@ from gleanery.functions.instants import utc_ms
 from gleanery.plans.deal_queries import _FOLD, NOW_TEXT, key_sql
 from gleanery.session import table
 
-#: A small lexicon with words that the test texts hold both alone and within other words.
-TEST_WORDS = {"free": ["free", "免费"], "discount": ["off", "折扣"], "credit": ["credits", "代金券"], "trial": ["trial", "公测"], "coupon": ["coupon", "优惠券"]}
+#: A small list of vendors that the test texts hold.
 TEST_VENDORS = [("ai", "AI"), ("cloud", "Cloud"), ("labs", "Labs"), ("数据", "数据")]
 
 
@@ -47,7 +48,9 @@ def gated(spark: SparkSession, d: str) -> DataFrame:
 
 
 def noise(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", text.is_noise(F.col("text"), ["waiting list", "排队"]).alias("noise"))
+    """By the words that are never offers and by some of these texts."""
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", text.is_noise(t).alias("noise"), text.is_noise(t, ["waiting list", "排队"]).alias("waits"))
 
 
 def bounded_words(spark: SparkSession, d: str) -> DataFrame:
@@ -56,17 +59,22 @@ def bounded_words(spark: SparkSession, d: str) -> DataFrame:
 
 
 def offer_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Every offer by the full word lists; vendors by a list that these texts hold."""
     rows = table(spark, d, "documents").select("doc_id", "text")
-    found = rows.select("doc_id", F.explode(text.scan_offers(F.col("text"), TEST_WORDS, TEST_VENDORS)).alias("o"))
+    found = rows.select("doc_id", F.explode(text.scan_offers(F.col("text"), None, TEST_VENDORS)).alias("o"))
     return found.select("doc_id", "o.kind", "o.matched", "o.vendor", "o.evidence")
 
 
 def vendor_extract(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.array_join(text.vendors(F.col("text"), TEST_VENDORS), ",").alias("vendors"))
+    """By the full list and by one that these texts hold."""
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", F.array_join(text.vendors(t), ",").alias("vendors"), F.array_join(text.vendors(t, TEST_VENDORS), ",").alias("listed"))
 
 
 def product_extract(spark: SparkSession, d: str) -> DataFrame:
-    return _deals(spark, d).select("log_seq", text.product(F.col("title"), r"[A-Z][a-z]{5,}-\d+\.\d+").alias("product"))
+    """By the known families and by how these titles name a version."""
+    t = F.col("title")
+    return _deals(spark, d).select("log_seq", text.product(t).alias("known"), text.product(t, r"[A-Z][a-z]{5,}-\d+\.\d+").alias("product"))
 
 
 def discount_stated(spark: SparkSession, d: str) -> DataFrame:
@@ -90,57 +98,23 @@ def truncations(spark: SparkSession, d: str) -> DataFrame:
     return _deals(spark, d).select("log_seq", text.truncate(s, 40).alias("a"), text.truncate(s, 40, keep_all=True).alias("b"), text.truncate(s, 40, strip=False).alias("c"))
 
 
-_STARTS = [
-    ("消费券将于2026年9月18日上午10点开抢", "2026-09-18 02:00:00"),
-    ("9月21日晚上8:30开放领取", "2026-09-21 12:30:00"),
-    ("截止9月20日 10:00，9月22日 9:00开抢", "2026-09-22 01:00:00"),
-    ("9月31日 10:00 开抢", None),
-    ("9月25日 24:00 开放", None),
-    ("下周开放", None),
-]
-_ENDS = [
-    ("截止日期：2026年9月30日", "2026-09-30 15:59:59"),
-    ("限时免费开放至2026年8月31日 18:00", "2026-08-31 10:00:00"),
-    ("Free until September 30, 2026", "2026-09-30 15:59:59"),
-    ("2026-09-18 前结束", "2026-09-18 15:59:59"),
-    ("需在 2026 年 12 月 31 日前注册", "2026-12-31 15:59:59"),
-    ("2026年9月18日10:00至2026年9月25日", "2026-09-25 15:59:59"),
-    ("限时免费至9月20日", "2026-09-20 15:59:59"),
-    ("8月28日前领取", None),
-    ("活动时间9月20日至27日", "2026-09-27 15:59:59"),
-    ("限时免费一周", "2026-09-17 15:59:59"),
-    ("限时三十天", None),
-    ("限免 48 小时", "2026-09-12 08:00:00"),
-    ("截止到2026年9月31日", None),
-    ("截止9月20日24:00", "2026-09-20 15:59:00"),
-    ("限时一个月", "2026-10-10 15:59:59"),
-    ("长期有效", None),
-]
-_TIMES = ["2026-09-01T10:00:00+08:00", "Fri, 04 Sep 2026 10:00:00 GMT", "1788000000", "1788000000000", "2026/09/01", "09-01-2026", "0", "just now", "2026-02-30"]
-_SECRETS = [
-    ("token = abcdefgh1234", "token = abcd…****34"),
-    ("Authorization: Bearer sk-123456789", "Authorization: Bearer sk-1…****89"),
-    ("password: 'abc4567'", "password: '*******'"),
-    ("nothing here", "nothing here"),
-]
-_ENTITIES = [("a &amp;lt; b", "a &lt; b"), ("&#65;&#x42;&hellip;", "AB…"), ("&unknown; &NBSP;x", "&unknown;  x"), ("plain", "plain")]
-_REFS = [
-    ("https://a.example/x/y", "../z?q=1", "https://a.example/z?q=1"),
-    ("https://a.example/x/", "/abs", "https://a.example/abs"),
-    ("https://a.example/", "//b.example/c", "https://b.example/c"),
-    ("https://a.example/", "javascript:void(0)", None),
-    ("https://a.example/", "", ""),
-]
+def _blob(spark: SparkSession, d: str) -> DataFrame:
+    blob = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("summary", F.lit("")))
+    return _deals(spark, d).select("log_seq", blob.alias("blob"), F.coalesce("published_at", "discovered_at").alias("anchor"), "meta")
 
 
 def starts_at(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(t,) for t, _ in _STARTS], "text string")
-    return rows.select("text", clock.starts_at(F.col("text"), F.lit("2026-09-10 08:00:00").cast("timestamp")).alias("moment"))
+    return _blob(spark, d).select("log_seq", clock.starts_at(F.col("blob"), F.col("anchor")).alias("moment"))
 
 
 def expires_at(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(t,) for t, _ in _ENDS], "text string")
-    return rows.select("text", clock.expires_at(F.col("text"), F.lit("2026-09-10 08:00:00").cast("timestamp")).alias("moment"))
+    return _blob(spark, d).select("log_seq", clock.expires_at(F.col("blob"), F.col("anchor")).alias("moment"))
+
+
+def reparsed_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The rows that reading the texts again would change, with what is kept and what is read; an absent reading erases nothing."""
+    rows = _blob(spark, d).select("log_seq", clock.expires_at(F.col("blob"), F.col("anchor")).alias("read"), F.try_to_timestamp(F.col("meta")["expires_at"]).alias("kept"))
+    return rows.where(F.col("read").isNotNull() & ~F.col("read").eqNullSafe(F.col("kept")))
 
 
 def reparse_drift(spark: SparkSession, d: str) -> DataFrame:
@@ -151,9 +125,11 @@ def reparse_drift(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parse_any_time(spark: SparkSession, d: str) -> DataFrame:
+    """Every distinct time as the feeds wrote it, read on the clock of UTC."""
     udf = F.pandas_udf(lambda s: s.map(lambda t: utc_ms(t, "UTC")).astype("Int64"), "long")
-    rows = spark.createDataFrame([(t,) for t in _TIMES], "raw string")
-    return rows.select("raw", udf("raw").alias("ms"))
+    r = table(spark, d, "rss_items")
+    raw = r.select(F.explode(F.array("pub_date", "dc_date")).alias("raw")).where(F.trim("raw") != "").distinct()
+    return raw.select("raw", udf("raw").alias("ms"))
 
 
 def secret_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -162,28 +138,52 @@ def secret_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def redact_text(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(t,) for t, _ in _SECRETS], "text string")
-    return rows.select("text", text.redact("text").alias("safe"))
+    """Assignments of secrets, made of the fingerprints, with secrets masked."""
+    fp = F.coalesce("fingerprint", F.lit("none"))
+    line = F.concat(F.lit("seen: "), F.col("log_seq").cast("string"), F.lit(", api_key = '"), fp, F.lit("'; Authorization: Bearer "), fp, F.lit("; password="), F.substring(fp, 1, 6))
+    return _deals(spark, d).select("log_seq", text.redact(line).alias("safe"))
+
+
+def redact_urls(spark: SparkSession, d: str) -> DataFrame:
+    u, number = F.trim("url"), F.col("log_seq").cast("string")
+    hooked = F.concat(F.lit("https://user"), number, F.lit(":secret@h.example/a/hook/"), F.substring(F.sha2(number, 256), 1, 20))
+    return _deals(spark, d).select("log_seq", text.redact_url(u).alias("shown"), text.redact_query(u).alias("named"), text.redact_url(hooked).alias("hook"))
 
 
 def decode_entities(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(t,) for t, _ in _ENTITIES], "text string")
-    return rows.select("text", text.decode_entities(F.col("text")).alias("plain"))
+    """Texts escaped as markup and read back, and once more only as far as XML needs it."""
+    escaped = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("—"), F.lit("&mdash;")), F.lit("€"), F.lit("&#8364;"))
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", F.md5(text.decode_entities(escaped)).alias("plain"), F.md5(text.decode_xml_unsafe(escaped)).alias("kept"))
 
 
 def resolve_url(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([r[:2] for r in _REFS], "base string, ref string")
-    return rows.select("base", "ref", resolve(F.col("base"), F.col("ref")).alias("url"))
+    seg = table(spark, d, "html_segments")
+    return seg.select("page_id", "pos", resolve(F.col("url"), F.col("href")).alias("absolute"))
+
+
+def search_queries(spark: SparkSession, d: str) -> DataFrame:
+    """The search for the page of each deal on the host of its source."""
+    hosts = table(spark, d, "feed_sources").select(F.col("name").alias("source"), "host")
+    rows = _deals(spark, d).join(F.broadcast(hosts), "source", "left")  # a fixed dimension
+    product = text.product(F.coalesce("title", F.lit("")), r"[A-Z][a-z]{5,}-\d+\.\d+")
+    return rows.select("log_seq", text.search_query(product, F.coalesce("is_free", F.lit(False)), F.col("host")).alias("query"))
+
+
+def offer_order(spark: SparkSession, d: str) -> DataFrame:
+    """Offers, vendors and tags of each deal in their order."""
+    line = F.array_join(F.transform(text.sorted_offers(F.col("offers")), lambda o: F.concat(o.kind, F.lit(":"), o.matched)), ",")
+    return _deals(spark, d).select("log_seq", line.alias("offers"), F.array_join(F.array_sort("vendors"), ",").alias("vendors"), F.array_join(F.array_sort("tags"), ",").alias("tags"))
 
 
-def _literal(rows: list[tuple], names: str, casts: str = "") -> str:
-    cell = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-    return f"SELECT {casts or '*'} FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS t({names})"
+def parsed_hosts(spark: SparkSession, d: str) -> DataFrame:
+    return _deals(spark, d).select("log_seq", url.parsed_host(F.col("url")).alias("host"))
 
 
 _ALL = (
     title_key, url_normalize, fingerprint, hosts, clean_bodies, gated, noise, bounded_words, offer_scan, vendor_extract, product_extract, discount_stated,
-    title_words, text_blobs, first_stated, truncations, starts_at, expires_at, reparse_drift, parse_any_time, secret_scan, redact_text, decode_entities, resolve_url,
+    title_words, text_blobs, first_stated, truncations, starts_at, expires_at, reparse_drift, reparsed_rows, parse_any_time, secret_scan, redact_text, redact_urls, decode_entities, resolve_url,
+    search_queries, offer_order, parsed_hosts,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -201,12 +201,12 @@ query_ AS (SELECT *, list_filter(string_split(substring(b, strpos(b, '?') + 1),
 def _has(column: str, word: str) -> str:
     if not word.isascii():
         return f"contains(lower({column}), '{word}')"
-    return f"regexp_matches(lower({column}), '(^|[^a-z0-9]){word}([^a-z0-9]|$)')"
+    return f"(contains(lower({column}), '{word}') AND regexp_matches(lower({column}), '(^|[^a-z0-9]){re.escape(word)}([^a-z0-9]|$)'))"
 
 
 _SCAN = " UNION ALL ".join(
-    f"SELECT doc_id, '{kind}' AS kind, '{w}' AS matched, text, length(regexp_extract(lower(text), '(?s)^(.*?)" + (f"(^|[^a-z0-9]){w}([^a-z0-9]|$)', 1)) + length(regexp_extract(lower(text), '(?s)^(.*?)(^|[^a-z0-9]){w}([^a-z0-9]|$)', 2))" if w.isascii() else f"{w}', 1))") + f" AS p FROM documents WHERE {_has('text', w)}"
-    for kind, ws in TEST_WORDS.items()
+    f"SELECT doc_id, '{kind}' AS kind, '{w}' AS matched, text, length(regexp_extract(lower(text), '(?s)^(.*?)" + (f"(^|[^a-z0-9]){re.escape(w)}([^a-z0-9]|$)', 1)) + length(regexp_extract(lower(text), '(?s)^(.*?)(^|[^a-z0-9]){re.escape(w)}([^a-z0-9]|$)', 2))" if w.isascii() else f"{w}', 1))") + f" AS p FROM documents WHERE {_has('text', w)}"
+    for kind, ws in lexicon.OFFER_WORDS.items()
     for w in ws
 )
 _FIRST_VENDOR = "CASE " + " ".join(f"WHEN contains(lower(text), '{w}') THEN '{v}'" for w, v in TEST_VENDORS) + " ELSE '' END"
@@ -217,23 +217,28 @@ ORACLES = {
     "hosts": r"SELECT log_seq, regexp_extract(regexp_replace(lower(trim(coalesce(url, ''))), '^[a-z][a-z0-9+.-]*://', ''), '^[^/?#]*') AS host FROM deals",
     "clean_bodies": r"SELECT item_id, trim(regexp_replace(translate(regexp_replace(replace(replace(content_encoded, '&lt;', '<'), '&amp;', '&'), '<[^>]*>', ' ', 'g'), chr(10) || chr(9), '  '), '[ \t\r\f\v]+', ' ', 'g')) AS body FROM rss_items",
     "gated": "SELECT log_seq, NOT contains(b, 'waiting list') AND (contains(b, 'gpu') OR contains(b, 'tokens') OR contains(b, '免费')) AS ok FROM (SELECT log_seq, lower(coalesce(title, '') || ' ' || coalesce(summary, '')) AS b FROM deals)",
-    "noise": "SELECT doc_id, contains(lower(text), 'waiting list') OR contains(lower(text), '排队') AS noise FROM documents",
+    "noise": "SELECT doc_id, coalesce(" + " OR ".join(f"contains(lower(text), '{w}')" for w in lexicon.NOISE_WORDS) + ", false) AS noise, coalesce(contains(lower(text), 'waiting list') OR contains(lower(text), '排队'), false) AS waits FROM documents",
     "bounded_words": "SELECT doc_id, " + ", ".join(f"{_has('text', w)} AS has_{i}" for i, w in enumerate(("off", "free", "gb", "for everyone", "免费"))) + " FROM documents",
     "offer_scan": f"WITH s AS ({_SCAN}), w AS (SELECT *, least(greatest(p - 16, 0) + 80, length(text)) AS hi FROM s) SELECT doc_id, kind, matched, {_FIRST_VENDOR} AS vendor, trim(regexp_replace(substring(text, greatest(least(greatest(p - 16, 0), hi - 80), 0) + 1, hi - greatest(least(greatest(p - 16, 0), hi - 80), 0)), '\\s+', ' ', 'g')) AS evidence FROM w",
-    "vendor_extract": "SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN contains(lower(text), '{w}') THEN '{v}' END" for w, v in TEST_VENDORS) + ") AS vendors FROM documents",
-    "product_extract": r"SELECT log_seq, trim(regexp_extract(title, '[A-Z][a-z]{5,}-\d+\.\d+')) AS product FROM deals",
+    "vendor_extract": "SELECT doc_id, " + ", ".join(f"array_to_string(list_filter(v{i}, lambda x, k: list_position(v{i}, x) = k), ',') AS {n}" for i, n in enumerate(("vendors", "listed"))) + " FROM (SELECT doc_id, " + ", ".join("list_filter([" + ", ".join(f"CASE WHEN contains(lower(text), '{w}') THEN '{v}' END" for w, v in pairs) + f"], lambda x: x IS NOT NULL) AS v{i}" for i, pairs in enumerate((lexicon.vendor_needles(), TEST_VENDORS))) + " FROM documents)",
+    "product_extract": "SELECT log_seq, trim(regexp_extract(title, '" + lexicon.PRODUCT + r"')) AS known, trim(regexp_extract(title, '[A-Z][a-z]{5,}-\d+\.\d+')) AS product FROM deals",
     "discount_stated": r"""SELECT log_seq, greatest(coalesce((10 - try_cast(nullif(regexp_extract(b, '([1-9])\s*折', 1), '') AS int)) * 10, 0), coalesce(list_max(list_filter(list_transform(list_concat(regexp_extract_all(b, '(?i)(\d{1,3})\s*%\s*(?:off|折扣|减免|降价)', 1), regexp_extract_all(b, '(?i)(?:off|discount|折扣)\D{0,12}?(\d{1,3})\s*%', 1)), lambda x: try_cast(x AS int)), lambda n: n BETWEEN 5 AND 100)), 0))::int AS pct FROM (SELECT log_seq, concat_ws(chr(10), title, summary) AS b FROM deals)""",
     "title_words": r"SELECT log_seq, array_to_string(list_filter(regexp_extract_all(title, '[\p{Han}]+|[A-Za-z0-9.\-]+'), lambda w: strlen(w) >= 2 AND NOT list_contains(['" + "','".join(lexicon.STOP_WORDS) + "'], lower(w)))[1:4], ' ') AS words FROM deals",
     "text_blobs": "SELECT log_seq, md5(array_to_string(list_concat([coalesce(title, ''), coalesce(summary, '')], coalesce(list_transform(offers, lambda o: coalesce(o.evidence, '')), [])), chr(10))) AS blob FROM deals",
     "first_stated": "SELECT item_id, coalesce(CASE WHEN trim(content_encoded) <> '' THEN content_encoded END, CASE WHEN trim(description) <> '' THEN description END, CASE WHEN trim(title) <> '' THEN title END, '') AS body FROM rss_items",
     "truncations": "SELECT log_seq, CASE WHEN length(summary) > 40 THEN trim(substring(summary, 1, 39)) || '…' ELSE summary END AS a, CASE WHEN length(summary) > 40 THEN substring(summary, 1, 40) || '…' ELSE summary END AS b, CASE WHEN length(summary) > 40 THEN substring(summary, 1, 39) || '…' ELSE summary END AS c FROM deals",
-    "starts_at": _literal(_STARTS, "text, moment", "text, moment::timestamp AS moment"),
-    "expires_at": _literal(_ENDS, "text, moment", "text, moment::timestamp AS moment"),
-    "parse_any_time": _literal([(t, m) for t, m in zip(_TIMES, (1788228000000, 1788516000000, 1788000000000, 1788000000000, 1788220800000, 1788220800000, None, None, None))], "raw, ms", "raw, ms::bigint AS ms"),
     "compact_state": _FOLD + ", " + _PAGES[5:] + f""", kept AS (SELECT fingerprint FROM folded WHERE NOT (discovered_at < timestamptz '{NOW_TEXT}+00' - interval 3 day AND (coalesce(meta['pushed'], '') = 'true' OR coalesce(score, 0) < 60)))
 SELECT 'official:deal:' || fingerprint AS key FROM kept UNION SELECT 'official:verify:' || page FROM pages JOIN deals USING (log_seq) WHERE trim(url) <> '' AND trim(fingerprint) <> ''""",
     "secret_scan": "SELECT log_seq, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(t, '{p.replace(chr(39), chr(39) * 2)}') THEN '{n}' END" for n, p in text.SECRETS.items()) + ") AS classes FROM (SELECT log_seq, concat_ws(' ', fingerprint, summary) AS t FROM deals)",
-    "redact_text": _literal(_SECRETS, "text, safe"),
-    "decode_entities": _literal(_ENTITIES, "text, plain"),
-    "resolve_url": _literal(_REFS, "base, ref, url"),
+    "redact_text": "SELECT log_seq, 'seen: ' || log_seq || ', api_key = ''' || m || '''; Authorization: Bearer ' || m || '; password=' || CASE WHEN length(f) < 4 THEN f ELSE repeat('*', least(6, length(f))::int) END AS safe FROM (SELECT log_seq, f, CASE WHEN length(f) <= 8 THEN repeat('*', length(f)::int) ELSE substring(f, 1, 4) || '…****' || right(f, 2) END AS m FROM (SELECT log_seq, coalesce(fingerprint, 'none') AS f FROM deals))",
+    "redact_urls": r"""SELECT log_seq, CASE WHEN trim(url) = '' THEN '' ELSE regexp_extract(url, '^[^?#]*') END AS shown,
+  CASE WHEN NOT contains(url, '?') THEN url ELSE split_part(url, '?', 1) || '?' || array_to_string(list_transform(list_sort(list_distinct(list_transform(list_filter(string_split(split_part(split_part(url, '?', 2), '#', 1), '&'), lambda p: p <> ''), lambda p: split_part(p, '=', 1)))), lambda p: p || '=***'), '&') || CASE WHEN contains(url, '#') THEN '#' || split_part(url, '#', 2) ELSE '' END END AS named,
+  'https://' || (CASE WHEN length('user' || log_seq) <= 8 THEN repeat('*', length('user' || log_seq)::int) ELSE 'user…****' || right('r' || log_seq, 2) END) || '@***@h.example/a/hook/' || substring(h, 1, 4) || '…****' || substring(h, 19, 2) AS hook
+FROM (SELECT log_seq, trim(url) AS url, sha256(log_seq::varchar) AS h FROM deals)""",
+    "decode_entities": "SELECT doc_id, md5(text) AS plain, md5(replace(replace(text, '&', '&amp;'), '€', '&#8364;')) AS kept FROM documents",
+    "resolve_url": r"""SELECT page_id, pos, CASE WHEN coalesce(trim(href), '') = '' THEN '' WHEN regexp_matches(trim(href), '^[a-z]+://') THEN trim(href) WHEN starts_with(trim(href), '#') THEN regexp_replace(url, '#.*', '') || trim(href)
+  WHEN starts_with(trim(href), '/') THEN regexp_extract(url, '^[a-z]+://[^/]*') || trim(href) END AS absolute FROM html_segments""",
+    "search_queries": r"SELECT log_seq, CASE WHEN coalesce(host, '') <> '' THEN CASE WHEN p <> '' THEN p || ' ' ELSE '' END || CASE WHEN is_free THEN '免费 额度' ELSE '价格 优惠' END || ' site:' || host END AS query FROM (SELECT log_seq, source, is_free, trim(regexp_extract(coalesce(title, ''), '[A-Z][a-z]{5,}-\d+\.\d+')) AS p FROM deals) LEFT JOIN (SELECT name, host FROM feed_sources) ON source = name",
+    "offer_order": "SELECT log_seq, array_to_string(list_transform(list_sort(list_transform(offers, lambda o, i: struct_pack(k := o.kind, m := o.matched, i := i))), lambda x: x.k || ':' || x.m), ',') AS offers, array_to_string(list_sort(vendors), ',') AS vendors, array_to_string(list_sort(tags), ',') AS tags FROM deals",
+    "parsed_hosts": r"SELECT log_seq, lower(regexp_extract(trim(coalesce(url, '')), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host FROM deals",
 }

@@ -7,10 +7,4 @@ DEAL = (
     "score_why array<string>, published_at timestamp, discovered_at timestamp, meta map<string,string>"
 )
 STATE = "key string, value string, updated_at timestamp"
-CATALOGUE_MODEL = (
-    "id string, name string, description string, created bigint, context_length int, architecture struct<modality:string>, "
-    "pricing struct<prompt:string,completion:string,request:string,image:string>"
-)
-HN_HIT = "objectID string, title string, url string, story_text string, created_at string, author string, points int, num_comments int"
-SOURCE = "name string, kind string, url string, category string, trust int, max_items int, disabled boolean, tz_name string, keywords array<string>, deny array<string>, params map<string,string>"
 REMINDED = "fingerprint string, at timestamp"

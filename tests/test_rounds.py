@@ -6,10 +6,11 @@ import json
 from pyspark.sql import functions as F
 
 from gleanery.operators import history
-from gleanery.operators.delivery import Console, FanOut, FileDrop, Message, signature
+from gleanery.operators.delivery import Console, FanOut, FileDrop, Message, Relay, card, signature
 from gleanery.operators.state import StateTable
 from gleanery.sources.logs import read_log
-from gleanery.streaming.round import Round, start
+from gleanery.session import read_text
+from gleanery.streaming.round import Channel, Round, judge, start
 
 LOG = "fingerprint string, log_seq long, title string, url string, source string, category string, score int, is_free boolean, discount_pct int, offers array<struct<kind:string>>, discovered_at timestamp, meta map<string,string>"
 
@@ -64,7 +65,7 @@ def test_stream_stores_and_reminds_once(spark, tmp_path):
     rows = [row("a", 1, score=90, meta={"expires_at": "2026-01-06T05:00:00Z"}), row("a", 2, score=95), row("b", 3, "another offer, long enough"), row("c", 4, "refused one")]
     spark.createDataFrame(rows, LOG).write.parquet(str(tmp_path / "in/1"))
     sent = io.StringIO()
-    run = Round(str(tmp_path / "out"), FanOut([Console(sent), FileDrop(str(tmp_path / "drop"), "20260106")]), F.lit("2026-01-06 00:00:00").cast("timestamp"), F.col("title") == "refused one")
+    run = Round(f"file://{tmp_path}/out", FanOut([Console(sent), FileDrop(spark, f"file://{tmp_path}/drop", "20260106")]), F.lit("2026-01-06 00:00:00").cast("timestamp"), F.col("title") == "refused one")
     go = lambda ck: start(spark.readStream.schema(LOG).parquet(str(tmp_path / "in/*")), run, str(tmp_path / ck)).awaitTermination()
     go("ck")
     spark.createDataFrame([row("b", 5), row("d", 6, "one more offer here")], LOG).write.parquet(str(tmp_path / "in/2"))
@@ -78,6 +79,86 @@ def test_stream_stores_and_reminds_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/log")).where("fingerprint = 'd'").count() == 1
 
 
+def at(s):
+    return F.lit(s).cast("timestamp")
+
+
+def test_same_findings_under_any_path(spark, tmp_path):
+    """State is found wherever it is kept: the same finding in two batches is stored once, as a plain path and as a URI."""
+    for folder in (str(tmp_path / "a"), f"file://{tmp_path}/b"):
+        for batch in (0, 1):
+            Round(folder, Console(io.StringIO()), at("2026-01-06 00:00:00"), F.lit(False))(spark.createDataFrame([row("a", 1), row(f"n{batch}", 2, f"fresh offer number {batch}")], LOG), batch)
+        assert sorted(r.fingerprint for r in spark.read.parquet(f"{folder}/log").collect()) == ["a", "n0", "n1"]
+
+
+def test_titles_fold_and_budgets_hold(spark, tmp_path):
+    sent = io.StringIO()
+    make = lambda now: Round(f"file://{tmp_path}/out", Console(sent), at(now), F.lit(False), urgent=Channel(most=2, per_day=3))
+    batch = lambda *rows: spark.createDataFrame(list(rows), LOG)
+    make("2026-01-06 00:00:00")(batch(row("a", 1, "First offer long enough", 90), row("b", 2, "[x] first offer, long enough!", 95), row("c", 3, "Second offer long enough", 85), row("d", 4, "Third offer long enough", 99)), 0)
+    report = lambda n: json.loads(read_text(spark, f"{tmp_path}/out/reports/{n}.json"))
+    assert report(0) == {"new": 4, "dupes": 1, "urgent_sent": 2, "urgent_held": 1, "event_sent": 0, "event_held": 0}
+    log = {r.fingerprint: r.meta.get("dup_of") for r in spark.read.parquet(f"{tmp_path}/out/log").collect()}
+    assert log == {"a": None, "b": "a", "c": None, "d": None}
+    make("2026-01-06 01:00:00")(batch(row("e", 5, "Fourth offer long enough", 90), row("f", 6, "Fifth offer long enough", 91), row("g", 7, "SECOND offer - long enough", 99)), 1)
+    assert report(1) == {"new": 3, "dupes": 1, "urgent_sent": 1, "urgent_held": 1, "event_sent": 0, "event_held": 0}  # one was left of the day's three
+    make("2026-01-07 20:00:00")(batch(row("h", 8, "Sixth offer long enough", 90)), 2)
+    assert report(2)["urgent_sent"] == 1  # a new day
+
+
+def test_a_failed_sink_charges_and_marks_nothing(spark, tmp_path):
+    class Bad:
+        def send(self, message):
+            raise OSError
+
+    rows = spark.createDataFrame([row("a", 1, score=10, meta={"expires_at": "2026-01-06T05:00:00Z"})], LOG)
+    try:
+        Round(str(tmp_path / "o"), Bad(), at("2026-01-06 00:00:00"), F.lit(False))(rows, 0)
+    except OSError:
+        pass
+    else:
+        raise AssertionError
+    out = io.StringIO()
+    Round(str(tmp_path / "o"), Console(out), at("2026-01-06 00:00:00"), F.lit(False))(rows, 0)  # the batch is tried again
+    assert "[EVENT]" in out.getvalue()
+
+
+def test_configured_order_of_sources(spark):
+    cols = LOG
+    batch = spark.createDataFrame([row("a", 1)[:4] + ("late",) + row("a", 1)[5:], row("a", 2)[:4] + ("early",) + row("a", 2)[5:]], cols)
+    order = spark.createDataFrame([("early", 0), ("late", 1)], "source string, place int")
+    got = judge(batch, batch.limit(0), F.lit(False), order).collect()
+    assert [(r.source, r.log_seq) for r in got] == [("early", 2)]
+
+
+def test_flags_and_compaction(spark, tmp_path):
+    old = F.lit("2025-12-01 00:00:00").cast("timestamp")
+    log = spark.createDataFrame([row("a", 1, score=10), row("b", 2, "another offer, long enough", 90), row("c", 3, "[y] another offer long enough", 90)], LOG).withColumn("discovered_at", old)
+    marks = history.flagged(log, spark.createDataFrame([("b",), ("zz",)], "fingerprint string"), "pushed", 4)
+    assert [(r.fingerprint, r.log_seq, r.meta) for r in marks.collect()] == [("b", 4, {"pushed": "true"})]
+    kept = history.compact(log.unionByName(marks), at("2026-01-06 00:00:00"), 3, f"{tmp_path}/compacted")
+    assert {(r.fingerprint, r.meta.get("dup_of")) for r in kept.collect()} == {("c", "b")}
+
+
+def test_state_by_uri(spark, tmp_path):
+    for path in (f"file://{tmp_path}/s", f"{tmp_path}/s"):
+        state = StateTable(spark, path)
+        state.set({"k": path})
+        assert StateTable(spark, path).get("k") == path and state.get("none") is None
+
+
+def test_card_and_relay():
+    body = card(Message("urgent", "t", [{"score": 9, "title": "x", "url": "u"}]), timestamp=1, secret="s")
+    assert body["card"]["elements"][0]["content"] == "**9** [x](u)" and len(body["sign"]) == 44
+    Relay(["true"]).send(Message("test", "t"))
+    try:
+        Relay(["sh", "-c", "echo token=abcdefgh1234 >&2; exit 3"]).send(Message("test", "t"))
+    except RuntimeError as e:
+        assert str(e) == "token=abcd…****34"
+    else:
+        raise AssertionError
+
+
 def test_fan_out_fails_only_if_all_do():
     class Bad:
         def send(self, message):
