@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery import lexicon
-from gleanery.functions.text import clamp, claimable, dedup_key, offer_kinds, text_blob, truncate
+from gleanery.functions.text import clamp, claimable, dedup_key, is_noise, offer_kinds, text_blob, truncate
 from gleanery.functions.url import host_of, normalize_url
 from gleanery.operators import history, rounds
 from gleanery.session import table
@@ -81,11 +81,17 @@ def briefing_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def deals_filter(spark: SparkSession, d: str) -> DataFrame:
-    f = _folded(spark, d)
-    text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("summary", F.lit("")))
-    return f.where(
-        F.col("dup_of").isNull() & (F.coalesce("score", F.lit(0)) >= 30) & (F.col("category") == "discount") & F.contains(F.lower(text), F.lit("gpu"))
-    ).select("fingerprint", "score")
+    return history.find(_folded(spark, d), 30, "discount", "", "GPU").select("fingerprint", "score")
+
+
+def deals_search(spark: SparkSession, d: str) -> DataFrame:
+    """A source's findings, reposts among them."""
+    return history.find(_folded(spark, d), 0, "", "zuruxleko-feed", "", True).select("fingerprint", "score", "dup_of")
+
+
+def folded_count(spark: SparkSession, d: str) -> DataFrame:
+    """How many of the newest 2,000 findings are reposts, whatever page of them is shown."""
+    return history.recent(_folded(spark, d), 2_000).agg(F.count("*").alias("scanned"), F.count_if(F.col("dup_of").isNotNull()).alias("folded"))
 
 
 def deals_page(spark: SparkSession, d: str) -> DataFrame:
@@ -104,21 +110,57 @@ def source_idleness(spark: SparkSession, d: str) -> DataFrame:
 
 
 def source_health(spark: SparkSession, d: str) -> DataFrame:
-    idle = rounds.idleness(_deals(spark, d), table(spark, d, "feed_sources"), now())
-    kept = rounds.delivery(history.collapse(_deals(spark, d)), table(spark, d, "feed_sources"))
-    verdict = F.when(F.col("idle").isNull(), F.lit("never")).when(F.col("idle") > 36 * 3600, F.lit("silent")).otherwise(F.lit("ok"))
-    return idle.join(kept, "name", "left").select("name", verdict.alias("verdict"), F.coalesce("rows", F.lit(0).cast("long")).alias("rows"))
+    sources = table(spark, d, "feed_sources")
+    idle = rounds.idleness(_deals(spark, d), sources, now())
+    kept = rounds.delivery(history.collapse(_deals(spark, d)), sources)
+    off = sources.select("name", "disabled")
+    rows = F.coalesce("rows", F.lit(0).cast("long"))
+    joined = idle.join(kept, "name", "left").join(off, "name", "left")
+    return joined.select("name", rounds.health(F.col("idle"), rows, F.col("disabled")).alias("verdict"), rows.alias("rows"))
+
+
+def doctor(spark: SparkSession, d: str) -> DataFrame:
+    """The report on sources: what fails first, then what is to be watched."""
+    status = F.when(F.col("verdict").isin("never", "silent"), "fail").when(F.col("verdict").isin("late", "barren"), "warn").otherwise("ok")
+    checks = source_health(spark, d).select("name", status.alias("status"), F.col("verdict").alias("detail"))
+    place = table(spark, d, "feed_sources").select("name", F.col("source_id").alias("pos"))
+    return rounds.by_severity(checks.join(F.broadcast(place), "name")).select("name", "status", "detail")  # a fixed dimension
+
+
+def upkeep(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each batch would have allowed a compaction after the one ten batches before, behind a backup at its start."""
+    b = _deals(spark, d).groupBy("batch_no").agg(F.min("discovered_at").alias("first"), F.max("discovered_at").alias("last"))
+    before = b.select((F.col("batch_no") + 10).alias("batch_no"), F.col("last").alias("compacted"))
+    return b.join(before, "batch_no", "left").select("batch_no", rounds.upkeep_due(F.col("last"), F.col("compacted"), F.col("first"), 3, 24 * 300).alias("due"))
 
 
 def round_report(spark: SparkSession, d: str) -> DataFrame:
     rows = _deals(spark, d)
+    score = F.coalesce("score", F.lit(0))
     return rows.groupBy("batch_no").agg(
-        F.count("*").alias("found"), F.countDistinct("fingerprint").alias("findings"), F.count_if(F.coalesce("score", F.lit(0)) >= 60).alias("good")
-    )
+        F.count("*").alias("found"), F.countDistinct("fingerprint").alias("findings"), F.count_if(score >= 60).alias("good"), F.count_if(score >= 80).alias("urgent"),
+        F.greatest(F.lit(0).cast("long"), F.count_if(score >= 80) - 5).alias("held"), F.count_if(F.size("vendors") > 0).alias("verified"),
+        F.count_if(F.coalesce(F.size("vendors"), F.lit(0)) <= 0).alias("third_party"), F.countDistinct(F.lower(F.trim("source"))).alias("sources"),
+        F.count_if(F.trim("url") != "").alias("linked"),
+    )
+
+
+def source_round(spark: SparkSession, d: str) -> DataFrame:
+    """What each source gave to each round."""
+    rows = _deals(spark, d).withColumn("source", F.lower(F.trim("source")))
+    return rows.groupBy("batch_no", "source").agg(F.count("*").alias("found"), F.countDistinct("fingerprint").alias("stored"))
+
+
+def marked_pushed(spark: SparkSession, d: str) -> DataFrame:
+    """Log rows that mark the best findings as pushed, numbered after the last one."""
+    log = _deals(spark, d)
+    after = (log.agg(F.max("log_seq").alias("m")).first().m or 0) + 1
+    marks = history.flagged(log, log.where("score >= 95 and trim(fingerprint) <> ''"), "pushed", after)
+    return marks.select("log_seq", "fingerprint", F.col("meta")["pushed"].alias("pushed"))
 
 
 def recent_runs(spark: SparkSession, d: str) -> DataFrame:
-    newest = round_report(spark, d).orderBy(F.desc("batch_no")).limit(24)  # the ring of runs
+    newest = round_report(spark, d).select("batch_no", "found", "findings", "good").orderBy(F.desc("batch_no")).limit(24)  # the ring of runs
     return newest.orderBy("batch_no")
 
 
@@ -139,7 +181,7 @@ def freshness_tiers(spark: SparkSession, d: str) -> DataFrame:
     return _deals(spark, d).select("log_seq", F.when(F.col("published_at").isNotNull(), rounds.freshness(age)).otherwise(0).alias("points"))
 
 
-def score_deals(spark: SparkSession, d: str) -> DataFrame:
+def _scored(spark: SparkSession, d: str) -> DataFrame:
     sources = table(spark, d, "feed_sources").select(F.lower(F.trim("name")).alias("_s"), "trust", F.col("host").alias("_host"))
     rows = _deals(spark, d).withColumn("_s", F.lower(F.trim("source"))).join(F.broadcast(sources), "_s", "left")  # a fixed dimension
     offers = F.coalesce("offers", F.array().cast(rows.schema["offers"].dataType))
@@ -155,20 +197,32 @@ def score_deals(spark: SparkSession, d: str) -> DataFrame:
         F.size(offers),
         rounds.seconds_between(F.col("published_at"), now()),
     )
-    return rows.select("log_seq", s.alias("s")).select("log_seq", "s.score", F.array_join("s.why", "; ").alias("why"))
+    return rows.withColumn("s", s).withColumn("offers", offers)
+
+
+def score_deals(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).select("log_seq", "s.score", F.array_join("s.why", "; ").alias("why"))
+
+
+def score_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """The category of every deal, and why the scorer refuses it."""
+    rows = _scored(spark, d)
+    noise = is_noise(text_blob(F.col("title"), F.col("summary"), F.col("offers")), ["waiting list", "排队"])
+    free = F.exists("offers", lambda o: o.kind == "free")
+    kind = rounds.category(F.col("discount_pct"), free, F.size("offers"), F.when(F.col("log_seq") % 2 == 0, F.col("category")))
+    why = rounds.rejection(noise, history.meta_time("expires_at"), now(), F.col("s.score"))
+    return rows.select("log_seq", kind.alias("category"), why.alias("reject"))
 
 
 def screen_reasons(spark: SparkSession, d: str) -> DataFrame:
-    text = F.lower(text_blob(F.col("title"), F.col("summary"), F.col("offers")))
-    age = rounds.seconds_between(F.col("published_at"), now())
-    reason = rounds.screen(
-        ("denied", F.contains(text, F.lit("repost"))),
-        ("too old", age > 336 * 3600),
-        ("no offer", F.coalesce(F.size("offers"), F.lit(0)) <= 0),
-        ("expired", history.meta_time("expires_at") < now()),
-        ("weak", F.coalesce("score", F.lit(0)) <= 0),
-    )
-    return _deals(spark, d).select("log_seq", reason.alias("reason"))
+    """Why each deal does not reach the reader, and the deadline that is read whether it does or not."""
+    text = text_blob(F.col("title"), F.col("summary"), F.col("offers"))
+    deadline = history.meta_time("expires_at")
+    reason = rounds.full_screen(
+        text, F.col("published_at"), F.greatest(F.lit(0), F.coalesce(F.size("offers"), F.lit(0))), deadline, F.coalesce("score", F.lit(0)), is_noise(text, ["waiting list"]), now(),
+        ["repost", "转"], ["free", "gb", "tokens", "元", "%"], ["a", "e", "i", "新", "免"], 24 * 240, True,
+    )
+    return _deals(spark, d).select("log_seq", reason.alias("reason"), F.unix_micros(deadline).alias("deadline_us"))
 
 
 def offer_kind_list(spark: SparkSession, d: str) -> DataFrame:
@@ -253,25 +307,52 @@ def official_host(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(F.broadcast(hosts), "_s").select("log_seq", own.alias("official"))  # a fixed dimension
 
 
+def _vendor_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Entry pages of the sources: which categories each has follows from its number."""
+    s = table(spark, d, "feed_sources")
+    made = [("pricing", 2), ("free", 3), ("plans", 5), ("activity", 1), ("docs", 7)]
+    each = F.filter(F.array(*[F.when(F.col("source_id") % n == 0, F.struct(F.lit(c).alias("k"), F.concat("url", F.lit(f"/{c}")).alias("v"))) for c, n in made]), lambda x: x.isNotNull())
+    return s.select(F.lower(F.trim("name")).alias("_s"), F.map_from_entries(each).alias("pages"))
+
+
 def canonical_page(spark: SparkSession, d: str) -> DataFrame:
-    rows = _deals(spark, d).where(F.col("offers").isNotNull()).select("log_seq", F.transform("offers", lambda o: o.kind).alias("kinds"))
-    pages = F.create_map(F.lit("pricing"), F.lit("https://v.example/pricing"), F.lit("free"), F.lit("https://v.example/free"))
-    return rows.select("log_seq", rounds.page_for(F.col("kinds"), pages, lexicon.PAGE_ORDER).alias("page"))
+    """The entry page of each deal's source for what its offers are."""
+    rows = _deals(spark, d).select("log_seq", F.lower(F.trim("source")).alias("_s"), F.transform(F.coalesce("offers", F.array().cast(_deals(spark, d).schema["offers"].dataType)), lambda o: o.kind).alias("kinds"))
+    joined = rows.join(F.broadcast(_vendor_pages(spark, d)), "_s")  # a fixed dimension
+    return joined.select("log_seq", rounds.page_for(F.col("kinds"), F.col("pages"), lexicon.PAGE_ORDER).alias("page"))
 
 
-def link_verdicts(spark: SparkSession, d: str) -> DataFrame:
+def _ladder(spark: SparkSession, d: str, probed: F.Column, outage: bool) -> DataFrame:
     rows = _deals(spark, d).withColumn("host", host_of(F.col("url")))
     domains = table(spark, d, "feed_sources").select(F.col("host").alias("domain"), F.col("name").alias("vendor"))
-    owned = rounds.vendor_of_host(rows.select("log_seq", "host", "vendors", "published_at", "discovered_at", "url"), domains)
-    ladder = rounds.link_ladder(F.col("vendor"), F.get("vendors", F.lit(0)), F.when(F.col("published_at").isNotNull(), F.col("url")), F.col("discovered_at"), F.lit(None).cast("string"), now())
-    return owned.select("log_seq", ladder.alias("l")).select("log_seq", "l.kind", "l.delta")
+    owned = rounds.vendor_of_host(rows.select("log_seq", "host", "vendors", "published_at", "discovered_at", "url", "score"), domains)
+    cached = F.when(F.col("published_at").isNotNull(), F.col("url"))
+    marked = owned.withColumn("wants", F.col("vendor").isNull() & (F.coalesce(F.get("vendors", F.lit(0)), F.lit("")) != ""))
+    looked = rounds.lookup_budget(marked, ["log_seq"], "wants", 16).withColumn("probe", F.when(F.col("looked"), probed))
+    ladder = rounds.link_ladder(F.col("vendor"), F.get("vendors", F.lit(0)), cached, F.col("discovered_at"), F.col("probe"), now())
+    kind = F.col("l.kind")
+    delta = F.when((kind == "unresolved") & (F.lit(outage) | ~F.col("looked")), 0).otherwise(F.col("l.delta"))
+    return looked.withColumn("l", ladder).select("log_seq", kind.alias("kind"), delta.alias("delta"), "looked", "score")
+
+
+def link_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """How far each link can be trusted, with pages probed for the first sixteen deals that need it; the others wait at no cost."""
+    return _ladder(spark, d, F.when(F.col("log_seq") % 2 == 0, F.col("url")), False).select("log_seq", "kind", "delta", "looked")
+
+
+def verified_order(spark: SparkSession, d: str) -> DataFrame:
+    """The first deals by their score after the verdicts on their links, then by number."""
+    rows = _ladder(spark, d, F.lit(None).cast("string"), True)
+    bumped = F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce("score", F.lit(0)) + F.col("delta")))
+    return rows.select("log_seq", bumped.alias("score")).orderBy(F.desc("score"), "log_seq").limit(100)
 
 
 _ALL = (
-    log_collapse, near_dup_fold, live_offers, title_clash, seen_antijoin, store_stats, briefing_quality, briefing_sections, deals_filter, deals_page, source_delivery,
-    source_idleness, source_health, round_report, recent_runs, daily_budget, daily_due, freshness_tiers, score_deals, screen_reasons, offer_kind_list,
+    log_collapse, near_dup_fold, live_offers, title_clash, seen_antijoin, store_stats, briefing_quality, briefing_sections, deals_filter, deals_search, folded_count, deals_page,
+    source_delivery,
+    source_idleness, source_health, doctor, upkeep, round_report, source_round, marked_pushed, recent_runs, daily_budget, daily_due, freshness_tiers, score_deals, score_verdicts, screen_reasons, offer_kind_list,
     claimable_deals, compact_keep, compact_state, render_lines, upcoming, expiring, event_window, due_events, due_counts, upcoming_events, vendor_for_host,
-    official_host, canonical_page, link_verdicts,
+    official_host, canonical_page, link_verdicts, verified_order,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -319,6 +400,27 @@ _EVENTS = """WITH ev AS (SELECT o_orderkey, 'order ' || o_orderkey AS title, o_o
   LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS e FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"""
 
 
+_HEALTH = _CUR + f""", i AS (SELECT lower(trim(source)) AS s, max(discovered_at) AS last FROM deals GROUP BY 1), n AS (SELECT lower(trim(source)) AS s, count(*) AS n FROM cur GROUP BY 1),
+g AS (SELECT name, coalesce(disabled, false) AS off, CASE WHEN last IS NOT NULL THEN greatest(0, floor(epoch(timestamptz '{NOW_TEXT}+00') - epoch(last))) END AS idle, CASE WHEN coalesce(disabled, false) THEN 0 ELSE coalesce(n, 0) END::bigint AS rows
+  FROM feed_sources LEFT JOIN i ON lower(trim(name)) = i.s LEFT JOIN n ON lower(trim(name)) = n.s),
+h AS (SELECT name, rows, CASE WHEN off THEN 'off' WHEN idle IS NULL THEN 'never' WHEN idle > 604800 THEN 'silent' WHEN idle > 129600 THEN 'late' WHEN rows = 0 THEN 'barren' ELSE 'ok' END AS verdict FROM g)"""
+_LADDER = f"""WITH h AS (SELECT *, regexp_extract(regexp_replace(lower(trim(coalesce(url, ''))), '^[a-z][a-z0-9+.-]*://', ''), '^[^/?#]*') AS host FROM deals),
+o AS (SELECT DISTINCT host FROM h WHERE EXISTS (SELECT 1 FROM feed_sources f WHERE h.host = f.host OR ends_with(h.host, '.' || f.host))),
+w AS (SELECT *, host IN (SELECT host FROM o) AS own, coalesce(vendors[1], '') AS named FROM h),
+b AS (SELECT *, NOT own AND named <> '' AND row_number() OVER (PARTITION BY NOT own AND named <> '' ORDER BY log_seq) <= 16 AS looked FROM w),
+k AS (SELECT log_seq, looked, score, CASE WHEN own THEN 'own_domain' WHEN named = '' THEN 'third_party'
+  WHEN published_at IS NOT NULL AND coalesce(url, '') <> '' AND discovered_at > timestamptz '{NOW_TEXT}+00' - interval 7 day THEN 'verified' WHEN looked AND {{probe}} THEN 'verified' ELSE 'unresolved' END AS kind FROM b)"""
+_SCORE = f"""WITH j AS (SELECT d.*, s.trust, s.host AS site, regexp_extract(regexp_replace(lower(trim(coalesce(d.url, ''))), '^[a-z][a-z0-9+.-]*://', ''), '^[^/?#]*') AS h,
+  coalesce(list_transform(d.offers, lambda o: o.kind), []) AS kinds, coalesce(d.discount_pct, 0) AS pct, epoch(timestamptz '{NOW_TEXT}+00') - epoch(d.published_at) AS age
+  FROM deals d LEFT JOIN feed_sources s ON lower(trim(d.source)) = lower(trim(s.name))),
+p AS (SELECT *, list_contains(kinds, 'free') AS free, CASE WHEN pct >= 50 THEN 12 WHEN pct >= 30 THEN 8 WHEN pct >= 10 THEN 4 ELSE 0 END AS bonus,
+  CASE WHEN list_contains(kinds, 'free') THEN 'free' WHEN list_contains(kinds, 'credit') THEN 'credit' WHEN list_contains(kinds, 'discount') THEN 'discount' WHEN list_contains(kinds, 'trial') THEN 'trial' WHEN list_contains(kinds, 'coupon') THEN 'coupon' END AS k,
+  coalesce(len(vendors) > 0, false) AS v, coalesce(len(list_filter(offers, lambda o: o.product IS NOT NULL)) > 0, false) AS m, coalesce(h = site OR ends_with(h, '.' || site), false) AS o,
+  greatest(0, least(10, coalesce(trust, 0))) AS t, CASE WHEN age IS NULL THEN 0 WHEN age <= 86400 THEN 12 WHEN age <= 259200 THEN 8 WHEN age <= 604800 THEN 4 WHEN age > 2592000 THEN -12 ELSE 0 END AS f FROM j),
+q AS (SELECT *, CASE k WHEN 'free' THEN 45 WHEN 'credit' THEN 30 WHEN 'discount' THEN 24 WHEN 'trial' THEN 20 WHEN 'coupon' THEN 16 ELSE 0 END AS base FROM p),
+r AS (SELECT *, CASE WHEN NOT free AND pct > 0 THEN greatest(0, 24 - bonus - base) ELSE 0 END AS top FROM q)"""
+
+
 def _moments(hours: int, minutes: int) -> str:
     t = f"timestamp '{EVENT_NOW_TEXT}'"
     return (
@@ -342,32 +444,21 @@ ORACLES = {
     "deals_page": _FOLD + ", newest AS (SELECT * FROM folded ORDER BY discovered_at DESC NULLS LAST, first_seq LIMIT 2000) SELECT fingerprint, score FROM newest WHERE dup_of IS NULL AND coalesce(score, 0) >= 30 ORDER BY discovered_at DESC NULLS LAST, first_seq LIMIT 500",
     "source_delivery": _CUR + " SELECT name, coalesce(n, 0)::bigint AS rows FROM feed_sources LEFT JOIN (SELECT lower(trim(source)) AS s, count(*) AS n FROM cur GROUP BY 1) ON lower(trim(name)) = s WHERE NOT coalesce(disabled, false)",
     "source_idleness": f"SELECT name, greatest(0, floor(epoch(timestamptz '{NOW_TEXT}+00') - epoch(last)))::bigint AS idle FROM feed_sources LEFT JOIN (SELECT lower(trim(source)) AS s, max(discovered_at) AS last FROM deals GROUP BY 1) ON lower(trim(name)) = s WHERE last IS NOT NULL UNION ALL SELECT name, NULL FROM feed_sources WHERE lower(trim(name)) NOT IN (SELECT lower(trim(source)) FROM deals WHERE source IS NOT NULL)",
-    "round_report": "SELECT batch_no, count(*) AS found, count(DISTINCT fingerprint) AS findings, count_if(coalesce(score, 0) >= 60)::bigint AS good FROM deals GROUP BY 1",
+    "round_report": "SELECT batch_no, count(*) AS found, count(DISTINCT fingerprint) AS findings, count_if(coalesce(score, 0) >= 60)::bigint AS good, count_if(coalesce(score, 0) >= 80)::bigint AS urgent, greatest(0, count_if(coalesce(score, 0) >= 80) - 5)::bigint AS held, count_if(len(vendors) > 0)::bigint AS verified, count_if(coalesce(len(vendors), 0) = 0)::bigint AS third_party, count(DISTINCT lower(trim(source))) AS sources, count_if(trim(url) <> '')::bigint AS linked FROM deals GROUP BY 1",
     "recent_runs": "SELECT batch_no, count(*) AS found, count(DISTINCT fingerprint) AS findings, count_if(coalesce(score, 0) >= 60)::bigint AS good FROM deals GROUP BY 1 ORDER BY 1 DESC LIMIT 24",
     "daily_budget": "SELECT strftime(timezone('Asia/Shanghai', discovered_at), '%Y-%m-%d') AS day, count(*) AS sent, greatest(0, 40 - count(*))::bigint AS left FROM deals WHERE meta['pushed'] = 'true' GROUP BY 1",
     "daily_due": f"SELECT source, max(discovered_at) IS NULL OR max(discovered_at) < timestamptz '2026-01-05 23:30:00+00' AS due FROM deals WHERE timestamptz '{NOW_TEXT}+00' >= timestamptz '2026-01-05 23:30:00+00' GROUP BY 1",
     "freshness_tiers": f"SELECT log_seq, CASE WHEN published_at IS NULL THEN 0 WHEN a <= 86400 THEN 12 WHEN a <= 259200 THEN 8 WHEN a <= 604800 THEN 4 WHEN a > 2592000 THEN -12 ELSE 0 END AS points FROM (SELECT *, epoch(timestamptz '{NOW_TEXT}+00') - epoch(published_at) AS a FROM deals)",
-    "score_deals": f"""WITH j AS (SELECT d.*, s.trust, s.host AS site, regexp_extract(regexp_replace(lower(trim(coalesce(d.url, ''))), '^[a-z][a-z0-9+.-]*://', ''), '^[^/?#]*') AS h,
-  coalesce(list_transform(d.offers, lambda o: o.kind), []) AS kinds, coalesce(d.discount_pct, 0) AS pct, epoch(timestamptz '{NOW_TEXT}+00') - epoch(d.published_at) AS age
-  FROM deals d LEFT JOIN feed_sources s ON lower(trim(d.source)) = lower(trim(s.name))),
-p AS (SELECT *, list_contains(kinds, 'free') AS free, CASE WHEN pct >= 50 THEN 12 WHEN pct >= 30 THEN 8 WHEN pct >= 10 THEN 4 ELSE 0 END AS bonus,
-  CASE WHEN list_contains(kinds, 'free') THEN 'free' WHEN list_contains(kinds, 'credit') THEN 'credit' WHEN list_contains(kinds, 'discount') THEN 'discount' WHEN list_contains(kinds, 'trial') THEN 'trial' WHEN list_contains(kinds, 'coupon') THEN 'coupon' END AS k,
-  coalesce(len(vendors) > 0, false) AS v, coalesce(len(list_filter(offers, lambda o: o.product IS NOT NULL)) > 0, false) AS m, coalesce(h = site OR ends_with(h, '.' || site), false) AS o,
-  greatest(0, least(10, coalesce(trust, 0))) AS t, CASE WHEN age IS NULL THEN 0 WHEN age <= 86400 THEN 12 WHEN age <= 259200 THEN 8 WHEN age <= 604800 THEN 4 WHEN age > 2592000 THEN -12 ELSE 0 END AS f FROM j),
-q AS (SELECT *, CASE k WHEN 'free' THEN 45 WHEN 'credit' THEN 30 WHEN 'discount' THEN 24 WHEN 'trial' THEN 20 WHEN 'coupon' THEN 16 ELSE 0 END AS base FROM p),
-r AS (SELECT *, CASE WHEN NOT free AND pct > 0 THEN greatest(0, 24 - bonus - base) ELSE 0 END AS top FROM q)
+    "score_deals": _SCORE + """
 SELECT log_seq, greatest(0, least(100, bonus + base + top + CASE WHEN v THEN 10 ELSE 0 END + CASE WHEN m THEN 12 ELSE 0 END + CASE WHEN o THEN 10 ELSE 0 END + t + CASE WHEN len(kinds) > 1 THEN 4 ELSE 0 END + f))::int AS score,
   concat_ws('; ', CASE WHEN pct > 0 THEN '+' || bonus || ' cut' END, CASE WHEN base > 0 THEN '+' || base || ' ' || k END, CASE WHEN top > 0 THEN '+24 stated cut' END, CASE WHEN v THEN '+10 vendor' END, CASE WHEN m THEN '+12 product' END,
   CASE WHEN o THEN '+10 official' END, CASE WHEN t > 0 THEN '+' || t || ' trust' END, CASE WHEN len(kinds) > 1 THEN '+4 several offers' END, CASE WHEN f > 0 THEN '+' || f || ' age' WHEN f < 0 THEN f || ' age' END) AS why FROM r""",
-    "source_health": _CUR + f""", i AS (SELECT lower(trim(source)) AS s, max(discovered_at) AS last FROM deals GROUP BY 1), n AS (SELECT lower(trim(source)) AS s, count(*) AS n FROM cur GROUP BY 1)
-SELECT name, CASE WHEN last IS NULL THEN 'never' WHEN greatest(0, floor(epoch(timestamptz '{NOW_TEXT}+00') - epoch(last))) > 129600 THEN 'silent' ELSE 'ok' END AS verdict,
-  CASE WHEN coalesce(disabled, false) THEN 0 ELSE coalesce(n, 0) END::bigint AS rows FROM feed_sources LEFT JOIN i ON lower(trim(name)) = i.s LEFT JOIN n ON lower(trim(name)) = n.s""",
-    "link_verdicts": f"""WITH h AS (SELECT *, regexp_extract(regexp_replace(lower(trim(coalesce(url, ''))), '^[a-z][a-z0-9+.-]*://', ''), '^[^/?#]*') AS host FROM deals),
-o AS (SELECT DISTINCT host FROM h WHERE EXISTS (SELECT 1 FROM feed_sources f WHERE h.host = f.host OR ends_with(h.host, '.' || f.host))),
-k AS (SELECT log_seq, CASE WHEN host IN (SELECT host FROM o) THEN 'own_domain' WHEN coalesce(vendors[1], '') = '' THEN 'third_party'
-  WHEN published_at IS NOT NULL AND coalesce(url, '') <> '' AND discovered_at > timestamptz '{NOW_TEXT}+00' - interval 7 day THEN 'verified' ELSE 'unresolved' END AS kind FROM h)
-SELECT log_seq, kind, CASE kind WHEN 'own_domain' THEN 8 WHEN 'verified' THEN 8 WHEN 'unresolved' THEN -6 ELSE 0 END AS delta FROM k""",
-    "screen_reasons": f"SELECT log_seq, CASE WHEN contains(lower(concat_ws(chr(10), coalesce(title, ''), coalesce(summary, ''), array_to_string(list_transform(offers, lambda o: coalesce(o.evidence, '')), chr(10)))), 'repost') THEN 'denied' WHEN epoch(timestamptz '{NOW_TEXT}+00') - epoch(published_at) > 1209600 THEN 'too old' WHEN coalesce(len(offers), 0) = 0 THEN 'no offer' WHEN date_trunc('second', try_cast(meta['expires_at'] AS timestamptz)) < timestamptz '{NOW_TEXT}+00' THEN 'expired' WHEN coalesce(score, 0) <= 0 THEN 'weak' ELSE '' END AS reason FROM deals",
+    "source_health": _HEALTH + " SELECT name, verdict, rows FROM h",
+    "link_verdicts": _LADDER.format(probe="log_seq % 2 = 0 AND coalesce(url, '') <> ''") + " SELECT log_seq, kind, CASE kind WHEN 'own_domain' THEN 8 WHEN 'verified' THEN 8 WHEN 'unresolved' THEN CASE WHEN looked THEN -6 ELSE 0 END ELSE 0 END AS delta, looked FROM k",
+    "screen_reasons": f"""WITH x AS (SELECT *, lower(concat_ws(chr(10), coalesce(title, ''), coalesce(summary, ''), array_to_string(list_transform(offers, lambda o: coalesce(o.evidence, '')), chr(10)))) AS b, date_trunc('second', try_cast(meta['expires_at'] AS timestamptz)) AS dl FROM deals)
+SELECT log_seq, CASE WHEN contains(b, 'repost') OR contains(b, '转') THEN 'denied' WHEN NOT (contains(b, 'free') OR contains(b, 'gb') OR contains(b, 'tokens') OR contains(b, '元') OR contains(b, '%')) THEN 'not required'
+  WHEN epoch(timestamptz '{NOW_TEXT}+00') - epoch(published_at) > 240 * 86400 THEN 'too old' WHEN coalesce(len(offers), 0) = 0 THEN 'no offer' WHEN contains(b, 'waiting list') THEN 'noise' WHEN dl < timestamptz '{NOW_TEXT}+00' THEN 'expired'
+  WHEN coalesce(score, 0) <= 0 THEN 'low signal' WHEN NOT (contains(b, 'a') OR contains(b, 'e') OR contains(b, 'i') OR contains(b, '新') OR contains(b, '免')) THEN 'not allowed' ELSE '' END AS reason, epoch_us(dl) AS deadline_us FROM x""",
     "offer_kind_list": "SELECT log_seq, array_to_string(list_transform(list_filter(list_transform(offers, lambda o, i: struct_pack(k := o.kind, i := i)), lambda x: list_position(list_transform(offers, lambda o: o.kind), x.k) = x.i), lambda x: x.k), ',') AS kinds FROM deals WHERE offers IS NOT NULL",
     "claimable_deals": "SELECT log_seq, (coalesce(is_free, false) OR coalesce(discount_pct, 0) > 0 OR coalesce(len(list_filter(offers, lambda o: o.kind IN ('free','discount','trial','credit','coupon'))) > 0, false)) AND NOT regexp_matches(regexp_replace(trim(coalesce(title, '')), '[ ！!]+$', ''), '(\\?|？|吗|呢|吧|么)$') AND NOT regexp_matches(coalesce(title, ''), '" + lexicon.DOUBT + "') AS ok FROM deals",
     "compact_keep": _FOLD + f" SELECT fingerprint FROM folded WHERE NOT (discovered_at < timestamptz '{NOW_TEXT}+00' - interval 3 day AND (coalesce(meta['pushed'], '') = 'true' OR coalesce(score, 0) < 60))",
@@ -380,5 +471,18 @@ SELECT log_seq, kind, CASE kind WHEN 'own_domain' THEN 8 WHEN 'verified' THEN 8
     "upcoming_events": _moments(720, 4320) + " SELECT *, o_orderkey % 5 = 0 AS reminded FROM n",
     "vendor_for_host": "WITH dom AS (SELECT host AS domain, name AS vendor FROM feed_sources UNION ALL SELECT 'blog.' || host, name FROM feed_sources) SELECT h.host, (SELECT arg_max(vendor, length(domain)) FROM dom WHERE h.host = domain OR h.host LIKE '%.' || domain) AS vendor FROM (SELECT DISTINCT lower(host) AS host FROM html_segments) h",
     "official_host": "SELECT log_seq, h = site OR ends_with(h, '.' || site) AS official FROM (SELECT log_seq, lower(trim(source)) AS s, regexp_extract(regexp_replace(lower(trim(coalesce(url, ''))), '^[a-z][a-z0-9+.-]*://', ''), '^[^/?#]*') AS h FROM deals) JOIN (SELECT lower(trim(name)) AS n, host AS site FROM feed_sources) ON s = n",
-    "canonical_page": "SELECT log_seq, CASE WHEN len(offers) = 0 OR offers[1].kind NOT IN ('free','credit','trial','coupon') THEN 'https://v.example/pricing' ELSE 'https://v.example/free' END AS page FROM deals WHERE offers IS NOT NULL",
+    "canonical_page": """WITH p AS (SELECT lower(trim(name)) AS s, CASE WHEN source_id % 3 = 0 THEN url || '/free' END AS fr, url || '/activity' AS ac, CASE WHEN source_id % 7 = 0 THEN url || '/docs' END AS dc, CASE WHEN source_id % 5 = 0 THEN url || '/plans' END AS pl, CASE WHEN source_id % 2 = 0 THEN url || '/pricing' END AS pr FROM feed_sources),
+r AS (SELECT log_seq, lower(trim(source)) AS s, list_filter(list_transform(coalesce(offers, []), lambda o: o.kind), lambda k: k IN ('free', 'credit', 'trial', 'coupon', 'discount'))[1] AS k FROM deals)
+SELECT log_seq, CASE WHEN k = 'discount' THEN coalesce(pr, pl, ac) WHEN k IS NOT NULL THEN coalesce(fr, ac) ELSE coalesce(pr, pl, dc, ac) END AS page FROM r JOIN p USING (s)""",
+    "deals_search": _FOLD + " SELECT fingerprint, score, dup_of FROM folded WHERE source = 'zuruxleko-feed'",
+    "folded_count": _FOLD + ", newest AS (SELECT * FROM folded ORDER BY discovered_at DESC NULLS LAST, first_seq LIMIT 2000) SELECT count(*) AS scanned, count_if(dup_of IS NOT NULL)::bigint AS folded FROM newest",
+    "doctor": _HEALTH + " SELECT name, CASE WHEN verdict IN ('never', 'silent') THEN 'fail' WHEN verdict IN ('late', 'barren') THEN 'warn' ELSE 'ok' END AS status, verdict AS detail FROM h",
+    "upkeep": "WITH b AS (SELECT batch_no, min(discovered_at) AS f, max(discovered_at) AS l FROM deals GROUP BY 1) SELECT b.batch_no, coalesce((p.l IS NULL OR epoch(b.l) - epoch(p.l) >= 3 * 86400) AND epoch(b.l) - epoch(b.f) <= 24 * 300 * 3600, false) AS due FROM b LEFT JOIN b p ON p.batch_no + 10 = b.batch_no",
+    "source_round": "SELECT batch_no, lower(trim(source)) AS source, count(*) AS found, count(DISTINCT fingerprint) AS stored FROM deals GROUP BY 1, 2",
+    "marked_pushed": "WITH m AS (SELECT fingerprint, max(log_seq) AS last FROM deals WHERE fingerprint IN (SELECT fingerprint FROM deals WHERE score >= 95 AND trim(fingerprint) <> '') GROUP BY 1) SELECT (SELECT max(log_seq) FROM deals) + row_number() OVER (ORDER BY last) AS log_seq, fingerprint, 'true' AS pushed FROM m",
+    "score_verdicts": _SCORE + f""", x AS (SELECT *, greatest(0, least(100, bonus + base + top + CASE WHEN v THEN 10 ELSE 0 END + CASE WHEN m THEN 12 ELSE 0 END + CASE WHEN o THEN 10 ELSE 0 END + t + CASE WHEN len(kinds) > 1 THEN 4 ELSE 0 END + f)) AS s,
+  lower(concat_ws(chr(10), coalesce(title, ''), coalesce(summary, ''), array_to_string(list_transform(offers, lambda z: coalesce(z.evidence, '')), chr(10)))) AS b, date_trunc('second', try_cast(meta['expires_at'] AS timestamptz)) AS dl FROM r)
+SELECT log_seq, CASE WHEN log_seq % 2 = 0 AND coalesce(category, '') NOT IN ('', 'unknown') THEN category WHEN pct >= 50 THEN 'discount' WHEN free THEN 'ai_free' WHEN len(kinds) > 0 THEN 'discount' ELSE 'unknown' END AS category,
+  CASE WHEN contains(b, 'waiting list') OR contains(b, '排队') THEN 'noise' WHEN dl < timestamptz '{NOW_TEXT}+00' THEN 'expired' WHEN s <= 0 THEN 'low_signal' ELSE '' END AS reject FROM x""",
+    "verified_order": _LADDER.format(probe="false") + " SELECT log_seq, greatest(0, least(100, coalesce(score, 0) + CASE WHEN kind IN ('own_domain', 'verified') THEN 8 ELSE 0 END))::int AS score FROM k ORDER BY 2 DESC, 1 LIMIT 100",
 }
