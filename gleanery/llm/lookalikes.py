@@ -68,9 +68,14 @@ class _Table(dict):
 _TABLE = _Table()
 
 
+def _skeleton(text: str) -> str:
+    return " ".join(unicodedata.normalize("NFC", text.translate(_TABLE)).split())
+
+
 def skeleton(text: str) -> str:
     """The look of a text: the table applied to every character, marks composed, blanks single and none at the ends."""
-    return " ".join(unicodedata.normalize("NFC", text.translate(_TABLE)).split())
+    # most texts hold nothing but characters that look like themselves
+    return _skeleton(text) if _odd().search(text) else " ".join(text.split())
 
 
 class VocabularyTrie:
@@ -226,7 +231,7 @@ def self_evident() -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for lo, hi in _PLAIN:
         for o in range(lo, hi + 1):
-            if skeleton(chr(o)) == chr(o):
+            if _skeleton(chr(o)) == chr(o):
                 if out and out[-1][1] == o - 1:
                     out[-1] = (out[-1][0], o)
                 else:
@@ -234,6 +239,12 @@ def self_evident() -> list[tuple[int, int]]:
     return out
 
 
+@cache
+def _odd() -> re.Pattern:
+    """Characters that are not self-evident, plain blanks aside."""
+    return re.compile("[^ \\t\\n\\r" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in self_evident()) + "]")
+
+
 @cache
 def _other() -> str:
     """A pattern of what is not self-evident: other characters, two blanks in a row or a blank at an end."""
