@@ -111,14 +111,30 @@ def test_endings():
     assert {k: T.ending(k)[0] for k in cases} == cases
 
 
-def test_openings_tell_closings_from_cuts():
-    rows = {}
-    for sentence, ended, unended in [("Thanks for reading", 0, 30), ("Starting this week, it is free.", 80, 4)]:
-        for o in T.openings(sentence):
-            rows[o] = (o, ended, unended)
-    o = T.Openings(list(rows.values()))
-    assert o.complete("Thanks for reading") > 0.9
-    assert o.complete("Starting this we") < 0.1 and o.complete("Never seen before") < 0.2
+def test_openings_tell_closings_from_cuts(spark):
+    texts = [f"Thing {i} is here. Thanks for reading" for i in range(30)] + [f"Starting this week, number {i} is free." for i in range(80)] + ["Thing. Starting this we", "Never seen before"]
+    rows = [("s", i, t, 1, 0.0) for i, t in enumerate(texts)]
+    looked = T.look(spark.createDataFrame(rows, "source string, h long, text string, copies long, p double")).cache()
+    own = looked.where("kind = 'text'").select("source", "h", F.lit(1.0).alias("own"))
+    lo = {r.h: r.lo for r in T.completeness(looked, own).collect()}
+    assert lo[0] > 3 and lo[110] < -2 and lo[111] <= -2 and 40 not in lo
+
+
+def at_a_limit():
+    """Cut at 70 characters, always in a sentence that no text ever ends; and texts of other lengths."""
+    names = ["".join(c) for c in __import__("itertools").product("bdfgklmnprst", "aeiou")][:60]
+    cut = [f"Item {n} is listed here. Noted by our desk on a day that nobody of us recalls now"[:70] for n in names[:40]]
+    whole = [f"Item {n} is listed here{', as told' * (i % 13)}." for i, n in enumerate(names)]
+    return [(i, "s", t) for i, t in enumerate(cut)] + [(100 + i, "s", t) for i, t in enumerate(whole)]
+
+
+def test_the_fit_decides(spark, monkeypatch):
+    """Without the censoring fit the texts cut at the limit pass for complete ones, as no text ends their last sentence."""
+    df = spark.createDataFrame(at_a_limit(), "log_seq int, source string, summary string")
+    hits = spark.createDataFrame([], "hit_id int, source string, story_text string")
+    assert {r.rec_id for r in T.truncated_records(df, hits).collect()} == set(range(40))
+    monkeypatch.setattr(T, "censoring", lambda m: spark.createDataFrame([], "source string, unit string, length int, posterior double"))
+    assert T.truncated_records(df, hits).count() == 0
 
 
 def test_censored_fit():
