@@ -12,6 +12,7 @@ from gleanery.functions import clock, text, url
 from gleanery.functions.documents import resolve_url as resolve
 from gleanery.functions.instants import utc_ms
 from gleanery.plans.deal_queries import _FOLD, NOW_TEXT, key_sql
+from gleanery.plans.sql_functions import register
 from gleanery.session import table
 
 #: A small list of vendors that the test texts hold.
@@ -180,10 +181,17 @@ def parsed_hosts(spark: SparkSession, d: str) -> DataFrame:
     return _deals(spark, d).select("log_seq", url.parsed_host(F.col("url")).alias("host"))
 
 
+def sql_surface(spark: SparkSession, d: str) -> DataFrame:
+    """The functions called from SQL."""
+    register(spark)
+    _deals(spark, d).createOrReplaceTempView("sql_surface_deals")
+    return spark.sql("SELECT log_seq, dedup_key(title) AS key, normalize_url(url) AS page, discount_pct(concat_ws('\\n', title, summary)) AS pct FROM sql_surface_deals")
+
+
 _ALL = (
     title_key, url_normalize, fingerprint, hosts, clean_bodies, gated, noise, bounded_words, offer_scan, vendor_extract, product_extract, discount_stated,
     title_words, text_blobs, first_stated, truncations, starts_at, expires_at, reparse_drift, reparsed_rows, parse_any_time, secret_scan, redact_text, redact_urls, decode_entities, resolve_url,
-    search_queries, offer_order, parsed_hosts,
+    search_queries, offer_order, parsed_hosts, sql_surface,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -241,4 +249,6 @@ FROM (SELECT log_seq, trim(url) AS url, sha256(log_seq::varchar) AS h FROM deals
     "search_queries": r"SELECT log_seq, CASE WHEN coalesce(host, '') <> '' THEN CASE WHEN p <> '' THEN p || ' ' ELSE '' END || CASE WHEN is_free THEN '免费 额度' ELSE '价格 优惠' END || ' site:' || host END AS query FROM (SELECT log_seq, source, is_free, trim(regexp_extract(coalesce(title, ''), '[A-Z][a-z]{5,}-\d+\.\d+')) AS p FROM deals) LEFT JOIN (SELECT name, host FROM feed_sources) ON source = name",
     "offer_order": "SELECT log_seq, array_to_string(list_transform(list_sort(list_transform(offers, lambda o, i: struct_pack(k := o.kind, m := o.matched, i := i))), lambda x: x.k || ':' || x.m), ',') AS offers, array_to_string(list_sort(vendors), ',') AS vendors, array_to_string(list_sort(tags), ',') AS tags FROM deals",
     "parsed_hosts": r"SELECT log_seq, lower(regexp_extract(trim(coalesce(url, '')), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host FROM deals",
+    "sql_surface": _PAGES + ",\n" + key_sql("deals", "title", "q") + r""", d AS (SELECT log_seq, greatest(coalesce((10 - try_cast(nullif(regexp_extract(b, '([1-9])\s*折', 1), '') AS int)) * 10, 0), coalesce(list_max(list_filter(list_transform(list_concat(regexp_extract_all(b, '(?i)(\d{1,3})\s*%\s*(?:off|折扣|减免|降价)', 1), regexp_extract_all(b, '(?i)(?:off|discount|折扣)\D{0,12}?(\d{1,3})\s*%', 1)), lambda x: try_cast(x AS int)), lambda n: n BETWEEN 5 AND 100)), 0))::int AS pct FROM (SELECT log_seq, concat_ws(chr(10), title, summary) AS b FROM deals))
+SELECT q.log_seq, CASE WHEN q.title IS NOT NULL THEN k END AS key, page, pct FROM q JOIN pages ON q.log_seq = pages.log_seq JOIN d ON q.log_seq = d.log_seq""",
 }

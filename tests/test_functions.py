@@ -93,3 +93,18 @@ def test_sql_functions(spark):
     row = spark.sql("SELECT decode_entities('a &amp; b') AS a, redact_text('token=abcdefghij') AS b, utc_ms('2026-01-01', 'UTC') AS c").first()
     assert (row.a, row.b, row.c) == ("a & b", "token=abcd…****ij", 1767225600000)
     assert [tuple(r) for r in spark.sql("SELECT * FROM scan_words('Free and free', 'free, x')").collect()] == [("free", 0), ("free", 9)]
+
+
+def test_expressions_in_sql(spark):
+    """Functions registered for SQL are the column expressions themselves."""
+    from gleanery.plans.sql_functions import FUNCTIONS, register
+
+    register(spark)
+    rows = [("【转】Free GPU hours, today!", "https://www.A.example/p/?utm_x=1&q=2#top", "8.5折 20% off"), ("x", "", "限时免费至9月20日"), (None, None, None)]
+    df = spark.createDataFrame(rows, "t string, u string, s string").withColumn("a", F.lit("2026-09-10 08:00:00").cast("timestamp"))
+    df.createOrReplaceTempView("texts")
+    for name, parameters, _, make in FUNCTIONS:
+        names = [p.split()[0] for p in parameters.split(", ")]
+        want = [r.v for r in df.select(make(*map(F.col, names)).alias("v")).collect()]
+        assert [r.v for r in spark.sql(f"SELECT {name}({', '.join(names)}) AS v FROM texts").collect()] == want, name
+    assert spark.sql("SELECT inline(o) FROM (SELECT scan_offers(s) AS o FROM texts)").count() > 0
