@@ -81,25 +81,31 @@ def expires_at(text: Column, anchor: Column, zone: str = ZONE) -> Column:
         parts = F.struct(y.alias("y"), m.alias("m"), d.alias("d"), _clock_after(rest).alias("c"))
         return let(parts, lambda p: _instant(p.y, p.m, p.d, p.c, zone))
 
+    def if_met(pattern: str, rule: Column) -> Column:
+        # one search per rule decides; its parts are only taken out of a text that has them
+        return F.when(text.rlike(pattern), rule)
+
     def ymd(pattern: str) -> Column:
         p = pattern + _TAIL
-        return dated(_int(text, p, 1), _int(text, p, 2), _int(text, p, 3), F.regexp_extract(text, p, 4))
+        return if_met(pattern, dated(_int(text, p, 1), _int(text, p, 2), _int(text, p, 3), F.regexp_extract(text, p, 4)))
 
     lead = ymd(rf"{_LEAD}[^0-9\n]{{0,6}}?(20\d{{2}})\s*[-/.年]\s*(\d{{1,2}})\s*[-/.月]\s*(\d{{1,2}})")
-    en = r"(?i)(?:until|ends?\s+(?:on|by)|deadline|valid\s+(?:thru|through|until))\s+([a-z]{3,9})\.?\s+(\d{1,2})[, ]+(\d{4})" + _TAIL
-    english = dated(_int(text, en, 3), _english_month(F.regexp_extract(text, en, 1)), _int(text, en, 2), F.regexp_extract(text, en, 4))
+    stated = r"(?i)(?:until|ends?\s+(?:on|by)|deadline|valid\s+(?:thru|through|until))\s+([a-z]{3,9})\.?\s+(\d{1,2})[, ]+(\d{4})"
+    en = stated + _TAIL
+    english = if_met(stated, dated(_int(text, en, 3), _english_month(F.regexp_extract(text, en, 1)), _int(text, en, 2), F.regexp_extract(text, en, 4)))
     suffix = ymd(r"(20\d{2})-(\d{1,2})-(\d{1,2})\s*(?:前结束|截止|到期|失效|过期)")
     before = ymd(r"(20\d{2})\s*[-/.年]\s*(\d{1,2})\s*[-/.月]\s*(\d{1,2})\s*日?\s*(?:之?前)")
 
     def md(pattern: str) -> Column:
         p = pattern + _TAIL
-        return _yearless(F.struct(_int(text, p, 1).alias("m"), _int(text, p, 2).alias("d"), F.regexp_extract(text, p, 3).alias("r")), anchor, zone)
+        return if_met(pattern, _yearless(F.struct(_int(text, p, 1).alias("m"), _int(text, p, 2).alias("d"), F.regexp_extract(text, p, 3).alias("r")), anchor, zone))
 
     yearless = F.coalesce(md(rf"{_LEAD}[^0-9\n]{{0,6}}?(\d{{1,2}})月(\d{{1,2}})日"), md(r"(\d{1,2})月(\d{1,2})日\s*(?:之?前)"))
 
-    sr = r"(\d{1,2})月(\d{1,2})[日号]?[^\d\n]{0,3}?(?:至|到|~|—|–|-)\s*(\d{1,2})\s*[日号]" + _TAIL
+    sr = r"(\d{1,2})月(\d{1,2})[日号]?[^\d\n]{0,3}?(?:至|到|~|—|–|-)\s*(\d{1,2})\s*[日号]"
+    abbreviated, sr = sr, sr + _TAIL
     tail = F.struct(_int(text, sr, 1).alias("m"), _int(text, sr, 3).alias("d"), F.regexp_extract(text, sr, 4).alias("r"))
-    short = _yearless(F.when(_int(text, sr, 3) > _int(text, sr, 2), tail), anchor, zone)
+    short = if_met(abbreviated, _yearless(F.when(_int(text, sr, 3) > _int(text, sr, 2), tail), anchor, zone))
     return F.coalesce(lead, english, suffix, before, _range_end(text, zone), yearless, short, _duration_end(text, anchor, zone))
 
 
@@ -118,7 +124,7 @@ def _range_end(text: Column, zone: str) -> Column:
         )
         return F.when(x.head.rlike(r"20\d{2}[-/.年]\s*\d{1,2}[-/.月]\s*\d{1,2}"), let(clock, lambda c: _instant(x.y, x.m, x.d, c, zone)))
 
-    return let(parts, read)
+    return F.when(text.rlike(r"(?:至|到|~|—|–)\s*20\d{2}[-/.年]"), let(parts, read))
 
 
 def _duration_end(text: Column, anchor: Column, zone: str) -> Column:
@@ -140,7 +146,7 @@ def _duration_end(text: Column, anchor: Column, zone: str) -> Column:
         hours = F.when(x.n <= 72, anchor + F.make_dt_interval(F.lit(0), x.n))
         return F.when(x.n >= 1, F.when(x.unit == "小时", hours).when(n <= 366, last))
 
-    return let(let(said, number), end)
+    return F.when(text.rlike(p), let(let(said, number), end))
 
 
 def starts_at(text: Column, anchor: Column, zone: str = ZONE) -> Column:
@@ -162,7 +168,8 @@ def starts_at(text: Column, anchor: Column, zone: str = ZONE) -> Column:
         opening = F.when(~m.rlike("^" + _LEAD), parts)
         return let(opening, lambda x: F.when((x.h <= 23) & (x.mi <= 59), _instant(x.y, x.m, x.d, _time(x.h, x.mi, 0), zone)))
 
-    return F.get(F.filter(F.transform(found, one), lambda t: t.isNotNull()), F.lit(0))
+    first = F.get(F.filter(F.transform(found, one), lambda t: t.isNotNull()), F.lit(0))
+    return F.when(F.contains(text, F.lit("月")), first)
 
 
 def local_day(ts: Column, zone: str = ZONE) -> Column:

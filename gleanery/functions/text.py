@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from gleanery import lexicon
+from gleanery.schema import OFFER
 
 #: ASCII letters and digits, what a word of an ASCII needle may not touch.
 _WORD = "[a-z0-9]"
@@ -60,6 +61,11 @@ def _quoted(word: str) -> str:
     return re.escape(word).replace("\\ ", " ")
 
 
+def _alone(word: str) -> str:
+    """A pattern of a lower-case ASCII word that stands alone; '' for other words, which need not."""
+    return f"(?<!{_WORD}){_quoted(word)}(?!{_WORD})" if word.isascii() else ""
+
+
 def _until(word: str) -> str:
     """A pattern whose group is all that comes before the first occurrence of a lower-case word that stands alone."""
     return f"(?s)^(.*?)(?<!{_WORD}){_quoted(word)}(?!{_WORD})" if word.isascii() else f"(?s)^(.*?){_quoted(word)}"
@@ -87,33 +93,35 @@ def product(text: Column, pattern: str = lexicon.PRODUCT) -> Column:
 
 
 def scan_offers(text: Column, words: dict[str, list[str]] | None = None, vendor_words: list[tuple[str, str]] | None = None) -> Column:
-    """Every offer a text names, in the order of the word lists: kind, word, first vendor, product, evidence."""
-    low = F.lower(text)
-    vendor = F.coalesce(F.get(vendors(text, vendor_words), F.lit(0)), F.lit(""))
-    named = product(text)
-    # a word that is not contained costs a search for it and no more; patterns are literals and compiled once
-    found = [
-        F.when(
-            bounded(text, w),
-            F.struct(
-                F.lit(kind).alias("kind"),
-                F.lit(w).alias("matched"),
-                F.char_length(F.regexp_extract(low, _until(w.lower()), 1)).alias("at"),
-            ),
-        )
+    """Every offer a text names, in the order of the word lists: kind, word, first vendor, product, evidence.
+
+    All words are sought in the text in lower case, which is made once; only for those it contains it is asked whether they stand alone.
+    """
+    listed = [
+        F.struct(F.lit(kind).alias("kind"), F.lit(w).alias("matched"), F.lit(w.lower()).alias("low"), F.lit(_alone(w.lower())).alias("alone"), F.lit(_until(w.lower())).alias("until"))
         for kind, ws in (lexicon.OFFER_WORDS if words is None else words).items()
         for w in ws
     ]
-    held = F.filter(F.array(*found), lambda o: o.isNotNull())
-    return let(
-        F.struct(vendor.alias("vendor"), named.alias("product")),
-        lambda b: F.transform(
-            held,
+    if not listed:
+        return F.array().cast(f"array<{OFFER}>")
+
+    def scan(low: Column) -> Column:
+        held = F.filter(F.array(*listed), lambda w: F.contains(low, w.low))
+        before = lambda w: F.char_length(F.call_function("regexp_extract", low, w["until"], F.lit(1)))
+        # a word of another script is where it is first found; an ASCII one must stand alone
+        place = lambda w: F.when(w["alone"] == "", F.instr(low, w.low) - 1).when(F.rlike(low, w["alone"]), before(w))
+        placed = F.transform(held, lambda w: F.struct(w.kind.alias("kind"), w.matched.alias("matched"), place(w).alias("at")))
+        alone = F.filter(placed, lambda w: w["at"].isNotNull())
+        about = F.struct(F.coalesce(F.get(vendors(text, vendor_words), F.lit(0)), F.lit("")).alias("vendor"), product(text).alias("product"))
+        made = lambda b: F.transform(
+            alone,
             lambda o: F.struct(
                 o.kind.alias("kind"), o.matched.alias("matched"), b.vendor.alias("vendor"), b["product"].alias("product"), evidence_window(text, o["at"]).alias("evidence")
             ),
-        ),
-    )
+        )
+        return F.when(F.size(held) > 0, let(about, made)).otherwise(F.array().cast(f"array<{OFFER}>"))
+
+    return let(F.lower(text), scan)
 
 
 def offer_kinds(offers: Column) -> Column:

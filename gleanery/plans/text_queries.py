@@ -13,7 +13,7 @@ from gleanery.functions.documents import resolve_url as resolve
 from gleanery.functions.instants import utc_ms
 from gleanery.plans.deal_queries import _FOLD, NOW_TEXT, key_sql
 from gleanery.plans.sql_functions import register
-from gleanery.session import table
+from gleanery.session import spread, table
 
 #: A small list of vendors that the test texts hold.
 TEST_VENDORS = [("ai", "AI"), ("cloud", "Cloud"), ("labs", "Labs"), ("数据", "数据")]
@@ -61,7 +61,7 @@ def bounded_words(spark: SparkSession, d: str) -> DataFrame:
 
 def offer_scan(spark: SparkSession, d: str) -> DataFrame:
     """Every offer by the full word lists; vendors by a list that these texts hold."""
-    rows = table(spark, d, "documents").select("doc_id", "text")
+    rows = spread(table(spark, d, "documents").select("doc_id", "text"))
     found = rows.select("doc_id", F.explode(text.scan_offers(F.col("text"), None, TEST_VENDORS)).alias("o"))
     return found.select("doc_id", "o.kind", "o.matched", "o.vendor", "o.evidence")
 
@@ -101,7 +101,8 @@ def truncations(spark: SparkSession, d: str) -> DataFrame:
 
 def _blob(spark: SparkSession, d: str) -> DataFrame:
     blob = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("summary", F.lit("")))
-    return _deals(spark, d).select("log_seq", blob.alias("blob"), F.coalesce("published_at", "discovered_at").alias("anchor"), "meta")
+    rows = spread(_deals(spark, d).select("log_seq", "title", "summary", "published_at", "discovered_at", "meta"))
+    return rows.select("log_seq", blob.alias("blob"), F.coalesce("published_at", "discovered_at").alias("anchor"), "meta")
 
 
 def starts_at(spark: SparkSession, d: str) -> DataFrame:

@@ -86,6 +86,50 @@ def test_egress_guard():
     assert not blocked("127.0.0.1", True) and not blocked("93.184.216.34")
 
 
+def test_fetching_with_guard_redirects_and_retries(monkeypatch):
+    """A local server: loopback is refused unless allowed, also behind a redirect; 5xx is tried again; the final URL is told."""
+    import http.server
+    import threading
+    import urllib.error
+
+    import pytest
+
+    from gleanery.sources import pages
+
+    asked = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.path)
+            if self.path == "/moved":
+                self.send_response(302)
+                self.send_header("Location", "/page")
+            elif self.path == "/away":
+                self.send_response(302)
+                self.send_header("Location", "http://169.254.169.254/latest")
+            else:
+                self.send_response(500 if self.path == "/busy" and asked.count("/busy") < 2 else 200)
+            self.end_headers()
+            self.wfile.write(b"body")
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    monkeypatch.setattr(pages, "PAUSE_AFTER_S", 0.01)
+    try:
+        assert pages.fetch_http(f"{base}/moved", True) == ("body", f"{base}/page")
+        assert pages.fetch_http(f"{base}/busy", True)[0] == "body" and asked.count("/busy") == 2
+        for url, private in ((f"{base}/page", False), (f"{base}/away", True)):
+            with pytest.raises((PermissionError, urllib.error.URLError)) as refused:
+                pages.fetch_http(url, private)
+            assert "not to be fetched" in str(refused.value)
+    finally:
+        server.shutdown()
+
+
 def test_sql_functions(spark):
     from gleanery.plans.sql_functions import register
 
