@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gleanery.session import keep
 
 #: The bounds of every contributor are split at FANOUT - 1 midpoints per round, all counted together.
-FANOUT = 64
+FANOUT = 1_024
 
 
 def _search(hist: DataFrame, bounds: DataFrame, groups: list[str], fanout: int = FANOUT) -> DataFrame:
