@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,8 +99,14 @@ def merge_state(disk: DataFrame, changed: DataFrame) -> DataFrame:
     return disk.join(changed.select("key"), "key", "left_anti").unionByName(changed).where(~F.startswith("key", F.lit("digest:")))
 
 
-def find(folded: DataFrame, min_score: int = 0, category: str = "", source: str = "", needle: str = "", dupes: bool = False) -> DataFrame:
-    """Findings of a category and source, if given, that score enough and hold a text, whatever its case; reposts only if asked for."""
+def find(
+    folded: DataFrame, min_score: int = 0, category: str = "", source: str = "", needle: str = "", dupes: bool = False, pushed: bool | None = None, tag: str = "",
+    verified: bool | None = None,
+) -> DataFrame:
+    """Findings of a category and source, if given, that score enough and hold a text, whatever its case; reposts only if asked for.
+
+    ``pushed`` and ``verified`` (a vendor is known) narrow the list either way, ``tag`` to findings that carry it.
+    """
     ok = F.coalesce("score", F.lit(0)) >= min_score
     if not dupes:
         ok = ok & F.col("dup_of").isNull()
@@ -109,9 +117,35 @@ def find(folded: DataFrame, min_score: int = 0, category: str = "", source: str
     if needle.strip():
         text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("summary", F.lit("")))
         ok = ok & F.contains(F.lower(text), F.lit(needle.strip().lower()))
+    if pushed is not None:
+        ok = ok & ((F.coalesce(F.col("meta")["pushed"], F.lit("")) == "true") == pushed)
+    if verified is not None:
+        ok = ok & (F.coalesce(F.size("vendors") > 0, F.lit(False)) == verified)
+    if tag.strip():
+        ok = ok & F.coalesce(F.array_contains("tags", tag.strip()), F.lit(False))
     return folded.where(ok)
 
 
+def _other_than(key: str) -> Callable[[Column, Column], Column]:
+    return lambda k, v: k != key
+
+
+def reparsed(rows: DataFrame, starts_at: Column, expires_at: Column) -> DataFrame:
+    """Rows with the times that their texts are read to state in ``meta``; an absent reading erases nothing. ``changed`` tells which differ.
+
+    Reposts keep what they have.
+    """
+    old = F.coalesce("meta", F.create_map().cast("map<string,string>"))
+    kept = {k: F.try_to_timestamp(old[k]) for k in ("starts_at", "expires_at")}
+    read = {"starts_at": starts_at, "expires_at": expires_at}
+    moved = {k: read[k].isNotNull() & ~read[k].eqNullSafe(kept[k]) & (F.coalesce(old["dup_of"], F.lit("")) == "") for k in kept}
+    meta = old
+    for k in kept:
+        stamp = F.date_format(read[k], "yyyy-MM-dd'T'HH:mm:ss'Z'")  # the session's clock is UTC
+        meta = F.when(moved[k], F.map_concat(F.map_filter(meta, _other_than(k)), F.create_map(F.lit(k), stamp))).otherwise(meta)
+    return rows.withColumn("changed", moved["starts_at"] | moved["expires_at"]).withColumn("meta", meta)
+
+
 def flagged(log: DataFrame, fingerprints: DataFrame, flag: str, next_seq: int) -> DataFrame:
     """New log rows that mark findings: the last row of each with ``flag`` set in ``meta``, numbered from ``next_seq`` in the order of the log.
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import random
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -142,3 +144,13 @@ def start(findings: DataFrame, run: Round, checkpoint: str, every: str | None =
     """Runs rounds over a stream of findings until what is there is done, or one ``every`` interval; a restart goes on where it stopped."""
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return findings.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def next_delay(interval_s: float, jitter_s: float, draw: Callable[[], float] = random.random) -> float:
+    """Seconds to the next round: the interval, earlier or later by up to the jitter, and a second at least."""
+    return max(1.0, interval_s + (2 * draw() - 1) * max(0.0, jitter_s))
+
+
+def source_budget(interval_s: float, margin_s: float = 30.0) -> float:
+    """Seconds that a source may take: the interval less a margin, and never less than the margin."""
+    return max(margin_s, interval_s - margin_s)

@@ -6,11 +6,11 @@ import json
 from pyspark.sql import functions as F
 
 from gleanery.operators import history
-from gleanery.operators.delivery import Console, FanOut, FileDrop, Message, Relay, card, signature
+from gleanery.operators.delivery import App, Console, FanOut, FileDrop, Message, Relay, card, signature
 from gleanery.operators.state import StateTable
 from gleanery.sources.logs import read_log
 from gleanery.session import read_text
-from gleanery.streaming.round import Channel, Round, judge, start
+from gleanery.streaming.round import Channel, Round, judge, next_delay, source_budget, start
 
 LOG = "fingerprint string, log_seq long, title string, url string, source string, category string, score int, is_free boolean, discount_pct int, offers array<struct<kind:string>>, discovered_at timestamp, meta map<string,string>"
 
@@ -159,6 +159,46 @@ def test_card_and_relay():
         raise AssertionError
 
 
+def test_app_delivery():
+    calls, now = [], [0.0]
+
+    def call(path, body, token):
+        calls.append((path, body.get("msg_type"), token))
+        if path == "token":
+            return {"token": f"t{len(calls)}", "expire": 300}
+        return {"message_id": "m"} if body["msg_type"] == "text" or now[0] else {"message": "card refused"}
+
+    app = App(call, {"id": "x"}, "me", lambda: now[0])
+    app.send(Message("test", "t"))
+    now[0] = 179.0
+    app.send(Message("test", "t"))
+    now[0] = 181.0  # within two minutes of the token's end
+    app.send(Message("test", "t"))
+    assert calls == [("token", None, None), ("message", "interactive", "t1"), ("message", "text", "t1"), ("message", "interactive", "t1"), ("token", None, None), ("message", "interactive", "t5")]
+    try:
+        App(lambda p, b, t: {"token": "t", "expire": 9} if p == "token" else {"message": "no secret=abcdefghij"}, {}, "me").send(Message("test", "t"))
+    except RuntimeError as e:
+        assert "abcd…****ij" in str(e)
+    else:
+        raise AssertionError
+
+
+def test_pace():
+    assert [next_delay(1800, 180, lambda d=d: d) for d in (0, 0.5, 1)] == [1620, 1800, 1980] and next_delay(1, 60, lambda: 0) == 1
+    assert [source_budget(s) for s in (1800, 60, 20)] == [1770, 30, 30]
+
+
+def test_reparse_and_narrow_lists(spark):
+    rows = [row("a", 1, meta={"expires_at": "2026-01-05T00:00:00Z", "x": "1"}), row("b", 2, "another offer, long enough", meta={"starts_at": "2026-01-01T00:00:00Z", "pushed": "true"}), row("c", 3, "[x] third offer, long enough", meta={"dup_of": "a"})]
+    log = spark.createDataFrame(rows, LOG)
+    read = F.when(F.col("fingerprint") != "b", at("2026-01-07 00:00:00"))
+    got = {r.fingerprint: (r.changed, r.meta) for r in history.reparsed(log, F.lit(None).cast("timestamp"), read).collect()}
+    assert got["a"] == (True, {"x": "1", "expires_at": "2026-01-07T00:00:00Z"}) and got["b"][0] is False and got["b"][1]["starts_at"] and got["c"] == (False, {"dup_of": "a"})
+    folded = history.fold_duplicates(history.collapse(log.withColumns({"vendors": F.array(F.lit("v")), "tags": F.array("fingerprint")})))
+    names = lambda **k: {r.fingerprint for r in history.find(folded, **k).collect()}
+    assert names() == {"a", "b"} and names(pushed=True) == {"b"} and names(pushed=False) == {"a"} and names(tag="a") == {"a"} and names(verified=False) == set() and names(dupes=True) == {"a", "b", "c"}
+
+
 def test_fan_out_fails_only_if_all_do():
     class Bad:
         def send(self, message):
