@@ -16,7 +16,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import IntegerType, StringType, StructType
+from pyspark.sql.types import DataType, IntegerType, StringType, StructField, StructType
 
 from gleanery.session import children, keep, read_text, shared_dir, write_text
 
@@ -79,6 +79,7 @@ class SnapshotStore:
 
     def __init__(self, spark: SparkSession, folder: str, key: str, values: list[str], ranges: int | None = None) -> None:
         self.spark, self.folder, self.key, self.values, self.ranges = spark, folder, key, values, ranges
+        self.types: dict[str, DataType] = {}
 
     def _bounds(self, rows: DataFrame) -> list:
         kept = read_text(self.spark, f"{self.folder}/bounds.json")
@@ -94,6 +95,7 @@ class SnapshotStore:
     def add(self, rows: DataFrame, snapshot: str) -> None:
         """Keeps the snapshots that ``rows`` hold, at most one row per snapshot and key; rows without a key are left out."""
         rows = rows.select(F.col(snapshot).alias("snap"), self.key, *self.values).dropna(subset=["snap", self.key])
+        self.types = {c: rows.schema[c].dataType for c in (self.key, *self.values)}
         bounds = self._bounds(rows)
         if not bounds:
             part = F.lit(0)
@@ -119,11 +121,13 @@ class SnapshotStore:
         numbers = self.numbers()
         pairs = [n for n in numbers if n - 1 in numbers and (since is None or n >= since)]
         bounds = json.loads(read_text(spark, f"{self.folder}/bounds.json") or "[]")
-        kept = spark.read.parquet(folder).schema if numbers else StructType()
-        value = StructType([kept[v] for v in values]) if numbers else None
+        if numbers:
+            kept = spark.read.parquet(folder).schema
+            self.types = {c: kept[c].dataType for c in (key, *values)}
+        value = StructType([StructField(v, self.types.get(v, StringType())) for v in values])
+        schema = StructType([StructField(key, self.types.get(key, StringType()))]).add("snap", IntegerType()).add("diff_kind", StringType()).add("old", value).add("new", value)
         if not pairs:
-            return spark.createDataFrame([], f"{key} string, snap int, diff_kind string, old string, new string")
-        schema = StructType([kept[key]]).add("snap", IntegerType()).add("diff_kind", StringType()).add("old", value).add("new", value)
+            return spark.createDataFrame([], schema)
         arrow = to_arrow_schema(schema)
         # one task a range of each pair; a row is all that is sent to it
         tasks = spark.range(len(pairs) * (len(bounds) + 1), numPartitions=min(len(pairs) * (len(bounds) + 1), 4 * spark.sparkContext.defaultParallelism))

@@ -58,7 +58,8 @@ def test_catalogue(spark):
 
 
 def test_empty(spark):
-    assert catalogue_changes(spark.createDataFrame([], CATALOGUE)).count() == 0
+    changes = catalogue_changes(spark.createDataFrame([], CATALOGUE))
+    assert changes.count() == 0 and repriced(changes).count() == 0
 
 
 def test_many_rows_stream_over_batches(spark):
