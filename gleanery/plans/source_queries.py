@@ -165,7 +165,7 @@ def snapshot_cursor(spark: SparkSession, d: str) -> DataFrame:
 
 def _models(spark: SparkSession, d: str, back: int) -> DataFrame:
     """The models of the last snapshot but ``back``, as last delivered."""
-    c = table(spark, d, "catalog_snapshots")
+    c = table(spark, d, "catalog_snapshots").select("snap_no", "delivery_no", "row_id", "id", "created", "pricing")
     last = c.agg(F.max("snap_no").alias("n"))  # one row
     mine = c.join(F.broadcast(last)).where(F.col("snap_no") == F.col("n") - back).drop("n")
     delivered = mine.agg(F.max("delivery_no").alias("k"))  # one row
