@@ -193,3 +193,45 @@ def test_pack_tables(spark):
         assert own.select("doc_id").distinct().count() == 201
     assert P.fill_report(packed, kinds).count() == 2
     assert P.pack(docs.limit(0), kinds).count() == 0 and P.pack(docs, kinds.limit(0)).count() == 0
+
+
+# --- all operators
+
+
+def test_nulls_clashing_columns_and_empty_tables(spark, sf, tmp_path):
+    """Rows that are null in every column change no result, further columns neither, and empty tables give empty ones."""
+    from gleanery.llm import catalog
+
+    clashing = "pk cls look raw task capacity state h cell led first w n p id2 folded rec restored chain snap part".split()
+    for t in ("deals", "hn_hits", "html_segments", "documents", "eval_items", "container_sizes"):
+        df = spark.read.parquet(f"{sf}/{t}.parquet")
+        nulls = spark.range(3).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema])
+        df.unionByName(nulls).withColumns({c: F.lit("x") for c in clashing if c not in df.columns}).coalesce(1).write.parquet(f"{tmp_path}/nulls/{t}.parquet")
+        df.limit(0).coalesce(1).write.parquet(f"{tmp_path}/empty/{t}.parquet")
+    for name in ("p1_found", "p1_members", "p2_found", "p3_found", "p5_found", "p7_found", "p8_pack", "p9_found", "p10_found"):
+        run = catalog.QUERIES[name]
+        assert {tuple(r) for r in run(spark, f"{tmp_path}/nulls").collect()} == {tuple(r) for r in run(spark, sf).collect()}, name
+        assert run(spark, f"{tmp_path}/empty").count() == 0, name
+
+
+def test_deficits_before_each_task(spark):
+    """Running sums over blocks of tasks against a loop."""
+    rng = random.Random(9)
+    rows = [(t, s, rng.randint(1, 9)) for t in range(40) for s in "abc" if rng.random() < 0.8]
+    shares = {"a": 0.5, "b": 0.3, "c": 0.2}
+    old, P.BLOCK = P.BLOCK, 7
+    try:
+        got = P.starting_deficits(spark.createDataFrame(rows, "task int, source string, n long"), spark.createDataFrame(list(shares.items()), "source string, share double")).collect()
+    finally:
+        P.BLOCK = old
+    for r in got:
+        before = [x for x in rows if x[0] < r.task]
+        want = shares[r.source] * sum(n for *_, n in before) - sum(n for _, s, n in before if s == r.source)
+        assert abs(r.owed - want) < 1e-9
+
+
+def test_mixture_report(spark):
+    packed = spark.createDataFrame([("c", 0, 1, 0, 10), ("c", 0, 2, 0, 10), ("c", 1, 3, 0, 20)], "container string, bin long, doc_id long, piece int, tokens int")
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "doc_id long, source string")
+    got = {r.stretch: r.deviation for r in P.mixture_report(packed, docs).collect()}
+    assert got == {1: 0.25, 10: 0.0, 100: 0.0}  # shares 3/4 and 1/4; the windows have 1/2 and 1
