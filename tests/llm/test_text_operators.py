@@ -431,3 +431,29 @@ def test_stock_phrases(spark):
     d = spark.createDataFrame([(1, f"Before it. {stock} after it"), (2, f"The sefarsabo offer ends soon and sefarsabo is free. {stock}")], "doc_id int, text string")
     assert {tuple(r) for r in L.leaks(d, e).collect()} == {(2, 0)}
     assert {tuple(r) for r in L.leaks(d, e, own=False).collect()} == {(k, i) for k in (1, 2) for i in range(4)}
+
+
+def test_stretches_at_the_threshold(spark):
+    """Runs joined across more edits than allowed, edits by the ends of a passage, and long words added: each stretch counts by itself."""
+    ws = PASSAGE.replace(".", "").split()
+    far = [f"x{'abcdefghijklmnopq'[k]}" for k in range(17)]
+    end = [w if k not in (13, 15, 16) else "zz" for k, w in enumerate(ws[:18])]
+    added = ws[:5] + ["extraordinarilylongword" * 3] + ws[5:10] + ["anotherratherlongword" * 3] + ws[10:16]
+    item = " ".join(ws[:16] + ["shared", "words"] * 9 + ws[16:] + ["Sefarsabo", "again"])
+    e = spark.createDataFrame([(1, PASSAGE), (2, item)], "item_id int, text string")
+    rows = [(1, " ".join(end)), (2, " ".join(added)), (3, " ".join([*ws[:16], *far, *ws[16:], "Sefarsabo", "again"]))]
+    got = {tuple(r) for r in L.leaks(spark.createDataFrame(rows, "doc_id int, text string"), e).collect()}
+    assert {(1, 1), (2, 1), (3, 2)} <= got
+    # alike on either side of other words, nothing long enough
+    assert not L.leaks(spark.createDataFrame([(4, " ".join([*ws[:9], *far, *ws[9:17]]))], "doc_id int, text string"), e).count()
+
+
+def test_items_without_words_of_their_own(spark):
+    """Copies of an item, and items of common words only, are found; what they share with further items is not."""
+    words = "every reader of these lines learns where old clocks were mended before river boats carried them along towards bigger towns whose people paid less than others".split()
+    rng = random.Random(9)
+    orders = [rng.sample(words, len(words)) for _ in range(5)]
+    items = [(i, " ".join(o)) for i, o in enumerate(orders)] + [(10 + i, PASSAGE) for i in range(4)]
+    d = spark.createDataFrame([(1, f"before {' '.join(orders[0])} after"), (2, f"before {PASSAGE} after"), (3, " ".join(rng.sample(words, len(words))))], "doc_id int, text string")
+    e = spark.createDataFrame(items, "item_id int, text string")
+    assert {tuple(r) for r in L.leaks(d, e).collect()} == {(1, 0), *((2, 10 + i) for i in range(4))}
