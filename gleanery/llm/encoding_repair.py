@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from gleanery.session import keep, spread
 
-#: Documents a language's dictionary is made of, about, the longest of them in characters, and its size in bytes; this bounds what the driver gathers.
-TRAINING_DOCUMENTS, TRAINING_LENGTH, DICTIONARY_BYTES = 300, 6_000, 48_000
+#: Size in bytes of a language's dictionary, which holds the most frequent phrases of all texts; this bounds what the driver gathers.
+DICTIONARY_BYTES = 48_000
 #: Lines with a character that fewer of a language's documents have do not teach; garbled documents are fewer than that.
 RARE_SHARE = 0.06
 #: A character is common if this share of all documents has it.
@@ -30,8 +30,6 @@ MAX_STEPS, BEAM = 3, 3
 UNSEEN, LOST = 4.0, 3.0
 #: Cost in bytes of undoing one single-byte Latin encoding read as another; what it saves is told by the neighbours of the signs.
 LATIN_COST = 0.6
-#: Characters and neighbourhoods of signs that are sent to the workers, the most frequent ones; it bounds the broadcast.
-CHARACTERS, NEIGHBOURHOODS = 30_000, 60_000
 
 # Encodings that text is mistaken for, by kind.
 _LATIN = ("cp1252", "latin-1", "cp1250", "cp437", "cp850", "mac_roman", "iso8859-2")
@@ -404,77 +402,83 @@ def language(column: str = "lang") -> F.Column:
     return F.lower(F.substring(F.trim(column), 1, 2))
 
 
-def learn_dictionaries(documents: DataFrame) -> dict[str, bytes]:
-    """A raw-content dictionary per language from about TRAINING_DOCUMENTS distinct texts each, chosen by a threshold on their hash.
+#: What phrases are split at: their marks, words up to a number, and Latin words within Chinese; these are what one text has and others do not.
+_APART = r"(?<=[.!?。！？，,])[\s\x{a0}\x{3000}]*|(?<![!-~])[!-/:-~]*+[0-9][0-9.,]*+|(?<=[㐀-鿿])[!-~]++|(?<![!-~])[!-~]++(?=[㐀-鿿])"
 
-    Lines with characters that are rare in their language are left out, so that garbled lines do not teach.
+
+def learn_dictionaries(texts: DataFrame, counts: DataFrame) -> dict[str, bytes]:
+    """A raw-content dictionary per language of the most frequent phrases of all its ``distinct_texts``.
+
+    Lines with characters that are rare in their language are left out, so that garbled lines do not teach. ``counts`` are those of :func:`count_signs`.
     """
-    known = documents.withColumn("lang", language()).where(F.col("lang").rlike("^[a-z]{2}$") & (F.length("text") < TRAINING_LENGTH))
-    hashed = known.select("lang", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).alias("h"), "text")
-    # one row per language; copies of one text count and teach once
-    sizes = hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()
-    most = TRAINING_DOCUMENTS + 4 * math.sqrt(TRAINING_DOCUMENTS)
-    limits = [x for r in sizes for x in (F.lit(r.lang), F.lit(int((1 << 30) * min(1.0, most / max(1, r.n)))))]
-    if not limits:
+    by_language = texts.select(F.explode("langs").alias("lang"), "text")
+    sizes = {r.lang: r["count"] for r in by_language.groupBy("lang").count().collect()}  # one row per language
+    if not sizes:
         return {}
-    drawn = hashed.where(F.col("h") < F.try_element_at(F.create_map(*limits), F.col("lang")))
-    chosen = drawn.groupBy("lang", "h").agg(F.min("text").alias("text"))
-    by: dict[str, list[str]] = {}
-    for r in chosen.orderBy("lang", "h").select("lang", "text").collect():
-        by.setdefault(r.lang, []).append(r.text)
-    out = {}
-    for lang, texts in by.items():
-        df = Counter(c for t in texts for c in set(t))
-        rare = {c for c, n in df.items() if n < max(2, RARE_SHARE * len(texts)) and not c.isascii()}
-        sentences: Counter = Counter()
-        for t in texts:
-            for line in t.split("\n"):
-                if rare.isdisjoint(line) and not _BROKEN.search(line):
-                    sentences.update(p for p in re.split(r"(?<=[.!?。！？，,])\s*", line) if p)
-        data, size = [], 0
-        for s, _ in sentences.most_common():
-            data.append(s)
-            size += len(s.encode())
-            if size > DICTIONARY_BYTES:
+    needed = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, max(2.0, RARE_SHARE * n))))
+    usual: dict[str, str] = dict.fromkeys(sizes, "")
+    for r in counts.where((F.col("kind") == "char") & (F.col("n") >= F.try_element_at(needed, F.col("lang")))).collect():
+        usual[r.lang] += r.key
+    unusual = F.create_map(*(F.lit(x) for lang, cs in usual.items() for x in (lang, f"[^\\x00-\\x7f{cs}]")))
+    lines = by_language.select("lang", F.explode(F.split("text", "\n")).alias("line"))
+    lines = lines.where(~F.rlike("line", F.try_element_at(unusual, F.col("lang"))) & ~F.rlike("line", F.lit(_BROKEN.pattern)))
+    phrases = lines.select("lang", F.explode(F.split("line", _APART)).alias("s")).withColumn("s", F.trim("s")).where("s <> ''")
+    rows = keep(phrases.groupBy("lang", "s").agg(F.count("*").alias("n")))
+    # per language the least count that a dictionary reaches, and what room is left for phrases of that count
+    levels = rows.groupBy("lang", "n").agg(F.sum(F.octet_length("s")).alias("size")).collect()
+    least, room = {}, dict.fromkeys(sizes, DICTIONARY_BYTES)
+    for r in sorted(levels, key=lambda r: (r.lang, -r.n)):
+        if room[r.lang] > 0 and r.lang not in least:
+            if r["size"] > room[r.lang]:
+                least[r.lang] = r.n
+            else:
+                room[r.lang] -= r["size"]
+    above = F.create_map(*(F.lit(x) for lang in sizes for x in (lang, least.get(lang, 0))))
+    chosen = sorted(((r.lang, -r.n, r.s) for r in rows.where(F.col("n") > F.try_element_at(above, F.col("lang"))).collect()))
+    for lang, n in least.items():  # equally frequent ones in the order of a hash, as many as can fit
+        level = rows.where((F.col("lang") == lang) & (F.col("n") == n)).orderBy(F.xxhash64("s"), "s").limit(room[lang] + 1)
+        for r in level.collect():
+            chosen.append((lang, -n, r.s))
+            room[lang] -= len(r.s.encode())
+            if room[lang] < 0:
                 break
-        out[lang] = " ".join(reversed(data)).encode()[-DICTIONARY_BYTES:]  # the most frequent last, where matches are nearest
-    return out
+    by: dict[str, list[str]] = {lang: [] for lang in sizes}
+    for lang, _, phrase in chosen:
+        by[lang].append(phrase)
+    # the most frequent last, where matches are nearest
+    return {lang: " ".join(reversed(data)).encode()[-DICTIONARY_BYTES:] for lang, data in by.items()}
 
 
-def statistics(documents: DataFrame) -> tuple[dict[str, int], int, dict[str, int]]:
-    """How many distinct texts have each character beyond ASCII, the number of texts, and how many have each neighbourhood of a sign.
-
-    All texts are counted; of the counts the CHARACTERS and NEIGHBOURHOODS most frequent ones are gathered.
-    """
+def count_signs(texts: DataFrame) -> DataFrame:
+    """``kind``, ``lang``, ``key``, ``n``: how many ``distinct_texts`` have each character beyond ASCII, over all and by language, and each neighbourhood of a sign."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            near, chars = Counter(), Counter()
-            for t in batch["text"]:
-                chars.update(set(_ASCII.sub("", t)))
-                near.update(set(neighbourhoods(t)))
-            yield pd.DataFrame(
-                {"kind": ["total"] + ["char"] * len(chars) + ["near"] * len(near), "key": ["", *chars, *near], "n": [len(batch), *chars.values(), *near.values()]}
-            )
+            found: Counter = Counter()
+            for t, langs in zip(batch["text"], batch["langs"]):
+                chars = set(_ASCII.sub("", t))
+                for lang in ("", *langs):
+                    found.update(("char", lang, c) for c in chars)
+                found.update(("near", "", x) for x in set(neighbourhoods(t)))
+            found["total", "", ""] += len(batch)
+            yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["kind", "lang", "key", "n"])
 
-    rows = keep(distinct_texts(documents).mapInPandas(count, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    odd = texts.where(F.col("text").rlike(r"[^\x00-\x7f]"))
+    return keep(odd.mapInPandas(count, "kind string, lang string, key string, n long").groupBy("kind", "lang", "key").agg(F.sum("n").alias("n")))
 
-    def most(kind: str, limit: int) -> dict[str, int]:
-        # the least count of which the limit still holds all keys
-        sizes, held, least = rows.where(F.col("kind") == kind).groupBy("n").agg(F.count("*").alias("k")).collect(), 0, 1 << 62
-        for r in sorted(sizes, reverse=True):
-            held += r.k
-            if held > limit:
-                break
-            least = r.n
-        return {r.key: r.n for r in rows.where((F.col("kind") == kind) & (F.col("n") >= least)).collect()}
 
-    return most("char", CHARACTERS), sum(most("total", 1).values()), most("near", NEIGHBOURHOODS)
+def statistics(counts: DataFrame) -> tuple[dict[str, int], int, dict[str, int]]:
+    """How many distinct texts have each character beyond ASCII, the number of texts, and how many have each neighbourhood of a sign; all of them."""
+    by: dict[str, dict[str, int]] = {"char": {}, "total": {}, "near": {}}
+    for r in counts.where("lang = ''").collect():
+        by[r.kind][r.key] = r.n
+    return by["char"], sum(by["total"].values()), by["near"]
 
 
 def distinct_texts(documents: DataFrame) -> DataFrame:
-    """``text``, each once however many copies there are; copies are folded before they are sent."""
-    return documents.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).select("text")
+    """``text``, ``langs``: each text once however many copies there are, and the languages these are said to be in; copies are folded before they are sent."""
+    lang = F.when(language().rlike("^[a-z]{2}$"), language())
+    return documents.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.collect_set(lang).alias("langs")).select("text", "langs")
 
 
 class Repairer:
@@ -539,7 +543,9 @@ def repaired(documents: DataFrame) -> DataFrame:
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.col("text").isNotNull())
     # documents without any sign beyond ASCII need no look
     odd = texts.where(F.col("text").rlike(r"[^\x00-\x7f]"))
-    dictionaries, (characters, total, near) = learn_dictionaries(texts), statistics(odd)
+    distinct = keep(distinct_texts(texts))
+    counts = count_signs(distinct)
+    dictionaries, (characters, total, near) = learn_dictionaries(distinct, counts), statistics(counts)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         repairer = Repairer(dictionaries, characters, total, near)

@@ -457,3 +457,18 @@ def test_items_without_words_of_their_own(spark):
     d = spark.createDataFrame([(1, f"before {' '.join(orders[0])} after"), (2, f"before {PASSAGE} after"), (3, " ".join(rng.sample(words, len(words))))], "doc_id int, text string")
     e = spark.createDataFrame(items, "item_id int, text string")
     assert {tuple(r) for r in L.leaks(d, e).collect()} == {(1, 0), *((2, 10 + i) for i in range(4))}
+
+
+def test_dictionaries_from_all_texts(spark):
+    """Phrases are counted over all texts, long ones included and copies once; equally rare ones fill what room is left."""
+    filler = "普通的一句话，"
+    rows = [(i, f"第{i}号公告，每个账号可领小时算力。{filler * 900}", "zh") for i in range(30)]
+    rows += [(100 + i, "只有这一份。" + "别的话。", "zh") for i in range(500)] + [(700 + i, f"Offer {i} ends soon, once for all", "en") for i in range(900)]
+    short = "每个账号".encode("gbk").decode("big5hkscs", "replace")
+    rows += [(5_000, f"n/a | 25 {short} | ok", None)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    texts = E.distinct_texts(df)
+    got = {k: v.decode() for k, v in E.learn_dictionaries(texts, E.count_signs(texts)).items()}
+    assert got["zh"].index("每个账号可领小时算力。") < got["zh"].index(filler) and "只有这一份。" not in got["zh"]  # one text, however many copies
+    assert set(got["en"].split()) == set("Offer ends soon, once for all".split())
+    assert {r.doc_id: r.restored for r in E.repaired(df).collect()} == {5_000: "n/a | 25 每个账号 | ok"}
