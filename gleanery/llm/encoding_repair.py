@@ -403,7 +403,7 @@ def language(column: str = "lang") -> F.Column:
 
 
 #: What phrases are split at: their marks, words up to a number, and Latin words within Chinese; these are what one text has and others do not.
-_APART = r"(?<=[.!?。！？，,])[\s\x{a0}\x{3000}]*|(?<![!-~])[!-/:-~]*+[0-9][0-9.,]*+|(?<=[㐀-鿿])[!-~]++|(?<![!-~])[!-~]++(?=[㐀-鿿])"
+_APART = re.compile(r"(?<=[.!?。！？，,])\s*|(?<![!-~])[!-/:-~]*+[0-9][0-9.,]*+|(?<=[㐀-鿿])[!-~]++|(?<![!-~])[!-~]++(?=[㐀-鿿])")
 
 
 def learn_dictionaries(texts: DataFrame, counts: DataFrame) -> dict[str, bytes]:
@@ -419,11 +419,24 @@ def learn_dictionaries(texts: DataFrame, counts: DataFrame) -> dict[str, bytes]:
     usual: dict[str, str] = dict.fromkeys(sizes, "")
     for r in counts.where((F.col("kind") == "char") & (F.col("n") >= F.try_element_at(needed, F.col("lang")))).collect():
         usual[r.lang] += r.key
-    unusual = F.create_map(*(F.lit(x) for lang, cs in usual.items() for x in (lang, f"[^\\x00-\\x7f{cs}]")))
-    lines = by_language.select("lang", F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.where(~F.rlike("line", F.try_element_at(unusual, F.col("lang"))) & ~F.rlike("line", F.lit(_BROKEN.pattern)))
-    phrases = lines.select("lang", F.explode(F.split("line", _APART)).alias("s")).withColumn("s", F.trim("s")).where("s <> ''")
-    rows = keep(phrases.groupBy("lang", "s").agg(F.count("*").alias("n")))
+    right = {lang: re.compile(f"[\x00-\x7f{re.escape(cs)}]*") for lang, cs in usual.items()}
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found: dict[str, Counter] = {lang: Counter() for lang in right}
+            for text, langs in zip(batch["text"], batch["langs"]):
+                for line in text.split("\n"):
+                    if _BROKEN.search(line):
+                        continue
+                    phrases = None
+                    for lang in langs:
+                        if right[lang].fullmatch(line):
+                            if phrases is None:
+                                phrases = [p for s in _APART.split(line) if (p := s.strip())]
+                            found[lang].update(phrases)
+            yield pd.DataFrame([(lang, p, n) for lang, c in found.items() for p, n in c.items()], columns=["lang", "s", "n"])
+
+    rows = keep(texts.mapInPandas(count, "lang string, s string, n long").groupBy("lang", "s").agg(F.sum("n").alias("n")))
     # per language the least count that a dictionary reaches, and what room is left for phrases of that count
     levels = rows.groupBy("lang", "n").agg(F.sum(F.octet_length("s")).alias("size")).collect()
     least, room = {}, dict.fromkeys(sizes, DICTIONARY_BYTES)
